@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from auditloom.operators.small import attach
+from auditloom.operators.small import attach, join_keys
 from auditloom.session import materialise
 
 MAX_GROUP_ROWS = 1_000_000
@@ -42,7 +42,7 @@ class Ordered:
             return replace(self, df=self.df.withColumn(out, inside))
         ends = self.df.groupBy(*self.by, CHUNK).agg(F.max_by(value, POS).alias("_carry"))
         ends = ends.withColumn(CHUNK, F.col(CHUNK) + 1)
-        carried = _join_chunks(self.df, ends, self.by)
+        carried = join_keys(self.df, ends, [*self.by, CHUNK])
         first = F.row_number().over(self.window) == 1
         return replace(self, df=carried.withColumn(
             out, F.when(first, F.col("_carry")).otherwise(inside)).drop("_carry"))
@@ -66,7 +66,7 @@ class Ordered:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         carry = chunks.withColumn("_carry", _AGGREGATES[how](F.col("_part")).over(earlier)).drop("_part")
-        joined = _join_chunks(self.df, carry, self.by)
+        joined = join_keys(self.df, carry, [*self.by, CHUNK])
         if how == "max":
             total = F.greatest(inside, F.col("_carry"))
         elif how == "sum":
@@ -91,15 +91,6 @@ _PER_CHUNK = {
 }
 
 
-def _join_chunks(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    keys = [*by, CHUNK]
-    table = table.select(*[F.col(k).alias(f"__{k}") for k in keys], "_carry")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    return df.join(table, condition, "left").drop(*[f"__{k}" for k in keys])
-
-
 def order_rows(df: DataFrame, by: list[str], order: list[Column | str],
                max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> Ordered:
     """Number the rows of every group of ``by`` in ``order``.

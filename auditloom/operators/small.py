@@ -2,47 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_SMALL_ROWS = 100_000
+MAX_SMALL_BYTES = 64 << 20
 
 
 def checked(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``(table, True)`` with a local copy when ``df`` has at most ``limit`` rows.
+    """``(table, True)`` with a local copy when ``df`` is small in rows and bytes.
 
     At most ``limit + 1`` rows are fetched. A larger table comes back unchanged
     with ``False`` and must be joined by a shuffle.
     """
     head = df.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
+    if head.num_rows > limit or head.nbytes > MAX_SMALL_BYTES:
         return df, False
     return df.sparkSession.createDataFrame(head, schema=df.schema), True
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of ``keys``, still an equi-join for the planner."""
+def join_keys(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
+              broadcast: bool = False) -> DataFrame:
+    """Null-safe equi-join on equally named keys, keeping those of the left side."""
+    renamed = table.withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    joined = df.join(F.broadcast(renamed) if broadcast else renamed, condition, how)
+    return joined.drop(*[f"__{k}" for k in keys])
 
 
-def attach(df: DataFrame, table: DataFrame, keys: list[str], limit: int = MAX_SMALL_ROWS,
-           how: str = "left") -> DataFrame:
-    """Join a table holding one row per key, by broadcast only below ``limit`` rows."""
+def attach(df: DataFrame, table: DataFrame, keys: list[str], limit: int = MAX_SMALL_ROWS) -> DataFrame:
+    """Left join of a table holding one row per key, broadcast only when checked small."""
     if not keys:
         return attach_row(df, table)
     table, is_small = checked(table, limit)
-    renamed = table.select(
-        *[F.col(k).alias(f"__{k}") for k in keys],
-        *[c for c in table.columns if c not in keys],
-    )
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    joined = df.join(F.broadcast(renamed) if is_small else renamed, condition, how)
-    return joined.drop(*[f"__{k}" for k in keys])
+    return join_keys(df, table, keys, broadcast=is_small)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from auditloom import schema as S
 from auditloom.functions import text as X
-from auditloom.operators.small import attach
+from auditloom.operators.small import attach, join_keys
 
 TEXT_COLUMNS = [
     "syscall", "primary_type", "key", "comm", "exe", "command", "success", "uid", "euid",
@@ -229,11 +229,7 @@ def build_window_features(df: DataFrame, size_us: int = 10 * X.MICROS,
     schema = schema or learn_schema(events, top)
     base = window_features(events, by, distinct)
     maps = category_maps(category_counts(events, schema, by), by)
-    maps = maps.withColumnsRenamed({c: f"__{c}" for c in [*by, "window_id"]})
-    condition = F.col("window_id") == F.col("__window_id")
-    for key in by:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    joined = base.join(maps, condition, "left").drop(*[f"__{c}" for c in [*by, "window_id"]])
+    joined = join_keys(base, maps, [*by, "window_id"])
     joined = joined.withColumn(
         "cat_counts", F.coalesce("cat_counts", F.create_map().cast("map<string,bigint>")))
     return align_features(joined, schema), schema
