@@ -141,13 +141,13 @@ def inference(spark, sf_dir):
                         F.col("event_count").cast("bigint").alias("event_count"))
 
 
-INFERENCE_SQL = f"""{AUDIT_SQL},
-lined AS (SELECT source, ts_us, event_id, row_number() OVER (PARTITION BY source ORDER BY ts_us, event_no) - 1 AS pos,
+INFERENCE_PARTS = f"""lined AS (SELECT source, ts_us, event_id, row_number() OVER (PARTITION BY source ORDER BY ts_us, event_no) - 1 AS pos,
   count(*) OVER (PARTITION BY source) AS n FROM audit),
 spread AS (SELECT *, unnest(range(CAST(greatest(0, ceil((pos - {LENGTH} + 1) / {STRIDE}.0)) AS BIGINT), pos // {STRIDE} + 1)) AS sequence_id FROM lined),
 seqs AS (SELECT source, sequence_id, min(ts_us) AS start_us, max(ts_us) AS end_us, arg_min(event_id, pos) AS start_event_id,
   arg_max(event_id, pos) AS end_event_id, count(*) AS event_count
 FROM spread WHERE sequence_id * {STRIDE} + {LENGTH} <= n GROUP BY source, sequence_id)"""
+INFERENCE_SQL = f"{AUDIT_SQL},\n{INFERENCE_PARTS}"
 
 
 QUERIES = {
