@@ -33,7 +33,8 @@ def number_or(value: Column, default: float | None = 0.0) -> Column:
 
 def seconds_text(us: Column) -> Column:
     """Whole microseconds as epoch text with six decimals."""
-    return F.format_string("%.6f", us.cast("decimal(29,6)") / F.lit(MICROS).cast("decimal(7,0)"))
+    seconds = us.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")
+    return seconds.cast("decimal(26,6)").cast("string")
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:

@@ -29,8 +29,10 @@ def documents(spark, sf_dir):
 
 SCORED_SQL = "scored AS (SELECT event_id AS event_no, value AS score, (event_type = 'purchase')::INT AS y, 'host' || (user_id % 3) AS source FROM events)"
 DOCUMENTS_SQL = "scored AS (SELECT doc_id, n_chars::DOUBLE AS score, quality AS y FROM documents JOIN labels USING (doc_id))"
-RATES_SQL = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6)::DOUBLE AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6)::DOUBLE AS recall,
-  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)::DOUBLE AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6)::DOUBLE AS fpr,
+PRECISION, RECALL = "coalesce(tp / nullif(tp + fp, 0), 0)", "coalesce(tp / nullif(tp + fn, 0), 0)"
+RATES_SQL = f"""round({PRECISION}, 6)::DOUBLE AS precision, round({RECALL}, 6)::DOUBLE AS recall,
+  round(coalesce(2 * {PRECISION} * {RECALL} / nullif({PRECISION} + {RECALL}, 0), 0), 6)::DOUBLE AS f1,
+  round(coalesce(fp / nullif(fp + tn, 0), 0), 6)::DOUBLE AS fpr,
   round(coalesce(tn / nullif(tn + fp, 0), 0), 6)::DOUBLE AS tnr, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 6)::DOUBLE AS accuracy"""
 COUNTS_SQL = """count(*) FILTER (y = 1 AND q = 1) AS tp, count(*) FILTER (y = 0 AND q = 0) AS tn,
   count(*) FILTER (y = 0 AND q = 1) AS fp, count(*) FILTER (y = 1 AND q = 0) AS fn"""

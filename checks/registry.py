@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["window_queries", "sequence_queries", "log_queries", "anchor_queries", "score_queries", "evaluation_queries"]
+MODULES = ["window_queries", "sequence_queries", "log_queries", "anchor_queries", "score_queries", "evaluation_queries", "model_queries"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
