@@ -92,16 +92,18 @@ _PER_CHUNK = {
 
 
 def order_rows(df: DataFrame, by: list[str], order: list[Column | str],
-               max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+               max_group_rows: int = MAX_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS,
+               largest: int | None = None) -> Ordered:
     """Number the rows of every group of ``by`` in ``order``.
 
-    The largest group is measured first. While it fits one task, a plain window
-    numbers the rows; beyond that the rows are range-partitioned by
+    The largest group is measured first, unless the caller already knows its
+    size. While it fits one task, a plain window numbers the rows; beyond that the rows are range-partitioned by
     ``by + order``, written once, and each partition adds the number of rows of
     its group that lie in earlier partitions.
     """
-    sizes = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
-    largest = sizes.agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        sizes = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
+        largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= max_group_rows:
         window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
         numbered = df.withColumns({

@@ -199,16 +199,19 @@ def sliding_sequences(ordered: Ordered, length: int = 50, stride: int = 10,
     return found
 
 
-def sequence_starts(ordered: Ordered, length: int, stride: int, **limits: int) -> DataFrame:
+def segment_sizes(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """Events and first appearance per segment, and the size of the largest one."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*ORDER)).alias("_seen"))
+    sizes, _ = checked(sizes)
+    return sizes, sizes.agg(F.max("_n")).first()[0] or 0
+
+
+def sequence_starts(sizes: DataFrame, by: list[str], length: int, stride: int, **limits: int) -> DataFrame:
     """First sequence id of every segment, segments counted in first-seen order."""
-    sizes = ordered.df.groupBy(*ordered.by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct(*ORDER)).alias("_seen"))
     count = F.when(F.col("_n") >= length, F.floor((F.col("_n") - length) / stride) + 1).otherwise(0)
     sizes = sizes.withColumn("_count", count.cast("bigint"))
-    seen = order_rows(sizes, [], ["_seen", *ordered.by], **limits)
-    return seen.running("sum", F.col("_count"), "first_id", before=True).df.select(
-        *ordered.by, "first_id")
+    seen = order_rows(sizes, [], ["_seen", *by], **limits)
+    return seen.running("sum", F.col("_count"), "first_id", before=True).df.select(*by, "first_id")
 
 
 def number_sequences(sequences: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
@@ -227,9 +230,10 @@ def build_sequences(df: DataFrame, vocab: DataFrame | None = None, length: int =
     by = ["segment"]
     events = events.withColumn("segment", F.col(segment) if segment in events.columns else F.lit("all"))
     vocab = learn_vocab(events, vocab_size) if vocab is None else vocab
-    ordered = with_numeric_features(order_events(encode(events, vocab), by, **limits))
+    sizes, largest = segment_sizes(events, by)
+    ordered = with_numeric_features(order_events(encode(events, vocab), by, largest=largest, **limits))
     found = sliding_sequences(ordered, length, stride, min_malicious)
-    found = number_sequences(found, sequence_starts(ordered, length, stride, **limits), by)
+    found = number_sequences(found, sequence_starts(sizes, by, length, stride, **limits), by)
     return found.withColumn("segment_id", segment_name(F.col("segment"))).drop("segment", "k"), vocab
 
 

@@ -76,14 +76,15 @@ def classified(spark, sf_dir):
         "sequence_id", F.round("lstm_malicious_probability", 9).alias("lstm_malicious_probability"), "lstm_prediction_label")
 
 
-def alert_table(spark, sf_dir):
-    rows = H.summarise_alerts(members(spark, sf_dir), lists=False)
+def alert_table(spark, sf_dir, scored=None):
+    rows = H.summarise_alerts(members(spark, sf_dir, scored), lists=False)
     return H.with_evidence(rows, audit_events(spark, sf_dir), TOP, ["event_no"])
 
 
 def summary(spark, sf_dir):
     """Counts of the summary document."""
-    found = J.triage_summary(alert_table(spark, sf_dir), combined(spark, sf_dir), {"alert_gap_us": GAP})
+    scored = combined(spark, sf_dir)
+    found = J.triage_summary(alert_table(spark, sf_dir, scored), scored, {"alert_gap_us": GAP})
     return found.select("alert_interval_count", "sequence_alert_count")
 
 

@@ -8,6 +8,7 @@ from auditloom.operators import alerts as H
 from auditloom.operators import fusion as G
 from auditloom.operators import sequences as Q
 from auditloom.operators import windows as W
+from auditloom.session import materialise
 from checks.audit_view import HOUR, audit_events
 from checks.sequence_queries import INFERENCE_PARTS, LENGTH, STRIDE
 from checks.window_queries import LABEL_SQL, WINDOWED_SQL, windowed
@@ -34,11 +35,12 @@ def score_sequences(spark, sf_dir):
 
 
 def overlapped(spark, sf_dir, norm="window"):
-    return G.overlap_scores(score_sequences(spark, sf_dir), score_windows(spark, sf_dir), norm, THRESHOLD)
+    sequences = materialise(score_sequences(spark, sf_dir), "sequences")
+    return G.overlap_scores(sequences, materialise(score_windows(spark, sf_dir), "windows"), norm, THRESHOLD)
 
 
 def combined(spark, sf_dir):
-    return G.combine(overlapped(spark, sf_dir), WEIGHT, COMBINED)
+    return materialise(G.combine(overlapped(spark, sf_dir), WEIGHT, COMBINED), "combined")
 
 
 SCORES_SQL = f"""{WINDOWED_SQL},
@@ -114,8 +116,8 @@ def ranked_query(spark, sf_dir):
         "source", "sequence_id", F.round("combined_score", 6).alias("score"))
 
 
-def members(spark, sf_dir):
-    return H.alert_sessions(combined(spark, sf_dir), GAP)
+def members(spark, sf_dir, scored=None):
+    return H.alert_sessions(combined(spark, sf_dir) if scored is None else scored, GAP)
 
 
 def sessions_query(spark, sf_dir):
