@@ -14,9 +14,16 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+# Fixed set: every character that counts as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def stripped(value: Column) -> Column:
     """Trim every kind of white space, null as blank."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(value, F.lit("")), F.lit(WHITE_SPACE))
 
 
 def epoch_us(seconds: Column) -> Column:
@@ -56,8 +63,11 @@ def file_name(value: Column, limit: int = 120) -> Column:
 
 def basename(value: Column) -> Column:
     """Last path element; trailing slashes and ``/.`` are ignored."""
-    head = F.regexp_replace(F.coalesce(value, F.lit("")), r"(/+\.?)+$", "")
-    return F.when(head == ".", "").otherwise(F.regexp_extract(head, r"[^/]*$", 0))
+    value = F.coalesce(value, F.lit(""))
+    ragged = value.endswith("/") | value.endswith("/.")
+    head = F.when(ragged, F.regexp_replace(value, r"(?:/\.?+)++$", "")).otherwise(value)
+    name = F.substring_index(head, "/", -1)
+    return F.when(name == ".", "").otherwise(name)
 
 
 def one_line(value: Column, limit: int = 500) -> Column:

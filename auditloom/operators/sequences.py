@@ -19,11 +19,11 @@ OPTIONAL_COLUMNS = [
 ]
 ORDER = ["ts_us", "event_no", "tie"]
 CHUNK_BLOCKS = 20_000
+LOOKUP_ROWS = 4_000
 
 
-def path_category(paths: Column, path: Column, cwd: Column, key: Column, saddr: Column) -> Column:
-    """First matching path rule, then network evidence, then ``none``."""
-    text = F.lower(F.concat_ws("|", paths, path, cwd))
+def path_category(text: Column, key: Column, saddr: Column) -> Column:
+    """First path rule that matches the lower-case ``text``, then network evidence, then ``none``."""
     rules = F
     for name, needles in S.PATH_CATEGORIES:
         rules = rules.when(X.contains_any(text, needles), name)
@@ -60,12 +60,14 @@ def prepare_sequence_events(df: DataFrame, labels: list[str] | None = None,
              "cwd", "success", "command", "saddr", "uid", "euid", "auid", "argc", "attack_run_id",
              "manual_label"]
     df = df.where(F.col("ts_us").isNotNull()).withColumns({c: as_text(c) for c in texts})
+    # a column of its own, so that the rules do not each build the text again
+    df = df.withColumn("_where", F.lower(F.concat_ws("|", "paths", "path", "cwd")))
     return df.withColumns({
         "event_no": F.coalesce(F.col("event_id").try_cast("bigint"), F.lit(-1)),
         "tie": F.col(tie) if tie else F.lit(0),
         "exe_basename": X.basename(X.stripped(F.col("exe"))),
-        "path_category": path_category(*[F.col(c) for c in ("paths", "path", "cwd", "key", "saddr")]),
-    })
+        "path_category": path_category(F.col("_where"), F.col("key"), F.col("saddr")),
+    }).drop("_where")
 
 
 def segment_name(value: Column) -> Column:
@@ -122,14 +124,28 @@ def learn_vocab(df: DataFrame, size: int = 256) -> DataFrame:
         "column", "token", (F.col("_rank") + 1).alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token ids of every event as one array column ``tokens``; unseen values are 1."""
+def encode(df: DataFrame, vocab: DataFrame, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Token ids of every event as one array column ``tokens``; unseen values are 1.
+
+    A vocabulary of normal size becomes one constant map per column, frequent
+    tokens first, so encoding is a projection. A larger one is joined.
+    """
+    vocab, is_small = checked(vocab, lookup_rows)
+    if is_small:
+        entries = [
+            F.map_from_entries(F.transform(
+                F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("id", "token")))),
+                lambda e: F.struct(e["token"], e["id"]))).alias(c)
+            for c in S.TOKEN_COLUMNS]
+        maps = vocab.agg(*entries).select(F.struct(*S.TOKEN_COLUMNS)).scalar()
+        rows = df.withColumn("tokens", F.array(*[
+            F.coalesce(maps[c][token(F.col(c))], F.lit(S.UNKNOWN_ID)) for c in S.TOKEN_COLUMNS]))
+        return rows
     rows = df.withColumns({f"_t_{c}": token(F.col(c)) for c in S.TOKEN_COLUMNS})
-    vocab, is_small = checked(vocab)
     for column in S.TOKEN_COLUMNS:
         ids = vocab.where(F.col("column") == column).select(
             F.col("token").alias(f"_t_{column}"), F.col("id").alias(f"_i_{column}"))
-        rows = rows.join(F.broadcast(ids) if is_small else ids, f"_t_{column}", "left")
+        rows = attach(rows, ids, [f"_t_{column}"])
     tokens = F.array(*[F.coalesce(f"_i_{c}", F.lit(S.UNKNOWN_ID)) for c in S.TOKEN_COLUMNS])
     return rows.withColumn("tokens", tokens).drop(
         *[f"_{k}_{c}" for c in S.TOKEN_COLUMNS for k in "ti"])
