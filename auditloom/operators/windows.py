@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from auditloom import schema as S
 from auditloom.functions import text as X
 from auditloom.operators.small import attach, join_keys
+from auditloom.session import materialise
 
 TEXT_COLUMNS = [
     "syscall", "primary_type", "key", "comm", "exe", "command", "success", "uid", "euid",
@@ -18,6 +19,10 @@ TEXT_COLUMNS = [
 ]
 
 
+# Event field behind each category family.
+FAMILY_FIELDS = {c: "exe" if c == "exe_basename" else c for c in S.CATEGORY_PREFIXES}
+
+
 @dataclass(frozen=True)
 class FeatureSchema:
     """Feature names in model order and the category values they were learnt from."""
@@ -100,9 +105,8 @@ def window_label(benign: Column, malicious: Column, ambiguous: Column, blank: Co
     )
 
 
-def base_aggregates(distinct: str = "exact") -> list[Column]:
-    """All window aggregates; each one combines on the map side."""
-    distinct_count = {"exact": F.count_distinct, "approx": F.approx_count_distinct}[distinct]
+def base_aggregates(approx_distinct: bool = False) -> list[Column]:
+    """Window aggregates that combine on the map side; distinct counts only in approximate form."""
     is_exec = F.col("syscall") == "execve"
     label = _labels()
 
@@ -125,8 +129,8 @@ def base_aggregates(distinct: str = "exact") -> list[Column]:
         "success_yes_count": times(F.col("success") == "yes"),
         "success_no_count": times(F.col("success") == "no"),
         **{
-            f"unique_{c}_count": distinct_count(X.blank_to_null(F.col(c)))
-            for c in S.DISTINCT_FIELDS
+            f"unique_{c}_count": F.approx_count_distinct(X.blank_to_null(F.col(c)))
+            for c in S.DISTINCT_FIELDS if approx_distinct
         },
         "root_uid_count": times(F.col("uid") == S.ROOT_ID),
         "root_euid_count": times(F.col("euid") == S.ROOT_ID),
@@ -145,52 +149,80 @@ def base_aggregates(distinct: str = "exact") -> list[Column]:
     return [column.alias(name) for name, column in found.items()]
 
 
-def window_features(df: DataFrame, by: list[str] | None = None, distinct: str = "exact") -> DataFrame:
+def value_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Events per window, field and value: ``(by..., window_id, field, value, n)``.
+
+    Everything that needs the values of a window (distinct counts, category
+    counts, the category schema) starts from this table, so an event's fields
+    are spread out once, copies collapse on the map side, and names are
+    normalised per distinct value instead of per event.
+    """
+    fields = F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))
+        for c in dict.fromkeys([*S.DISTINCT_FIELDS, *FAMILY_FIELDS.values()])])
+    rows = df.select(*by, "window_id", F.inline(fields))
+    return rows.groupBy(*by, "window_id", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(values: DataFrame, by: list[str]) -> DataFrame:
+    present = F.col("value") != ""
+    return values.groupBy(*by, "window_id").agg(*[
+        F.count_if((F.col("field") == c) & present).alias(f"unique_{c}_count") for c in S.DISTINCT_FIELDS])
+
+
+def window_features(df: DataFrame, by: list[str] | None = None, distinct: str = "exact",
+                    values: DataFrame | None = None) -> DataFrame:
     """Base features and labels of every non-empty window of assigned events."""
     by = ["source"] if by is None else by
+    if distinct not in ("exact", "approx"):
+        raise ValueError("distinct must be 'exact' or 'approx'")
     keys = [*by, "window_id", "window_start_us", "window_end_us"]
-    grouped = df.groupBy(*keys).agg(*base_aggregates(distinct))
-    return grouped.withColumn("window_label", window_label(*[
-        F.col(c) for c in S.LABEL_FEATURES if c in (
-            "label_benign_count", "label_malicious_count", "label_ambiguous_count",
-            "label_unlabeled_count")]))
+    grouped = df.groupBy(*keys).agg(*base_aggregates(distinct == "approx"))
+    if distinct == "exact":
+        values = value_counts(df, by) if values is None else values
+        grouped = join_keys(grouped, distinct_counts(values, by), [*by, "window_id"])
+    labels = [F.col(f"label_{c}_count") for c in ("benign", "malicious", "ambiguous", "unlabeled")]
+    return grouped.select(*keys, *S.BASE_FEATURES, *S.LABEL_FEATURES[:-1],
+                          window_label(*labels).alias("window_label"))
 
 
-def category_rows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per event and category family with the normalised value."""
-    families = F.array(*[
-        F.struct(F.lit(c).alias("family"), X.safe_name(F.col(c)).alias("value"))
-        for c in S.CATEGORY_PREFIXES
-    ])
-    return df.select(*keep, F.inline(families))
+def category_values(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per category family and normalised value, from :func:`value_counts`."""
+    family = F.create_map(*[F.lit(x) for k, v in FAMILY_FIELDS.items() for x in (v, k)])[F.col("field")]
+    raw = F.when(F.col("field") == "exe", X.basename(F.col("value"))).otherwise(F.col("value"))
+    named = values.where(F.col("field").isin(list(FAMILY_FIELDS.values()))).select(
+        *keys, family.alias("family"), X.safe_name(raw).alias("value"), "n")
+    return named.groupBy(*keys, "family", "value").agg(F.sum("n").alias("n"))
 
 
-def top_categories(df: DataFrame, size: int = 50) -> DataFrame:
+def top_categories(values: DataFrame, size: int = 50) -> DataFrame:
     """Most frequent values per family: rows of ``(family, value, n, rank)``, rank from 1."""
-    counts = category_rows(df, []).groupBy("family", "value").agg(F.count(F.lit(1)).alias("n"))
     best_first = Window.partitionBy("family").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= size)
+    return category_values(values, []).withColumn("rank", F.row_number().over(best_first)).where(
+        F.col("rank") <= size)
+
 
+def learn_schema(values: DataFrame, size: int = 50) -> FeatureSchema:
+    """Feature schema from the value counts of a training split.
 
-def learn_schema(df: DataFrame, size: int = 50) -> FeatureSchema:
-    """Feature schema from a training split; at most ``5 * size`` rows reach the driver."""
-    values: dict[str, list[str]] = {c: [] for c in S.CATEGORY_PREFIXES}
-    for row in top_categories(df, size).orderBy("family", "rank").collect():
-        values[row["family"]].append(row["value"])
-    return FeatureSchema(values)
+    At most ``5 * size`` rows reach the driver.
+    """
+    found: dict[str, list[str]] = {c: [] for c in S.CATEGORY_PREFIXES}
+    for row in top_categories(values, size).orderBy("family", "rank").collect():
+        found[row["family"]].append(row["value"])
+    return FeatureSchema(found)
 
 
 def schema_frame(spark, schema: FeatureSchema) -> DataFrame:
     return spark.createDataFrame(schema.rows(), "family string, value string, rank int")
 
 
-def category_counts(df: DataFrame, schema: FeatureSchema, by: list[str] | None = None) -> DataFrame:
+def category_counts(values: DataFrame, schema: FeatureSchema, by: list[str] | None = None) -> DataFrame:
     """Long counts ``(by..., window_id, family, value, n)`` of the schema's values."""
     by = ["source"] if by is None else by
-    allowed = schema_frame(df.sparkSession, schema).select("family", "value")
-    rows = category_rows(df, [*by, "window_id"])
-    kept = rows.join(F.broadcast(allowed), ["family", "value"], "left_semi")
-    return kept.groupBy(*by, "window_id", "family", "value").agg(F.count(F.lit(1)).alias("n"))
+    allowed = schema_frame(values.sparkSession, schema).select("family", "value")
+    return category_values(values, [*by, "window_id"]).join(
+        F.broadcast(allowed), ["family", "value"], "left_semi").select(*by, "window_id", "family", "value", "n")
 
 
 def category_maps(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -226,9 +258,13 @@ def build_window_features(df: DataFrame, size_us: int = 10 * X.MICROS,
     """Window features with a learnt or given schema, and the schema used."""
     by = ["source"] if by is None else by
     events = assign_windows(prepare_events(df), size_us, by)
-    schema = schema or learn_schema(events, top)
-    base = window_features(events, by, distinct)
-    maps = category_maps(category_counts(events, schema, by), by)
+    values = value_counts(events, by)
+    if schema is None:
+        # learning reads the counts as well: write them once instead of scanning twice
+        values = materialise(values, "window-values")
+        schema = learn_schema(values, top)
+    base = window_features(events, by, distinct, values)
+    maps = category_maps(category_counts(values, schema, by), by)
     joined = join_keys(base, maps, [*by, "window_id"])
     joined = joined.withColumn(
         "cat_counts", F.coalesce("cat_counts", F.create_map().cast("map<string,bigint>")))

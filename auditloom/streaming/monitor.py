@@ -23,7 +23,7 @@ def stream_window_features(df: DataFrame, size_us: int = 10 * MICROS, origin_us:
     events = prepare_events(df).withColumn("event_time", F.timestamp_micros("ts_us"))
     span = F.window("event_time", f"{size_us} microseconds", startTime=f"{origin_us % size_us} microseconds")
     grouped = events.withWatermark("event_time", watermark).groupBy(*by, span.alias("_window"))
-    rows = grouped.agg(*base_aggregates("approx"))
+    rows = grouped.agg(*base_aggregates(approx_distinct=True))
     start = F.unix_micros("_window.start")
     labels = [F.col(f"label_{c}_count") for c in ("benign", "malicious", "ambiguous", "unlabeled")]
     return rows.withColumns({

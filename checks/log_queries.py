@@ -12,7 +12,7 @@ from auditloom.sources.audit_log import read_raw
 from checks.audit_view import AUDIT_SQL, audit_events
 from checks.scratch import fresh
 from checks.sequence_queries import LENGTH, SEQUENCES_SQL, STRIDE, VOCAB, EVENTS_SQL, VOCAB_SQL, build, events
-from checks.window_queries import CATEGORY_SQL, TOP
+from checks.window_queries import CATEGORY_SQL, TOP, windowed
 
 NUMBERS = {"execve": "59", "openat": "257", "connect": "42", "setuid": "105", "unlink": "87"}
 
@@ -103,7 +103,8 @@ def parsed_table(spark, sf_dir):
 
 def saved_schema(spark, sf_dir):
     path = fresh(spark, "schema")
-    T.save_schema(spark, W.learn_schema(W.prepare_events(audit_events(spark, sf_dir)), TOP), path)
+    values = W.value_counts(windowed(spark, sf_dir), ["source"])
+    T.save_schema(spark, W.learn_schema(values, TOP), path)
     return W.schema_frame(spark, T.load_schema(spark, path))
 
 

@@ -108,12 +108,12 @@ learnt AS (
 
 
 def top_categories(spark, sf_dir):
-    return W.top_categories(W.prepare_events(audit_events(spark, sf_dir)), TOP)
+    return W.top_categories(W.value_counts(windowed(spark, sf_dir), ["source"]), TOP)
 
 
 def category_counts(spark, sf_dir):
-    events = windowed(spark, sf_dir)
-    return W.category_counts(events, W.learn_schema(events, TOP))
+    values = W.value_counts(windowed(spark, sf_dir), ["source"])
+    return W.category_counts(values, W.learn_schema(values, TOP))
 
 
 def aligned(spark, sf_dir):
