@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from auditloom import schema as S
 from auditloom.functions import text as X
 from auditloom.operators.intervals import overlap_pairs
-from auditloom.operators.small import attach, join_keys
+from auditloom.operators.small import attach, join_keys, solid_keys
 from auditloom.sources.tables import require_columns
 
 
 def minmax(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Scale a score to 0..1 per group; bad values count as 0, a constant column gives 0."""
     by = by or []
+    df = solid_keys(df, by)
     value = X.number_or(F.col(column))
     bounds = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     span = F.col("_high") - F.col("_low")
@@ -62,6 +63,7 @@ def overlap_scores(sequences: DataFrame, windows: DataFrame, norm: str = "window
         F.col("iforest_threshold_alert").alias("_alert"), F.col("iforest_is_anomaly").alias("_native"),
         label.cast("string").alias("_label"))
     keys = list(dict.fromkeys([*by, key]))
+    sequences = solid_keys(sequences, keys)
     left = sequences.select(*keys, "start_us", "end_us")
     pairs = overlap_pairs(left, right, by, ("start_us", "end_us"), ("_ws", "_we"))
     found = [

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.ordering import order_rows
-from auditloom.operators.small import MAX_SMALL_ROWS, checked
+from auditloom.operators.small import MAX_SMALL_ROWS, checked, solid_keys
 
+MAX_CANDIDATES = 64
 LEVEL_BASE_US = 1_000_000
 LEVEL_STEP = 8
 
@@ -21,16 +22,21 @@ def lookup_segment(points: DataFrame, segments: DataFrame, by: list[str], at: st
     The segments of one ``by`` group must not overlap, so a point has at most one
     match and keeps exactly one row. A segment table of checked size is cut into
     time buckets of its mean length and broadcast: the points are not shuffled.
-    A larger one is merged with the points in time order and the latest segment
-    start is carried forward, again without pairs.
+    A larger one, or one that crowds a bucket, is merged with the points in time
+    order and the latest segment start is carried forward, again without pairs.
     """
     extra = [c for c in segments.columns if c not in (*by, low, high)]
+    points, segments = solid_keys(points, by), solid_keys(segments, by)
     table, is_small = checked(segments, limit)
     if is_small:
         width = table.agg(
             F.coalesce(F.ceil(F.avg(F.col(high) - F.col(low) + 1)), F.lit(1))).first()[0]
         width = max(1, int(width))
-        return _lookup_by_bucket(points, table, by, at, low, high, extra, width)
+        cut = table.withColumn("_bucket", F.explode(
+            F.sequence(_div(F.col(low), width), _div(F.col(high), width))))
+        crowd = cut.groupBy(*by, "_bucket").count().agg(F.max("count")).first()[0] or 0
+        if crowd <= MAX_CANDIDATES:
+            return _lookup_by_bucket(points, cut, by, at, low, high, extra, width)
     return _lookup_by_order(points, segments, by, at, low, high, extra, limits)
 
 
@@ -39,14 +45,12 @@ def _div(value: Column, width: int) -> Column:
     return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def _lookup_by_bucket(points, segments, by, at, low, high, extra, width):
-    cut = segments.select(
-        *[F.col(c).alias(f"__{c}") for c in by],
-        F.col(low).alias("_low"), F.col(high).alias("_high"), *extra,
-        F.explode(F.sequence(_div(F.col(low), width), _div(F.col(high), width))).alias("_bucket"))
+def _lookup_by_bucket(points, cut, by, at, low, high, extra, width):
+    cut = cut.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(low).alias("_low"),
+                     F.col(high).alias("_high"), *extra, "_bucket")
     condition = _div(F.col(at), width) == F.col("_bucket")
     for key in by:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
+        condition = condition & (F.col(key) == F.col(f"__{key}"))
     condition = condition & F.col(at).between(F.col("_low"), F.col("_high"))
     joined = points.join(F.broadcast(cut), condition, "left")
     return joined.drop("_low", "_high", "_bucket", *[f"__{c}" for c in by])
@@ -111,7 +115,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, by: list[str],
     names of both sides must differ, except ``by``. A crowded bucket is split by
     adaptive skew-join handling: the join has no ordering or grouping to keep.
     """
-    right = right.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in right.columns])
+    left, right = solid_keys(left, by), solid_keys(right, by)
+    right = right.withColumnsRenamed({c: f"__{c}" for c in by})
     left_levels = _levels(left, *left_range)
     right_levels = _levels(right, *right_range)
     a = _spread(left, *left_range, left_levels, right_levels, "left", "right", False)
@@ -122,7 +127,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, by: list[str],
         & (F.col("_bucket") == F.col("_r_bucket"))
     )
     for key in by:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
+        condition = condition & (F.col(key) == F.col(f"__{key}"))
     condition = (
         condition
         & (F.col(right_range[0]) <= F.col(left_range[1]))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from auditloom.operators.small import attach, join_keys
+from auditloom.operators.small import attach, join_keys, solid_keys
 from auditloom.session import materialise
 
 MAX_GROUP_ROWS = 1_000_000
@@ -101,6 +101,7 @@ def order_rows(df: DataFrame, by: list[str], order: list[Column | str],
     ``by + order``, written once, and each partition adds the number of rows of
     its group that lie in earlier partitions.
     """
+    df = solid_keys(df, by)
     if largest is None:
         sizes = df.groupBy(*by).count() if by else df.agg(F.count(F.lit(1)).alias("count"))
         largest = sizes.agg(F.max("count")).first()[0] or 0
@@ -151,7 +152,7 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[st
     by = by or []
     n = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    totals = solid_keys(counts, by).groupBy(*by).agg(F.sum("_n").alias("_total"))
     ordered = order_rows(counts, by, [value], **limits).running("sum", F.col("_n"), "_upto")
     ranked = attach(ordered.result(), totals, by)
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])

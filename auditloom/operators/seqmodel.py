@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +110,8 @@ def fit_sequence_classifier(train: DataFrame, threshold: float = S.SEQUENCE_THRE
     rows = pooled(train, scaler).select(
         F.col("y").cast("double").alias("y"), weight.alias("_weight"), "_numeric", "_tokens")
     pipeline = Pipeline(stages=[
+        # a declared size spares the assembler a look at the first row
+        VectorSizeHint(inputCol="_numeric", size=3 * len(S.NUMERIC_COLUMNS)),
         HashingTF(inputCol="_tokens", outputCol="_bag", numFeatures=HASH_BUCKETS),
         VectorAssembler(inputCols=["_numeric", "_bag"], outputCol="_input"),
         LogisticRegression(featuresCol="_input", labelCol="y", weightCol="_weight",

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from auditloom import schema as S
 from auditloom.functions import text as X
 from auditloom.operators.ordering import CHUNK, POS, Ordered, order_rows
-from auditloom.operators.small import attach, checked
+from auditloom.operators.small import attach, checked, solid_keys
 from auditloom.operators.windows import with_defaults
 
 OPTIONAL_COLUMNS = [
@@ -245,6 +245,7 @@ def build_sequences(df: DataFrame, vocab: DataFrame | None = None, length: int =
     events = prepare_sequence_events(df, labels or ["benign", "malicious"], tie)
     by = ["segment"]
     events = events.withColumn("segment", F.col(segment) if segment in events.columns else F.lit("all"))
+    events = solid_keys(events, by)
     vocab = learn_vocab(events, vocab_size) if vocab is None else vocab
     sizes, largest = segment_sizes(events, by)
     ordered = with_numeric_features(order_events(encode(events, vocab), by, largest=largest, **limits))

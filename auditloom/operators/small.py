@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_SMALL_ROWS = 100_000
@@ -21,14 +21,29 @@ def checked(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool
     return df.sparkSession.createDataFrame(head, schema=df.schema), True
 
 
-def join_keys(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
-              broadcast: bool = False) -> DataFrame:
-    """Null-safe equi-join on equally named keys, keeping those of the left side."""
+def solid_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Group columns without nulls, so that plain equality joins keep every row.
+
+    Null text counts as blank; any other null key fails the job.
+    """
+    def solid(name: str) -> Column:
+        if df.schema[name].dataType.typeName() == "string":
+            return F.coalesce(name, F.lit(""))
+        return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"null in group column {name}"))).otherwise(F.col(name))
+
+    return df.withColumns({k: solid(k) for k in keys if df.schema[k].nullable}) if keys else df
+
+
+def join_keys(df: DataFrame, table: DataFrame, keys: list[str], broadcast: bool = False) -> DataFrame:
+    """Left equi-join on equally named keys, keeping those of the left side.
+
+    Plain equality lets both sides reuse a partitioning by the same keys.
+    """
     renamed = table.withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
-    joined = df.join(F.broadcast(renamed) if broadcast else renamed, condition, how)
+        condition = condition & (F.col(key) == F.col(f"__{key}"))
+    joined = df.join(F.broadcast(renamed) if broadcast else renamed, condition, "left")
     return joined.drop(*[f"__{k}" for k in keys])
 
 
@@ -41,5 +56,6 @@ def attach(df: DataFrame, table: DataFrame, keys: list[str], limit: int = MAX_SM
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate, read as scalar subqueries."""
-    return df.withColumns({name: row.select(name).scalar() for name in row.columns})
+    """Add the columns of a one-row aggregate, read as one scalar subquery."""
+    packed = row.select(F.struct("*")).scalar()
+    return df.withColumns({name: packed[name] for name in row.columns})

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from auditloom import schema as S
 from auditloom.functions import text as X
-from auditloom.operators.small import attach, join_keys
+from auditloom.operators.small import attach, join_keys, solid_keys
 from auditloom.session import materialise
 
 TEXT_COLUMNS = [
@@ -80,6 +80,7 @@ def assign_windows(df: DataFrame, size_us: int, by: list[str] | None = None,
     if size_us <= 0:
         raise ValueError("window size must be positive")
     by = ["source"] if by is None else by
+    df = solid_keys(df, by)
     df = attach(df, window_origin(df, by) if origin is None else origin, by)
     offset = F.col("ts_us") - F.col("origin_us")
     window_id = ((offset - F.pmod(offset, F.lit(size_us))) / size_us).cast("bigint")
@@ -176,13 +177,14 @@ def window_features(df: DataFrame, by: list[str] | None = None, distinct: str =
     by = ["source"] if by is None else by
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
-    keys = [*by, "window_id", "window_start_us", "window_end_us"]
-    grouped = df.groupBy(*keys).agg(*base_aggregates(distinct == "approx"))
+    keys = [*by, "window_id"]
+    bounds = [F.min(c).alias(c) for c in ("window_start_us", "window_end_us")]
+    grouped = df.groupBy(*keys).agg(*bounds, *base_aggregates(distinct == "approx"))
     if distinct == "exact":
         values = value_counts(df, by) if values is None else values
-        grouped = join_keys(grouped, distinct_counts(values, by), [*by, "window_id"])
+        grouped = join_keys(grouped, distinct_counts(values, by), keys)
     labels = [F.col(f"label_{c}_count") for c in ("benign", "malicious", "ambiguous", "unlabeled")]
-    return grouped.select(*keys, *S.BASE_FEATURES, *S.LABEL_FEATURES[:-1],
+    return grouped.select(*keys, "window_start_us", "window_end_us", *S.BASE_FEATURES, *S.LABEL_FEATURES[:-1],
                           window_label(*labels).alias("window_label"))
 
 

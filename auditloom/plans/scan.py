@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import schema as S
-from auditloom.functions.text import MICROS
+from auditloom.functions.text import MICROS, epoch_us
 from auditloom.operators import alerts as H
 from auditloom.operators import fusion as G
 from auditloom.operators.events import load_events
 from auditloom.operators.iforest import IForestModel
 from auditloom.operators.seqmodel import SequenceModel, score_sequences
 from auditloom.operators.sequences import inference_sequences
-from auditloom.operators.windows import build_window_features
+from auditloom.operators.small import solid_keys
+from auditloom.operators.windows import build_window_features, with_defaults
 from auditloom.plans import report as J
 from auditloom.session import materialise
-from auditloom.sources.tables import write_table
+from auditloom.sources.tables import require_columns, write_table
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,15 @@ class Scan:
         self.report().select("value").write.mode(mode).text(f"{path}/report")
 
 
+def _complete(events: DataFrame) -> DataFrame:
+    """Events with a time, a source and every column that evidence is drawn from."""
+    require_columns(events, ["timestamp", "event_id"], "events")
+    events = with_defaults(events, ["source", *H.EVIDENCE.values(), "path", "paths"])
+    if "ts_us" not in events.columns:
+        events = events.withColumn("ts_us", epoch_us(F.col("timestamp")))
+    return solid_keys(events, ["source"]).where("ts_us IS NOT NULL")
+
+
 def scan_events(events: DataFrame, forest: IForestModel, model: SequenceModel, vocab: DataFrame,
                 parameters: ScanParameters | None = None, order: list[str] | None = None,
                 **limits: int) -> Scan:
@@ -85,7 +95,7 @@ def scan_events(events: DataFrame, forest: IForestModel, model: SequenceModel, v
     stages read every one of them, and no later stage repeats an earlier one.
     """
     p = parameters or ScanParameters()
-    events = materialise(events, "events")
+    events = materialise(_complete(events), "events")
     features, _ = build_window_features(events, p.window_us, forest.schema)
     windows = materialise(forest.transform(features, p.iforest_threshold), "windows")
     found = inference_sequences(events, vocab, p.sequence_length, p.stride, **limits)
