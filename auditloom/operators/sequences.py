@@ -74,15 +74,8 @@ def segment_name(value: Column) -> Column:
     return F.coalesce(X.blank_to_null(X.stripped(value)), F.lit("unsegmented"))
 
 
-def order_events(df: DataFrame, by: list[str], **limits: int) -> Ordered:
-    return order_rows(df, by, ORDER, **limits)
-
-
-def with_numeric_features(ordered: Ordered) -> Ordered:
-    """The numeric event features as one array column ``numeric``, gap per segment."""
-    ordered = ordered.lag(F.col("ts_us"), "_previous")
-    gap = (F.col("ts_us") - F.coalesce("_previous", "ts_us")) / F.lit(X.MICROS)
-
+def event_numbers(df: DataFrame) -> dict[str, Column]:
+    """The numeric features that depend on one event alone, by name."""
     def log_count(name: str) -> Column:
         return F.log1p(F.greatest(X.number_or(F.col(name)), F.lit(0.0)))
 
@@ -90,8 +83,7 @@ def with_numeric_features(ordered: Ordered) -> Ordered:
         return F.coalesce(condition, F.lit(False)).cast("double")
 
     uid, euid, auid = (X.number_or(F.col(c), None) for c in ("uid", "euid", "auid"))
-    features = {
-        "delta_time_log1p": F.log1p(F.least(F.greatest(gap, F.lit(0.0)), F.lit(60.0))),
+    return {
         "record_count_log1p": log_count("record_count"),
         "path_count_log1p": log_count("path_count"),
         "argc_log1p": log_count("argc"),
@@ -104,8 +96,28 @@ def with_numeric_features(ordered: Ordered) -> Ordered:
         "auid_is_unset": flag(auid == int(S.UNSET_AUID)),
         "uid_differs_euid": flag(uid != euid),
     }
-    numeric = F.array(*[features[c].cast("float") for c in S.NUMERIC_COLUMNS])
-    return Ordered(ordered.df.withColumn("numeric", numeric).drop("_previous"), ordered.by, ordered.spans)
+
+
+def order_events(df: DataFrame, by: list[str], **limits: int) -> Ordered:
+    """Events of each segment in order, reduced to what sequences are made of.
+
+    Texts become numbers and token ids first: only a narrow row is sorted.
+    """
+    numbers = event_numbers(df)
+    flags = F.array(*[numbers[c].cast("float") for c in S.NUMERIC_COLUMNS[1:]])
+    kept = [*by, *ORDER, "event_id", "manual_label", *[c for c in ("tokens",) if c in df.columns]]
+    narrow = df.select(*dict.fromkeys(kept), flags.alias("_flags"))
+    return order_rows(narrow, by, ORDER, **limits)
+
+
+def with_numeric_features(ordered: Ordered) -> Ordered:
+    """All numeric features as one array column ``numeric``; the time gap is per segment."""
+    ordered = ordered.lag(F.col("ts_us"), "_previous")
+    gap = (F.col("ts_us") - F.coalesce("_previous", "ts_us")) / F.lit(X.MICROS)
+    gap = F.log1p(F.least(F.greatest(gap, F.lit(0.0)), F.lit(60.0)))
+    numeric = F.concat(F.array(gap.cast("float")), "_flags")
+    found = ordered.df.withColumn("numeric", numeric).drop("_previous", "_flags")
+    return Ordered(found, ordered.by, ordered.spans)
 
 
 def token(value: Column) -> Column:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SCRATCH_KEY = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 # Settings the plans rely on. Skew-join splitting and partition coalescing are
 # left to adaptive execution; the sizes suit executors of a few GB per core.
@@ -42,14 +43,15 @@ def scratch_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder, because no other machine reads it.
     """
-    root = spark.conf.get(SCRATCH_KEY, None)
+    context = spark.sparkContext
+    root = spark.conf.get(SCRATCH_KEY, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SCRATCH_KEY} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="auditloom-")
-    spark.conf.set(SCRATCH_KEY, root)
-    return root
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="auditloom-")
+    return _local_roots[context.applicationId]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
