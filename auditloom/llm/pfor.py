@@ -218,4 +218,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return map_arrow(files.repartition("file").select("file", "start"), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = files.select("file", "start").repartition(max(1, files.count()), "file")  # a file is a task's work
+    return map_arrow(dealt, read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import packing, pfor, simhash
+from auditloom.llm import decontaminate, line_templates, packing, pfor, quality, simhash
 from auditloom.llm.texts import documents
 
 
@@ -21,9 +21,22 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_files(spark, sf_dir):
     return pfor.read_tokens(pfor.write_tokens(documents(spark, sf_dir), word_bpe()))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash, op8_token_files)}
-ORACLES: dict[str, str] = {}
+def op10_line_templates(spark, sf_dir):
+    return line_templates.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_packing, op3_simhash, op4_decontamination, op5_quality, op8_token_files, op10_line_templates)}
+ORACLES = {"op4_decontamination": decontaminate.ORACLE}

@@ -52,13 +52,13 @@ def fingerprints_of(offsets: np.ndarray, data: np.ndarray, words: int = 3) -> np
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``(doc_id, code)`` of every row; the code's bits as a long."""
+    """``(doc_id, own, code)`` of every row: its id, its text's hash and its fingerprint's bits as a long."""
     def coded(batches):
         for batch in by_bytes(batches):
             codes = fingerprints_of(*byte_view(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(codes.view(np.int64))], ["doc_id", "own", "code"])
 
-    return map_arrow(plain(docs), coded, "doc_id long, code long")
+    return map_arrow(plain(docs).withColumn("own", F.xxhash64("text")), coded, "doc_id long, own long, code long")
 
 
 def _splits(free: list[int], parts: int, agree: int) -> list[int]:
@@ -174,11 +174,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> Da
     as often as they went in; a null ``doc_id`` never names a component unless
     all its members are null; an empty table gives no rows.
     """
+    return _grouped(docs, radius, words).select(
+        "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, words: int = 3) -> DataFrame:
+    """``doc_id, own, code, part, component_id`` of every row; ``part`` numbers the components by code."""
     coded = materialise(fingerprints(docs, words), "simhash-codes")
     codes = materialise(coded.groupBy("code").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     parts = components(links(codes, radius))
     classes = codes.join(parts, F.col("code") == F.col("node"), "left").select("code", "least_id", F.coalesce("component", "code").alias("part"))
     least = classes.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    classes = classes.join(least, "part").select(F.col("code").alias("__code"), "component_id")
-    return coded.join(classes, F.col("code") == F.col("__code")).select(
-        "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+    classes = classes.join(least, "part").select(F.col("code").alias("__code"), "part", "component_id")
+    return coded.join(classes, F.col("code") == F.col("__code")).drop("__code")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with all columns, one row of each near-duplicate group.
+
+    The row with the least ``doc_id`` stays (null last); of rows with one id the
+    one with the least hash of its text, and of rows alike in both, one.
+    """
+    no_id = F.lit(-(1 << 63)).cast("long")
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", no_id).alias("id"), "own")
+    first = _grouped(docs, radius).groupBy("part").agg(F.min(ranked).alias("row"))
+    first = first.select(F.col("row.id").alias("__first"), F.col("row.own").alias("__first_own")).distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__own": F.xxhash64(F.coalesce("text", F.lit("")))})
+    chosen = keyed.join(first, (F.col("__id") == F.col("__first")) & (F.col("__own") == F.col("__first_own")), "left_semi")
+    return chosen.dropDuplicates(["__id", "__own"]).select(*docs.columns)
