@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import decontaminate, line_templates, packing, pfor, quality, simhash
+from auditloom.llm import decontaminate, line_templates, ngram_lm, packing, pfor, quality, simhash, toxicity
 from auditloom.llm.texts import documents
 
 
@@ -29,14 +29,23 @@ def op5_quality(spark, sf_dir):
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_kneser_ney(spark, sf_dir):
+    return ngram_lm.report(documents(spark, sf_dir))
+
+
 def op8_token_files(spark, sf_dir):
     return pfor.read_tokens(pfor.write_tokens(documents(spark, sf_dir), word_bpe()))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_line_templates(spark, sf_dir):
     return line_templates.report(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op3_simhash, op4_decontamination, op5_quality, op8_token_files, op10_line_templates)}
+    op2_packing, op3_simhash, op4_decontamination, op5_quality, op6_kneser_ney, op8_token_files,
+    op9_toxicity, op10_line_templates)}
 ORACLES = {"op4_decontamination": decontaminate.ORACLE}
