@@ -11,35 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import shared_files
+from auditloom.llm.packed import expand, from_planes, planes, scramble, squeeze
 from auditloom.llm.texts import LOWER, SPACE, as_strings, by_bytes, byte_view, plain, split_words
 from auditloom.session import materialise
 from auditloom.shipping import map_arrow
 
 END = 0  # hash kept for the end token
 HELD_ROWS = 3_000_000
-_codec = pa.Codec("zstd", 1)
-
-
-def squeeze(values: np.ndarray) -> bytes:
-    """Ascending or small numbers as compressed byte planes of their differences."""
-    values = values.astype(np.uint64)
-    gaps = np.diff(values, prepend=np.uint64(0))
-    raw = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
-
-
-def expand(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(_codec.decompress(data[8:], size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def scramble(keys: np.ndarray) -> np.ndarray:
-    """A one-to-one 64-bit hash (multiply and shift rounds)."""
-    h = keys.astype(np.uint64)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h
 
 
 def total(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +91,7 @@ def _packed(kind: str, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray)
     keys, counts, bucket = keys[order], counts[order], bucket[order]
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, int)
     for start, stop in zip(first, [*first[1:], len(keys)], strict=True):
-        yield _row(kind, int(bucket[start]), squeeze(keys[start:stop]), _codec_counts(counts[start:stop]))
-
-
-def _codec_counts(counts: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
-
-
-def _counts(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(_codec.decompress(data[8:], size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
+        yield _row(kind, int(bucket[start]), squeeze(keys[start:stop]), planes(counts[start:stop]))
 
 
 def _by_bucket(batches) -> Iterator[tuple[int, dict[str, Sums]]]:
@@ -137,7 +104,7 @@ def _by_bucket(batches) -> Iterator[tuple[int, dict[str, Sums]]]:
                     yield now, sums
                 now, sums = bucket, {}
             held = sums.setdefault(kind, Sums())
-            held.add(expand(keys), _counts(counts))
+            held.add(expand(keys), from_planes(counts).astype(np.int64))
             if held.held > HELD_ROWS:
                 held.add(*held.take())
     if sums:
