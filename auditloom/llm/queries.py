@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from auditloom.llm import decontaminate, line_templates, ngram_lm, packing, pfor, quality, simhash, toxicity
+from auditloom.llm import (
+    decontaminate,
+    licences,
+    line_templates,
+    ngram_lm,
+    packing,
+    pfor,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 from auditloom.llm.texts import documents
 
 
@@ -13,6 +24,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licences(spark, sf_dir):
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op2_packing(spark, sf_dir):
     return packing.digest(packing.pack(documents(spark, sf_dir), word_bpe()))
 
@@ -33,6 +48,10 @@ def op6_kneser_ney(spark, sf_dir):
     return ngram_lm.report(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
 def op8_token_files(spark, sf_dir):
     return pfor.read_tokens(pfor.write_tokens(documents(spark, sf_dir), word_bpe()))
 
@@ -46,6 +65,6 @@ def op10_line_templates(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op3_simhash, op4_decontamination, op5_quality, op6_kneser_ney, op8_token_files,
-    op9_toxicity, op10_line_templates)}
+    op1_licences, op2_packing, op3_simhash, op4_decontamination, op5_quality, op6_kneser_ney, op7_suffix_dedup,
+    op8_token_files, op9_toxicity, op10_line_templates)}
 ORACLES = {"op4_decontamination": decontaminate.ORACLE}
