@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm.texts import shield
 from auditloom.session import materialise
 
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -96,9 +97,10 @@ def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float =
     gone = drops(docs, min_texts, similarity, keep_first)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("__own", own).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    rows = shield(docs)
+    joined = rows.withColumn("__own", own).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("__dropped", at)), "\n")
-    return joined.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(left)).select(*rows.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

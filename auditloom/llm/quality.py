@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.llm.texts import shield
 from auditloom.operators.small import attach_row
 from auditloom.session import materialise
 
@@ -194,5 +195,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    judged = _verdict(with_features(docs), cutoffs_for(docs, labels))
-    return judged.where("__kept").select(*docs.columns)
+    rows = shield(docs)
+    judged = _verdict(with_features(rows), cutoffs_for(docs, labels))
+    return judged.where("__kept").select(*rows.columns).toDF(*docs.columns)

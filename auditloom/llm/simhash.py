@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
 from auditloom.llm.gray_index import least_linked
-from auditloom.llm.texts import LOWER, SPACE, by_bytes, byte_view, plain, split_words
+from auditloom.llm.texts import LOWER, SPACE, by_bytes, byte_view, plain, shield, split_words
 from auditloom.session import materialise
 from auditloom.shipping import map_arrow
 
@@ -199,6 +199,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", no_id).alias("id"), "own")
     first = _grouped(docs, radius).groupBy("part").agg(F.min(ranked).alias("row"))
     first = first.select(F.col("row.id").alias("__first"), F.col("row.own").alias("__first_own")).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__own": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = shield(docs)
+    keyed = rows.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__own": F.xxhash64(F.coalesce("text", F.lit("")))})
     chosen = keyed.join(first, (F.col("__id") == F.col("__first")) & (F.col("__own") == F.col("__first_own")), "left_semi")
-    return chosen.dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    return chosen.dropDuplicates(["__id", "__own"]).select(*rows.columns).toDF(*docs.columns)

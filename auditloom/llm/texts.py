@@ -22,6 +22,11 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def shield(docs: DataFrame) -> DataFrame:
+    """``docs`` with its extra columns under names that no operator uses; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "lang") else f"__extra{i}" for i, c in enumerate(docs.columns)])
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
