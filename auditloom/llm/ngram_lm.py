@@ -89,9 +89,8 @@ def _packed(kind: str, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray)
     """One row per bucket; ``keys`` ascend."""
     order = np.argsort(bucket, kind="stable")
     keys, counts, bucket = keys[order], counts[order], bucket[order]
-    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, int)
-    for start, stop in zip(first, [*first[1:], len(keys)], strict=True):
-        yield _row(kind, int(bucket[start]), squeeze(keys[start:stop]), planes(counts[start:stop]))
+    for b, start, stop in _spans(bucket):
+        yield _row(kind, b, squeeze(keys[start:stop]), planes(counts[start:stop]))
 
 
 def _by_bucket(batches) -> Iterator[tuple[int, dict[str, Sums]]]:

@@ -168,7 +168,7 @@ class Landmarks:
         rows = np.searchsorted(bounds, at, "right") - 1
         np.maximum.at(out, rows, self.vectors[place[at]])
         # letters set apart by blanks: runs of four and more one-character words are one unit
-        single = np.concatenate(([False], ends - starts <= 2, [False]))
+        single = np.concatenate(([False], (ends - starts == 1) | ((ends - starts == 2) & (low[starts] >= 0xC2)), [False]))
         single[1:-1] &= ~np.isin(low[starts], np.frombuffer(b"|-*.,&%#$", np.uint8))
         edge = np.diff(single.astype(np.int8))
         for first, last in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):

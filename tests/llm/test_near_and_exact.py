@@ -142,12 +142,12 @@ def test_colliding_hashes_are_told_apart():
 
 
 def test_line_templates(spark, odd, none):
-    rows = [(i, f"Unique opening words number {i} of text {chr(97 + i)}.\nPosted on 12 May {2000 + i} by the staff of {chr(98 + i)} news\nshort one\nplain common closing words") for i in range(12)]
+    rows = [(i, f"{chr(97 + i) * 3} opening words of text {chr(97 + i)}.\nPosted on 12 May {2000 + i} by the staff of {chr(98 + i)} news\nshort one\nplain common closing words") for i in range(12)]
     rows += [(20, "plain common closing words"), (21, "plain common closing phrase"), (22, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_templates.drop_lines(frame).collect()}
     assert got[0] == rows[0][1] and got[21] == rows[13][1] and got[22] is None and got[20] == ""
-    assert got[5] == "Unique opening words number 5 of text f.\nshort one"
+    assert got[5] == "fff opening words of text f.\nshort one"
     same = line_templates.drop_lines(odd)
     assert same.columns == odd.columns and sorted(map(repr, same.collect())) == sorted(map(repr, odd.collect()))
     assert line_templates.drop_lines(none).count() == 0 and line_templates.report(none).count() == 0
