@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.session import checkpointed
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One round. ``large``: a node's larger neighbours move to its least one; else itself and its smaller ones."""
@@ -30,10 +32,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the rounds end when one changes nothing. Links of a node with itself and null
     ends are ignored; an empty table gives no rows.
     """
-    links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct().checkpoint()
+    links = checkpointed(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
     last = None
     for _ in range(max_rounds):
-        links = _star(_star(links, True), False).checkpoint()
+        links = checkpointed(_star(_star(links, True), False))
         now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == last or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.texts import LOWER, SPACE, as_strings, by_bytes, byte_view, plain, split_words
+from auditloom.session import checkpointed
 from auditloom.shipping import map_arrow
 
 DECAY = 0.7
@@ -266,7 +267,7 @@ def landmark_words(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on the bounded sample: landmarks, then pooled kernel values (``rows`` x landmarks numbers) in the driver."""
-    sample = training_rows(docs, labels, rows).checkpoint()
+    sample = checkpointed(training_rows(docs, labels, rows))
     words = landmark_words(sample)
 
     def valued(batches):
