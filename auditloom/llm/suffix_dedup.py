@@ -22,9 +22,11 @@ from auditloom.shipping import map_arrow
 WINDOW = 50
 GRAM = 16
 SPAN = WINDOW - GRAM  # windows of one anchor start at most so far before it
-SEGMENT = 1 << 20
-CHUNK_ANCHORS = 1 << 20
-SORT_SUFFIXES = 1 << 19
+SEGMENT = 1 << 18
+SLICE = 2 << 20
+CHUNK_ANCHORS = 1 << 19
+CHUNK_CONTEXTS = 1 << 17
+SORT_SUFFIXES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LOW = np.uint64((1 << 23) - 1)
@@ -212,6 +214,34 @@ def _least(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _smaller(buffer: np.ndarray, starts: np.ndarray, by: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows have an equal window of the same class ``by`` with a smaller ``doc``.
+
+    Windows are dealt into finer classes by their first and last eight bytes; the
+    suffixes of each class are then merge-sorted.
+    """
+    head, tail = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for i in range(8):
+        head = (head << np.uint64(8)) | buffer[starts + i]
+        tail = (tail << np.uint64(8)) | buffer[starts + WINDOW - 8 + i]
+    ranked = np.lexsort((tail, head, by))
+    edge = np.ones(len(ranked), bool)
+    for key in (by, head, tail):
+        edge[1:] &= key[ranked[1:]] == key[ranked[:-1]]
+    edge[1:] = ~edge[1:]
+    first = np.flatnonzero(edge)
+    size = np.diff(np.append(first, len(ranked)))
+    ranked = ranked[np.repeat(size > 1, size)]
+    size = size[size > 1]
+    hit = np.zeros(len(starts), bool)
+    if len(size):
+        begin = np.cumsum(size) - size
+        suffixes = Suffixes(buffer, starts)
+        order = suffixes.sort(ranked, begin, size)
+        hit[order] = _least(suffixes.classes(order, begin, size), doc[order]) < doc[order]
+    return hit
+
+
 def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarray, lead: np.ndarray, texts: list[bytes]):
     """Covered byte ranges ``(doc, own, start, end)`` of entries that share anchors.
 
@@ -237,43 +267,36 @@ def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarra
     early = np.flatnonzero(~late)
     early = early[np.argsort(kind[early], kind="stable")]
     at_kind = np.searchsorted(kind[early], np.arange(len(index) + 1))
-    windows = np.cumsum(np.array([(sizes[some[order[begin[g]:stop[g]]]] - WINDOW + 1).sum() for g in crowded], np.int64))
-    cuts = np.searchsorted(windows, np.arange(SORT_SUFFIXES, (windows[-1] if len(windows) else 0) + SORT_SUFFIXES, SORT_SUFFIXES), "left")
-    last = 0
-    for cut in [*np.unique(cuts + 1).tolist()] if len(crowded) else []:
-        groups = crowded[last:cut]
-        last = min(cut, len(crowded))
-        if not len(groups):
-            continue
+    count_of = sizes[some] - WINDOW + 1
+    windows = np.cumsum(np.add.reduceat(count_of[order], begin)[crowded]) if len(crowded) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(crowded):
+        stop_at = max(at + 1, int(np.searchsorted(windows, (windows[at - 1] if at else 0) + SORT_SUFFIXES, "right")))
+        groups = crowded[at:stop_at]
+        blocks = -(-int(windows[stop_at - 1] - (windows[at - 1] if at else 0)) // SORT_SUFFIXES)
+        at = stop_at
         members = np.concatenate([order[begin[g]:stop[g]] for g in groups])
+        group = np.repeat(np.arange(len(groups)), stop[groups] - begin[groups])
         shown = some[members]
         buffer = np.frombuffer(b"".join([texts[i] for i in shown]), np.uint8)
-        base = np.concatenate(([0], np.cumsum(sizes[shown])))
-        count = sizes[shown] - WINDOW + 1
-        owner = np.repeat(np.arange(len(shown)), count)
-        step = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        starts = base[owner] + step
-        distance = lead[shown][owner] - step
-        group = np.repeat(np.repeat(np.arange(len(groups)), stop[groups] - begin[groups]), count)
-        by_class = group * (SPAN + 1) + distance
-        sorted_in = np.argsort(by_class, kind="stable")
-        cb, ce = _spans(by_class[sorted_in])
-        suffixes = Suffixes(buffer, starts)
-        ranked = suffixes.sort(sorted_in, cb, ce - cb)
-        number = suffixes.classes(ranked, cb, ce - cb)
-        low = np.empty(len(owner), np.int64)
-        low[ranked] = _least(number, least[members[owner[ranked]]])
-        hit = low < least[members[owner]]
-        hit_first, hit_last = runs(hit)
-        # runs of hit windows within one text
-        inner = np.flatnonzero(np.diff(owner)) + 1
-        hit_first = np.union1d(hit_first, inner[hit[inner]]) if len(inner) else hit_first
-        stops = np.union1d(hit_last, inner) if len(inner) else hit_last
-        hit_last = stops[np.searchsorted(stops, hit_first, "right")] if len(hit_first) else hit_first
-        for a, b in zip(hit_first.tolist(), hit_last.tolist(), strict=True):
-            k = members[owner[a]]
-            e = early[at_kind[k]:at_kind[k + 1]]
-            spans.append((doc[e], own[e], first[e] + step[a], first[e] + step[b - 1] + WINDOW))
+        base = np.concatenate(([0], np.cumsum(sizes[shown])[:-1]))
+        # a group with very many windows is taken by ranges of the distance to the anchor
+        for near in np.array_split(np.arange(SPAN + 1), min(blocks, SPAN + 1)):
+            first_step = np.maximum(lead[shown] - near[-1], 0)
+            count = np.maximum(np.minimum(lead[shown] - near[0] + 1, count_of[members]) - first_step, 0)
+            owner = np.repeat(np.arange(len(shown)), count)
+            if not len(owner):
+                continue
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first_step[owner]
+            hit = _smaller(buffer, base[owner] + step, group[owner] * (SPAN + 1) + lead[shown][owner] - step, least[members[owner]])
+            at_hit = np.flatnonzero(hit)
+            joined = (np.diff(at_hit) == 1) & (owner[at_hit[1:]] == owner[at_hit[:-1]])
+            run_first = at_hit[np.concatenate(([True], ~joined))] if len(at_hit) else at_hit
+            run_last = at_hit[np.concatenate((~joined, [True]))] if len(at_hit) else at_hit
+            kinds = members[owner[run_first]]
+            copies = at_kind[kinds + 1] - at_kind[kinds]
+            e = early[np.repeat(at_kind[kinds], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+            spans.append((doc[e], own[e], first[e] + np.repeat(step[run_first], copies), first[e] + np.repeat(step[run_last], copies) + WINDOW))
     return [np.concatenate([s[i] for s in spans]) for i in range(4)]
 
 
@@ -311,7 +334,7 @@ def _covers(rows: DataFrame) -> DataFrame:
             kinds = [pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["bucket", "gram", "ids", "salts", "places"])
 
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=SLICE):
             found = anchors(*byte_view(batch.column("text")))
             if not len(found["row"]):
                 continue
@@ -362,7 +385,7 @@ def _covers(rows: DataFrame) -> DataFrame:
             names = ["bucket", "gram", "ids", "owns", "first", "lead", "sizes", "texts"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=SLICE):
             offsets, data = byte_view(batch.column("text"))
             found = anchors(offsets, data)
             ids, owns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "own"))
@@ -380,7 +403,7 @@ def _covers(rows: DataFrame) -> DataFrame:
             raw = data.tobytes()
             kept.append((found["gram"][keep], ids[row], owns[row], first, found["place"][keep] - first, [raw[a:b] for a, b in zip(begin, end, strict=True)]))
             count += len(keep)
-            if count >= CHUNK_ANCHORS // 4:
+            if count >= CHUNK_CONTEXTS:
                 yield flush()
                 kept, count = [], 0
         if kept:
@@ -420,7 +443,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     joined = rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt")), "left").select("id", "own", "text", "gone")
 
     def cut(batches):
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=SLICE):
             offsets, data = byte_view(batch.column("text"))
             lists = batch.column("gone")
             rows_of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
