@@ -10,7 +10,7 @@ from auditloom.functions import metrics as M
 from auditloom.functions import text as X
 from auditloom.operators.fusion import window_scores
 from auditloom.operators.ordering import order_rows, quantiles
-from auditloom.operators.small import attach_row, checked
+from auditloom.operators.small import attach_row
 from auditloom.sources.tables import require_columns
 
 POSITIVE, NEGATIVE, EXCLUDED = ["malicious"], ["benign", "weak_benign", "unlabeled"], ["ambiguous"]
@@ -173,38 +173,37 @@ def calibrate(benign: DataFrame, rates: list[float] | None = None,
     found = quantiles(scored, score, list(target), **limits)
     names = F.create_map(*[F.lit(float(x)) for kv in target.items() for x in kv])
     thresholds = found.select(names[F.col("probability")].alias("target_fpr"), F.col("quantile").alias("threshold"))
-    # one row per rate: a handful, so it is read once and its counts come from one pass
-    thresholds, _ = checked(thresholds, len(rates))
-    return _count_at(scored, thresholds, score, {
-        "benign_windows": lambda hit: F.count(F.lit(1)),
-        "benign_flagged": F.count_if,
-    }).withColumn("actual_fpr", M.ratio(F.col("benign_flagged"), F.col("benign_windows")))
-
-
-def _count_at(df: DataFrame, thresholds: DataFrame, score: str, counts: dict) -> DataFrame:
-    """Counts per threshold row from a single aggregation over ``df``."""
-    rows = thresholds.collect()
-    aggregates = [
-        F.struct(*[make(F.col(score) >= F.lit(r["threshold"])).alias(name) for name, make in counts.items()])
-        for r in rows]
-    one = df.agg(F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()], a.alias("_counts"))
-        for r, a in zip(rows, aggregates, strict=True)]).alias("_rows"))
-    return one.select(F.inline("_rows")).select(*thresholds.columns, "_counts.*")
+    counted = counts_at(scored.withColumn("_y", F.lit(0)), thresholds, score, "_y", **limits)
+    return counted.select(*thresholds.columns, F.col("_all").alias("benign_windows"), F.col("fp").alias("benign_flagged")).withColumn(
+        "actual_fpr", M.ratio(F.col("benign_flagged"), F.col("benign_windows")))
+
+
+def counts_at(df: DataFrame, thresholds: DataFrame, score: str, truth: str = "y_true", **limits: int) -> DataFrame:
+    """Threshold rows with ``tp, fp, tn, fn`` of ``score >= threshold``, for any number of thresholds.
+
+    Scores and thresholds run down one order in which a threshold follows the
+    scores equal to it, and the running counts are read off at the thresholds.
+    """
+    y, columns = F.col(truth), thresholds.columns
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_at")).agg(
+        F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_n"))
+    marks = thresholds.select(
+        F.col("threshold").cast("double").alias("_at"), F.lit(0).cast("bigint").alias("_p"), F.lit(0).cast("bigint").alias("_n"),
+        F.struct(*columns).alias("_given"))
+    both = counts.withColumn("_given", F.lit(None).cast(marks.schema["_given"].dataType)).unionByName(marks)
+    both = both.withColumn("_is_mark", F.col("_given").isNotNull().cast("int"))
+    ordered = order_rows(both, [], [F.desc("_at"), "_is_mark"], **limits)
+    ordered = ordered.running("sum", F.col("_p"), "tp").running("sum", F.col("_n"), "fp")
+    totals = df.agg(F.count_if(y == 1).alias("_all_p"), F.count_if(y == 0).alias("_all_n"), F.count(F.lit(1)).alias("_all"))
+    found = attach_row(ordered.result().where("_is_mark = 1"), totals)
+    return found.withColumns({"tn": F.col("_all_n") - F.col("fp"), "fn": F.col("_all_p") - F.col("tp")}).select(
+        "_given.*", "_all", "tp", "fp", "tn", "fn")
 
 
 def evaluate_thresholds(thresholds: DataFrame, labelled: DataFrame,
-                        score: str = "iforest_anomaly_score", limit: int = 1000) -> DataFrame:
+                        score: str = "iforest_anomaly_score", **limits: int) -> DataFrame:
     """Calibrated thresholds with the metrics they reach on labelled scores."""
-    thresholds, is_small = checked(thresholds, limit)
-    if not is_small:
-        raise ValueError(f"more than {limit} thresholds; use threshold_sweep instead")
-    y = F.col("y_true")
-    found = _count_at(labelled, thresholds, score, {
-        "eval_windows": lambda hit: F.count(F.lit(1)),
-        "tp": lambda hit: F.count_if((y == 1) & hit), "fp": lambda hit: F.count_if((y == 0) & hit),
-        "tn": lambda hit: F.count_if((y == 0) & ~hit), "fn": lambda hit: F.count_if((y == 1) & ~hit),
-    }).withColumns(M.rates())
+    found = counts_at(labelled, thresholds, score, **limits).withColumnRenamed("_all", "eval_windows").withColumns(M.rates())
     return found.withColumnRenamed("fpr", "eval_fpr").drop("tnr", "accuracy").withColumn(
         "eval_predicted_positive", F.col("tp") + F.col("fp"))
 

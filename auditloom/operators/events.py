@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom import schema as S
 from auditloom.functions import text as X
+from auditloom.operators.small import checked
 from auditloom.sources.audit_log import read_raw
 from auditloom.sources.tables import read_table
 
@@ -102,14 +103,16 @@ def syscall_dimension(spark: SparkSession) -> DataFrame:
 def resolve_syscalls(events: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Turn ``syscall_raw`` into ``syscall`` (name) and ``syscall_num``.
 
-    A syscall table has a few hundred rows; the given one is broadcast.
+    A syscall table has a few hundred rows; the given one is broadcast if its size allows.
     """
-    dimension = syscall_dimension(events.sparkSession) if dimension is None else dimension
+    given, is_small = dimension is not None, True
+    dimension = dimension if given else syscall_dimension(events.sparkSession)
     raw = F.coalesce("syscall_raw", F.lit(""))
     is_name = (raw != "") & ~raw.rlike("^[0-9]+$")
-    joined = events.join(
-        F.broadcast(dimension.select(F.col("num").alias("_num"), F.col("name").alias("_name"))),
-        F.col("syscall_raw") == F.col("_num"), "left")
+    table = dimension.select(F.col("num").alias("_num"), F.col("name").alias("_name"))
+    if given:
+        table, is_small = checked(table)
+    joined = events.join(F.broadcast(table) if is_small else table, F.col("syscall_raw") == F.col("_num"), "left")
     return joined.withColumns({
         "syscall": F.coalesce("_name", raw),
         "syscall_num": F.when(is_name, "").otherwise(raw),

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from auditloom import schema as S
 from auditloom.operators.ordering import quantiles
 from auditloom.operators.windows import FeatureSchema
+from auditloom.shipping import ship
 from auditloom.sources.tables import load_schema, save_schema
 
 NODES = "tree int, node int, feature int, cut double, left int, right int, depth int, size int"
@@ -91,18 +92,24 @@ def expected_path(n: float) -> float:
 def sample_rows(df: DataFrame, keys: list[str], trees: int, rows: int, total: int, seed: int) -> DataFrame:
     """About ``2 * rows`` candidates per tree leave the scan; the best ``rows`` are kept.
 
+    Tickets are whole 64-bit hashes, so any number of rows is drawn from evenly.
     The choice depends only on row keys, tree and seed, so partitioning does not
     change it.
     """
-    draw = [F.xxhash64(F.lit(seed), F.lit(t), *[F.col(k) for k in keys]) for t in ("a", "b")]
-    share = min(1.0, 2.0 * rows / max(total, 1))
-    spread = F.lit(1 << 30)
-    ticket = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.xxhash64(draw[0], draw[1], t).alias("ticket")))
-    chosen = ticket if share >= 1.0 else F.filter(
-        ticket, lambda x: F.pmod(x["ticket"], spread) < int(share * (1 << 30)))
-    rows_per_tree = df.select(*keys, "vector", F.explode(chosen).alias("_draw")).select(
-        *keys, "vector", "_draw.tree", F.pmod(F.col("_draw.ticket"), spread).alias("ticket"))
+    if total > 2 * rows * trees:
+        # one hash a row: those under the rate are drawn, and a second hash deals them to the trees
+        ticket = F.xxhash64(F.lit(seed), F.lit("draw"), *[F.col(k) for k in keys])
+        below = min(int((2.0 * rows * trees / total) * 2.0**64) - 2**63, 2**63 - 1)
+        tree = F.pmod(F.xxhash64(F.lit(seed), F.lit("tree"), *[F.col(k) for k in keys]), F.lit(trees)).cast("int")
+        rows_per_tree = df.where(ticket < F.lit(below)).select(*keys, "vector", tree.alias("tree"), ticket.alias("ticket"))
+    else:
+        draw = [F.xxhash64(F.lit(seed), F.lit(t), *[F.col(k) for k in keys]) for t in ("a", "b")]
+        tickets = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+            t.alias("tree"), F.xxhash64(draw[0], draw[1], t).alias("ticket")))
+        below = min(int(min(1.0, 2.0 * rows / max(total, 1)) * 2.0**64) - 2**63, 2**63 - 1)
+        chosen = F.filter(tickets, lambda x: x["ticket"] <= F.lit(below))
+        rows_per_tree = df.select(*keys, "vector", F.explode(chosen).alias("_draw")).select(
+            *keys, "vector", "_draw.tree", "_draw.ticket")
     order = Window.partitionBy("tree").orderBy("ticket", *keys)
     return rows_per_tree.withColumn("_rank", F.row_number().over(order)).where(
         F.col("_rank") <= rows).select("tree", "_rank", "vector")
@@ -150,6 +157,7 @@ class IForestModel:
             tail = [expected_path(n) if f < 0 else 0.0 for n, f in zip(tree["size"], tree["feature"], strict=True)]
             trees.append((tree["feature"].to_numpy(), tree["cut"].to_numpy(), tree["left"].to_numpy(),
                           tree["right"].to_numpy(), tree["depth"].to_numpy() + np.array(tail)))
+        ship(spark)
         shared = spark.sparkContext.broadcast(trees)
         normal, offset = expected_path(self.sample_size), self.offset
 
@@ -231,6 +239,7 @@ def fit_iforest(df: DataFrame, keys: list[str] | None = None, features: str = "f
         out.insert(0, "tree", tree)
         return out
 
+    ship(df.sparkSession)
     # at most trees * (2 * max_samples - 1) nodes
     nodes = sample.groupBy("tree").applyInPandas(grow, NODES).toPandas()
     model = IForestModel(nodes, preprocessor, size, -0.5, schema)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import CountVectorizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +17,10 @@ from pyspark.sql.types import DoubleType
 from auditloom import schema as S
 from auditloom.operators.ordering import number_rows
 from auditloom.operators.small import attach
+from auditloom.shipping import ship
 
-HASH_BUCKETS = 4096
+# all ids of the token columns fit: the vocabulary keeps some hundreds of values a column
+MAX_TOKENS = 1 << 18
 
 
 def group_split(df: DataFrame, group: str = "segment_id", share: float = 0.25, seed: int = 42,
@@ -112,7 +114,8 @@ def fit_sequence_classifier(train: DataFrame, threshold: float = S.SEQUENCE_THRE
     pipeline = Pipeline(stages=[
         # a declared size spares the assembler a look at the first row
         VectorSizeHint(inputCol="_numeric", size=3 * len(S.NUMERIC_COLUMNS)),
-        HashingTF(inputCol="_tokens", outputCol="_bag", numFeatures=HASH_BUCKETS),
+        # every token that training has met gets a weight of its own
+        CountVectorizer(inputCol="_tokens", outputCol="_bag", minDF=1.0, vocabSize=MAX_TOKENS),
         VectorAssembler(inputCols=["_numeric", "_bag"], outputCol="_input"),
         LogisticRegression(featuresCol="_input", labelCol="y", weightCol="_weight",
                            maxIter=max_iter, regParam=reg),
@@ -145,6 +148,7 @@ def score_with(df: DataFrame, make_predict: Callable[[], Callable], length: int,
     """
     if batch_size <= 0:
         raise ValueError("the batch size must be positive")
+    ship(df.sparkSession)
     predict = predict_batch_udf(
         make_predict, return_type=DoubleType(), batch_size=batch_size,
         input_tensor_shapes=[[length, len(S.TOKEN_COLUMNS)], [length, len(S.NUMERIC_COLUMNS)]])

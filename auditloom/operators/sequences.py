@@ -227,6 +227,14 @@ def sliding_sequences(ordered: Ordered, length: int = 50, stride: int = 10,
     return found
 
 
+def with_tie(df: DataFrame, tie: str | None) -> tuple[DataFrame, str]:
+    """A column that orders events of one time and number: the given one, else a hash of the row."""
+    if tie and tie in df.columns:
+        return df, tie
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return df.withColumn("row_hash", F.xxhash64(*sorted(plain))), "row_hash"
+
+
 def segment_sizes(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
     """Events and first appearance per segment, and the size of the largest one."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*ORDER)).alias("_seen"))
@@ -251,11 +259,16 @@ def number_sequences(sequences: DataFrame, starts: DataFrame, by: list[str]) ->
 def build_sequences(df: DataFrame, vocab: DataFrame | None = None, length: int = 50,
                     stride: int = 10, segment: str | None = "attack_run_id",
                     labels: list[str] | None = None, min_malicious: int = 5,
-                    vocab_size: int = 256, tie: str | None = None,
+                    vocab_size: int = 256, tie: str | None = None, hosts: list[str] | None = None,
                     **limits: int) -> tuple[DataFrame, DataFrame]:
-    """Labelled training sequences and the vocabulary used to encode them."""
+    """Labelled training sequences and the vocabulary used to encode them.
+
+    One log is one run of events. With several, ``hosts`` names the columns that
+    tell them apart: no sequence then holds events of two hosts, and the columns
+    stay in the result.
+    """
     events = prepare_sequence_events(df, labels or ["benign", "malicious"], tie)
-    by = ["segment"]
+    by = [*(hosts or []), "segment"]
     events = events.withColumn("segment", F.col(segment) if segment in events.columns else F.lit("all"))
     events = solid_keys(events, by)
     vocab = learn_vocab(events, vocab_size) if vocab is None else vocab
@@ -276,6 +289,13 @@ def inference_sequences(df: DataFrame, vocab: DataFrame, length: int = 50, strid
     return sliding_sequences(ordered, length, stride, None).withColumnRenamed("k", "sequence_id")
 
 
+def too_short(df: DataFrame, length: int, by: list[str] | None = None) -> DataFrame:
+    """Sources with fewer events than one sequence needs: ``events, needed``."""
+    by = ["source"] if by is None else by
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("events"))
+    return sizes.where(F.col("events") < length).withColumn("needed", F.lit(length))
+
+
 def require_sequences(df: DataFrame, length: int, by: list[str] | None = None) -> DataFrame:
     """Fail when a source has fewer events than one sequence needs."""
     by = ["source"] if by is None else by

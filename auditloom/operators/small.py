@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.session import materialise
+
 MAX_SMALL_ROWS = 100_000
 MAX_SMALL_BYTES = 64 << 20
 
@@ -12,13 +14,27 @@ MAX_SMALL_BYTES = 64 << 20
 def checked(df: DataFrame, limit: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool]:
     """``(table, True)`` with a local copy when ``df`` is small in rows and bytes.
 
-    At most ``limit + 1`` rows are fetched. A larger table comes back unchanged
-    with ``False`` and must be joined by a shuffle.
+    A table of fixed-width columns is bounded by its rows: at most ``limit + 1``
+    are fetched. One with texts is written once, its rows and bytes are measured
+    there, and only a table within both limits is fetched. A larger one
+    comes back with ``False`` and must be joined by a shuffle.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows > limit or head.nbytes > MAX_SMALL_BYTES:
-        return df, False
-    return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    wide = {"string", "binary", "array", "map", "struct", "variant"}
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    if not wide & set(kinds.values()):
+        head = df.limit(limit + 1).toArrow()
+        if head.num_rows > limit or head.nbytes > MAX_SMALL_BYTES:
+            return df, False
+        return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    size = F.lit(0).cast("bigint")
+    for name, kind in kinds.items():
+        text = F.col(f"`{name}`") if kind in ("string", "binary") else F.to_json(F.struct(f"`{name}`")) if kind in wide else None
+        size = size + (F.lit(8) if text is None else F.coalesce(F.octet_length(text), F.lit(0)))
+    kept = materialise(df, "small")
+    seen = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    if seen["rows"] > limit or seen["bytes"] > MAX_SMALL_BYTES:
+        return kept, False
+    return df.sparkSession.createDataFrame(kept.toArrow(), schema=df.schema), True
 
 
 def solid_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
-from auditloom.operators.small import checked
 
 EVIDENCE_ITEMS, REPORT_ITEMS, REPORT_WIDTH = 8, 5, 220
 SUMMARY_FIELDS = [
@@ -73,17 +72,6 @@ def summary_lines(alerts: DataFrame, combined: DataFrame, parameters: dict, inpu
     return head.unionByName(body).orderBy("part", "source", "alert_id").select("value")
 
 
-def summary_document(alerts: DataFrame, combined: DataFrame, parameters: dict, inputs: dict | None = None,
-                     limit: int = 10_000) -> DataFrame:
-    """The summary as a single JSON document, for at most ``limit`` alerts."""
-    records, is_small = checked(alert_records(alerts), limit)
-    if not is_small:
-        raise ValueError(f"more than {limit} alerts; use summary_lines")
-    head = triage_summary(alerts, combined, parameters, inputs)
-    listed = records.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("alerts"))
-    return head.withColumn("alerts", listed.scalar()).select(F.to_json(F.struct("*")).alias("value"))
-
-
 def shortened(value: Column, limit: int = REPORT_WIDTH) -> Column:
     text = X.stripped(value)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 3), F.lit("...")))
@@ -125,3 +113,41 @@ def triage_report(alerts: DataFrame, items: int = REPORT_ITEMS) -> DataFrame:
     order = ["max_combined_score", "max_lstm_probability", "max_iforest_anomaly_score"]
     return rows.select(*order, "source", "alert_id", F.posexplode(lines).alias("line_no", "value")).orderBy(
         *[F.desc(c) for c in order], "source", "alert_id", "line_no")
+
+
+CAVEAT = "> These scores rank what to look at first; they prove nothing by themselves. Check alerts against the events."
+EMPTY = "No alert intervals exceeded the configured threshold."
+FILES = ["events", "windows", "sequences", "combined", "ranked", "alerts", "alert_members", "alert_windows", "unscored", "summary"]
+
+
+def full_report(alerts: DataFrame, combined: DataFrame, parameters: dict, inputs: dict | None = None, items: int = REPORT_ITEMS) -> DataFrame:
+    """The whole report as ordered lines ``(part, value)``: header, alerts, list of tables."""
+    given = inputs or {}
+    spark = alerts.sparkSession
+
+    def fact(name: str, value: Column | str) -> Column:
+        return F.concat(F.lit(f"- {name}: `"), F.lit(value).cast("string") if not isinstance(value, Column) else value.cast("string"), F.lit("`"))
+
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm:ss 'UTC'")
+    counts = alerts.agg(F.count(F.lit(1)).alias("n"))
+    positive = combined.agg(F.coalesce(F.sum("combined_alert"), F.lit(0)).alias("n"))
+    head = F.array(
+        F.lit("# Triage Report"), F.lit(""), fact("Generated", now), fact("Input", str(given.get("input", ""))),
+        fact("Output directory", str(given.get("output_dir", ""))), fact("Alert intervals", counts.scalar()),
+        fact("Positive sequences", positive.scalar()), fact("IF threshold", str(parameters.get("iforest_threshold", ""))),
+        fact("Combined threshold", str(parameters.get("combined_threshold", ""))), fact("LSTM weight", str(parameters.get("lstm_weight", ""))),
+        F.lit(""), F.lit(CAVEAT), F.lit(""))
+    title = F.when(counts.scalar() > 0, F.array(F.lit("## Alert Intervals"), F.lit(""))).otherwise(
+        F.array(F.lit("## Alerts"), F.lit(""), F.lit(EMPTY), F.lit("")))
+    tail = F.array(F.lit("## Generated Files"), F.lit(""), *[F.lit(f"- `{f}`") for f in FILES], F.lit(""))
+    order = ["max_combined_score", "max_lstm_probability", "max_iforest_anomaly_score"]
+    keys = [*order, "source", "alert_id"]
+    body = triage_report(alerts, items).select(F.lit(1).alias("part"), *keys, "line_no", "value")
+    kinds = body.schema
+
+    def block(part: int, lines: Column) -> DataFrame:
+        rows = spark.range(1).select(F.posexplode(lines).alias("line_no", "value"))
+        return rows.select(F.lit(part).alias("part"), *[F.lit(None).cast(kinds[k].dataType).alias(k) for k in keys], "line_no", "value")
+
+    every = block(0, F.concat(head, title)).unionByName(body).unionByName(block(2, tail))
+    return every.orderBy("part", *[F.desc(k) for k in order], "source", "alert_id", "line_no").select("part", "value")

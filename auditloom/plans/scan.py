@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from auditloom.operators import fusion as G
 from auditloom.operators.events import load_events
 from auditloom.operators.iforest import IForestModel
 from auditloom.operators.seqmodel import SequenceModel, score_sequences
-from auditloom.operators.sequences import inference_sequences
+from auditloom.operators.sequences import inference_sequences, too_short, with_tie
+from auditloom.operators.intervals import overlap_pairs
 from auditloom.operators.small import solid_keys
 from auditloom.operators.windows import build_window_features, with_defaults
 from auditloom.plans import report as J
@@ -58,23 +59,35 @@ class Scan:
     combined: DataFrame
     members: DataFrame
     alerts: DataFrame
+    unscored: DataFrame          # sources with too few events for one sequence
     parameters: ScanParameters
+    inputs: dict[str, str] = field(default_factory=dict)
 
     def ranked(self, n: int | None = None) -> DataFrame:
         return G.rank_alerts(self.combined, n, ["source", "sequence_id"])
 
     def summary(self, **inputs: str) -> DataFrame:
-        return J.summary_lines(self.alerts, self.combined, asdict(self.parameters), inputs)
+        return J.summary_lines(self.alerts, self.combined, asdict(self.parameters), {**self.inputs, **inputs})
 
-    def report(self, items: int = J.REPORT_ITEMS) -> DataFrame:
-        return J.triage_report(self.alerts, items)
+    def report(self, items: int = J.REPORT_ITEMS, output_dir: str = "") -> DataFrame:
+        return J.full_report(self.alerts, self.combined, asdict(self.parameters), {**self.inputs, "output_dir": output_dir}, items)
+
+    def alert_windows(self) -> DataFrame:
+        """``source, alert_id, window_id``: the windows that the sequences of an alert overlap."""
+        windows = G.window_scores(self.windows, self.parameters.iforest_threshold).select(
+            "source", "window_id", F.col("window_start_us").alias("_ws"), F.col("window_end_us").alias("_we"))
+        members = self.members.select("source", "alert_id", "start_us", "end_us")
+        pairs = overlap_pairs(members, windows, ["source"], ("start_us", "end_us"), ("_ws", "_we"))
+        return pairs.select("source", "alert_id", "window_id").distinct()
 
     def write(self, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-        for name in ("events", "windows", "sequences", "combined", "alerts"):
+        for name in ("events", "windows", "sequences", "combined", "alerts", "unscored"):
             write_table(getattr(self, name), f"{path}/{name}", fmt, mode)
+        write_table(self.ranked(), f"{path}/ranked", fmt, mode)
         write_table(H.alert_members(self.members), f"{path}/alert_members", fmt, mode)
+        write_table(self.alert_windows(), f"{path}/alert_windows", fmt, mode)
         self.summary(output_dir=path).write.mode(mode).text(f"{path}/summary")
-        self.report().select("value").write.mode(mode).text(f"{path}/report")
+        self.report(output_dir=path).select("value").write.mode(mode).text(f"{path}/report")
 
 
 def _complete(events: DataFrame) -> DataFrame:
@@ -98,18 +111,19 @@ def scan_events(events: DataFrame, forest: IForestModel, model: SequenceModel, v
     events = materialise(_complete(events), "events")
     features, _ = build_window_features(events, p.window_us, forest.schema)
     windows = materialise(forest.transform(features, p.iforest_threshold), "windows")
-    found = inference_sequences(events, vocab, p.sequence_length, p.stride, **limits)
+    ordered, tie = with_tie(events, order[0] if order else None)
+    found = inference_sequences(ordered, vocab, p.sequence_length, p.stride, tie=tie, **limits)
     scored = score_sequences(found, model, p.lstm_threshold).drop("x_cat", "x_num")
     sequences = materialise(scored, "sequences")
     if sequences.isEmpty():
         raise ValueError(f"no source has the {p.sequence_length} events that one sequence needs")
-    joined = G.overlap_scores(sequences, windows, threshold=p.iforest_threshold)
+    joined = G.overlap_scores(sequences, windows, threshold=p.iforest_threshold, norm_by=["source"], lists=False)
     combined = materialise(G.combine(joined, p.lstm_weight, p.combined_threshold), "combined")
     members = H.alert_sessions(combined, p.alert_gap_us, **limits)
     members = materialise(members, "members")
     alerts = materialise(H.with_evidence(
         H.summarise_alerts(members, lists=False), events, p.top_events, order, **limits), "alerts")
-    return Scan(events, windows, sequences, combined, members, alerts, p)
+    return Scan(events, windows, sequences, combined, members, alerts, too_short(events, p.sequence_length), p)
 
 
 def scan(spark: SparkSession, forest: IForestModel, model: SequenceModel, vocab: DataFrame,
@@ -118,7 +132,9 @@ def scan(spark: SparkSession, forest: IForestModel, model: SequenceModel, vocab:
     """Score a raw log or a parsed event table."""
     events = load_events(spark, raw, parsed, source, **options)
     order = ["first_pos"] if "first_pos" in events.columns else None
-    return scan_events(events, forest, model, vocab, parameters, order)
+    given = raw if raw is not None else parsed
+    inputs = {"input": given if isinstance(given, str) else "|".join(given or []), "input_type": "raw" if raw is not None else "parsed"}
+    return replace(scan_events(events, forest, model, vocab, parameters, order), inputs=inputs)
 
 
 def alert_list(alerts: DataFrame) -> DataFrame:

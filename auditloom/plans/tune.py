@@ -12,7 +12,7 @@ from auditloom.operators import evaluation as E
 from auditloom.operators import fusion as G
 from auditloom.operators.iforest import IForestModel, fit_iforest
 from auditloom.operators.seqmodel import SequenceModel, fit_sequence_classifier, group_split, score_sequences
-from auditloom.operators.sequences import build_sequences
+from auditloom.operators.sequences import build_sequences, with_tie
 from auditloom.operators.windows import build_window_features
 from auditloom.plans.scan import ScanParameters
 from auditloom.session import materialise
@@ -37,9 +37,12 @@ class Tuned:
 def tune(baseline: DataFrame, holdout: DataFrame, labelled: DataFrame,
          parameters: ScanParameters | None = None, trees: int = 300, top: int = 50, vocab_size: int = 256,
          min_malicious: int = 5, validation_share: float = 0.25, seed: int = 42,
-         segment: str = "attack_run_id", overlap_by: list[str] | None = None, **limits: int) -> Tuned:
+         segment: str = "attack_run_id", tie: str | None = None, **limits: int) -> Tuned:
     """Fit both detectors, choose thresholds on benign data and measure them on labels.
 
+    Every step keeps to one host: sequences, the windows they overlap and the
+    scaling of window scores are taken per ``source``. ``tie`` names the column
+    with the input order of events; without it a hash of the row settles ties.
     ``baseline`` and ``holdout`` are benign events, ``labelled`` reviewed ones.
     Feature tables are written once because every later step reads them again.
     """
@@ -56,8 +59,9 @@ def tune(baseline: DataFrame, holdout: DataFrame, labelled: DataFrame,
     calibration = E.calibrate(held, **limits)
     frame = E.window_eval_frame(marked)
 
-    sequences, vocab = build_sequences(labelled, length=p.sequence_length, stride=p.stride, segment=segment,
-                                       min_malicious=min_malicious, vocab_size=vocab_size, **limits)
+    ordered, tie = with_tie(labelled, tie)
+    sequences, vocab = build_sequences(ordered, length=p.sequence_length, stride=p.stride, segment=segment,
+                                       min_malicious=min_malicious, vocab_size=vocab_size, tie=tie, hosts=["source"], **limits)
     vocab = materialise(vocab, "vocab")
     sequences = materialise(sequences, "sequences")
     split = group_split(sequences, share=validation_share, seed=seed, **limits)
@@ -66,7 +70,7 @@ def tune(baseline: DataFrame, holdout: DataFrame, labelled: DataFrame,
     scores = score_sequences(split.where("is_validation"), model).drop("x_cat", "x_num", "is_validation")
     scores = materialise(E.sequence_eval_frame(scores), "validation")
 
-    fused = G.overlap_scores(scores, marked, "sequence", p.iforest_threshold, by=overlap_by or [])
+    fused = G.overlap_scores(scores, marked, "sequence", p.iforest_threshold, by=["source"], norm_by=["source"], lists=False)
     decided = materialise(E.mark_all(G.decisions(fused, threshold, p.combined_threshold, p.lstm_weight)), "decisions")
     return Tuned(
         forest, model, vocab, calibration, E.evaluate_thresholds(calibration, frame),

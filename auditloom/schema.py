@@ -139,7 +139,8 @@ CALIBRATION_RATES = [0.001, 0.0025, 0.005, 0.01, 0.02, 0.05]
 # --- row types ---------------------------------------------------------------
 
 POSITION = T.StructType([
-    T.StructField("file_rank", T.LongType()),
+    T.StructField("modified", T.TimestampType()),
+    T.StructField("file_hash", T.LongType()),
     T.StructField("block_start", T.LongType()),
     T.StructField("line_no", T.LongType()),
 ])

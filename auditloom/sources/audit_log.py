@@ -5,38 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.operators.ordering import number_rows
-from auditloom.operators.small import attach
-
-
-def log_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files behind ``paths`` ranked oldest first by modification time.
-
-    Only the file listing is read, not the contents.
-    """
-    files = spark.read.format("binaryFile").load(paths).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_modification_time").alias("modified"))
-    return number_rows(files, [], ["modified", "file_path"], "file_rank")
-
 
 def read_raw(spark: SparkSession, paths: str | list[str], source: str | Column = "",
              source_pattern: str | None = None) -> DataFrame:
     """Lines of plain or gzip logs as ``(source, pos, value)``.
 
-    Invalid UTF-8 becomes replacement characters. ``pos`` orders lines by file
-    age, block and line. ``source`` names the host: a fixed name or, with
+    Invalid UTF-8 becomes replacement characters. ``pos`` orders lines by the age
+    of their file, block and line; files of one age follow a hash of their path.
+    It is made from what the reader knows of each line, so lines are neither
+    joined nor moved. ``source`` names the host: a fixed name or, with
     ``source_pattern``, group 1 of that pattern on the file path.
     """
-    lines = spark.read.text(paths).select(
-        F.make_valid_utf8("value").alias("value"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"))
-    ranks = log_files(spark, paths).select("file_path", "file_rank")
-    lines = attach(lines, ranks, ["file_path"])
+    path = F.col("_metadata.file_path")
     if source_pattern:
-        host = F.regexp_extract("file_path", source_pattern, 1)
+        host = F.regexp_extract(path, source_pattern, 1)
     else:
         host = F.lit(source) if isinstance(source, str) else source
-    return lines.select(host.alias("source"), F.struct("file_rank", "block_start", "line_no").alias("pos"), "value")
+    pos = F.struct(
+        F.col("_metadata.file_modification_time").alias("modified"), F.xxhash64(path).alias("file_hash"),
+        F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_no"))
+    return spark.read.text(paths).select(host.alias("source"), pos.alias("pos"), F.make_valid_utf8("value").alias("value"))

@@ -21,8 +21,10 @@ def intervals_from_metadata(spark: SparkSession, root: str, file_name: str = "me
                  F.monotonically_increasing_id().alias("line")).alias("pos"),
         F.regexp_extract("value", r"^([^=]*)=(?s:.*)$", 1).alias("name"),
         F.regexp_extract("value", r"^[^=]*=((?s:.*))$", 1).alias("setting"))
-    below = F.regexp_extract("metadata_path", rf"{root.rstrip('/')}/([^/]+)/", 1)
-    lines = lines.where(~below.isin("chains", "capabilities"))
+    # listed paths are URI-encoded; the root is compared as text, whatever characters it holds
+    folder = root.rstrip("/").removeprefix("file://") + "/"
+    after = F.substring_index(F.url_decode(F.regexp_replace("metadata_path", "\\+", "%2B")), folder, -1)
+    lines = lines.where(~F.substring_index(after, "/", 1).isin("chains", "capabilities"))
     keys = S.INTERVAL_COLUMNS[:-1]
     runs = lines.where(F.col("name").isin(keys)).groupBy("metadata_path").pivot("name", keys).agg(
         F.max_by("setting", "pos"))

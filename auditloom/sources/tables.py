@@ -18,10 +18,14 @@ def require_columns(df: DataFrame, required: list[str], what: str = "table") ->
 
 
 def read_table(spark: SparkSession, path: str | list[str], required: list[str] | None = None,
-               optional: list[str] | None = None, fmt: str = "csv") -> DataFrame:
-    """Read a table; CSV columns are text and blanks stand for missing values."""
+               optional: list[str] | None = None, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+    """Read a table; CSV columns are text and blanks stand for missing values.
+
+    Values may hold line breaks, which makes each CSV file the work of one task.
+    ``multi_line=False`` splits large files whose values hold none.
+    """
     if fmt == "csv":
-        df = spark.read.option("multiLine", True).csv(path, header=True, escape='"', inferSchema=False)
+        df = spark.read.option("multiLine", multi_line).csv(path, header=True, escape='"', inferSchema=False)
         df = df.na.fill("")
     else:
         df = spark.read.format(fmt).load(path)

@@ -40,7 +40,7 @@ def preprocessed(spark, sf_dir):
 def forest_scores(spark, sf_dir):
     rows, schema = features(spark, sf_dir)
     benign = rows.where(~F.col("window_label").isin("malicious"))
-    model = I.fit_iforest(benign if not benign.isEmpty() else rows, trees=50, schema=schema)
+    model = I.fit_iforest(benign, trees=50, schema=schema)
     path = fresh(spark, "forest")
     model.save(spark, path)
     scored = I.IForestModel.load(spark, path).transform(rows, 0.0)

@@ -60,10 +60,13 @@ def test_scan_finds_bursts_and_writes_all_stages(spark, models, tmp_path):
     assert head["parameters"]["lstm_weight"] == 0.7
     report = [r[0] for r in spark.read.text(str(tmp_path / "out/report")).collect()]
     assert sum(x.startswith("### Alert") for x in report) == len(alerts) and any("rm -rf /tmp/x (" in x for x in report)
-    document = json.loads(J.summary_document(found.alerts, found.combined, {"a": 1}).first()[0])
-    assert len(document["alerts"]) == len(alerts) and document["parameters"] == {"a": 1}
-    with pytest.raises(ValueError, match="summary_lines"):
-        J.summary_document(found.alerts, found.combined, {}, limit=1)
+    assert report[0] == "# Triage Report" and f"- Alert intervals: `{len(alerts)}`" in report and "## Generated Files" in report
+    quiet = [r["value"] for r in J.full_report(found.alerts.where("false"), found.combined, {"lstm_weight": 0.7}).collect()]
+    assert J.EMPTY in quiet and "- LSTM weight: `0.7`" in quiet
+    windows = spark.read.parquet(str(tmp_path / "out/alert_windows"))
+    assert windows.select("alert_id").distinct().count() == len(alerts)
+    assert spark.read.parquet(str(tmp_path / "out/ranked")).count() == found.combined.count()
+    assert spark.read.parquet(str(tmp_path / "out/unscored")).count() == 0
     T.write_table(alert_list(found.alerts), str(tmp_path / "csv"), "csv")
     row = T.read_table(spark, str(tmp_path / "csv"), ["alert_id"]).orderBy("alert_id").first()
     assert row["top_event_keys"].startswith("file_destroy:")
