@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.packed import compress, decompress, expand, from_planes, planes, scramble, squeeze
 from auditloom.llm.texts import by_bytes, byte_view, runs
+from auditloom.session import materialise
 from auditloom.shipping import map_arrow
 
 WINDOW = 50
@@ -307,13 +308,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.col("own").bitwiseAND(0xFFFF))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """``(id, own, start, end)``: byte ranges covered by windows of documents with a smaller id."""
-    return _covers(_keyed(docs))
+def _copies(rows: DataFrame) -> DataFrame:
+    """``(__id, __salt, __own)`` of the documents whose whole text a document with a smaller id has."""
+    named = rows.select("id", "salt", "own", F.unhex(F.sha2("text", 256)).alias("sha"))
+    first = named.groupBy("sha").agg(F.min("id").alias("first")).withColumnRenamed("sha", "__sha")
+    late = named.join(first, (F.col("sha") == F.col("__sha")) & (F.col("id") > F.col("first")))
+    return late.select(F.col("id").alias("__id"), F.col("salt").alias("__salt"), F.col("own").alias("__own")).distinct()
 
 
-def _covers(rows: DataFrame) -> DataFrame:
-    buckets = max(2, 1 << (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def _same(own: bool = True):
+    condition = (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt"))
+    return condition & (F.col("own") == F.col("__own")) if own else condition
+
+
+def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(id, own, start, end)``: byte ranges covered by windows of documents with a smaller id.
+
+    Whole copies are left out: their first document holds every string of theirs.
+    """
+    tasks = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 4 << (tasks - 1).bit_length()  # a task takes some buckets, one at a time
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def pack(kept: list[dict]):
@@ -362,10 +376,10 @@ def _covers(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(salts[keep]), pa.array(places[keep].astype(np.int32))], ["id", "salt", "place"])
 
     packed = map_arrow(rows, find, "bucket long, gram binary, ids binary, salts binary, places binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     places = map_arrow(dealt, shared, "id long, salt long, place int").groupBy("id", "salt").agg(F.collect_set("place").alias("places"))
     places = places.withColumnsRenamed({"id": "__id", "salt": "__salt"})
-    joined = rows.join(places, (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt")))
+    joined = rows.join(places, _same(False)).drop("__id", "__salt").join(copies, _same(), "left_anti")
 
     def contexts(batches):
         kept, count = [], 0
@@ -422,7 +436,7 @@ def _covers(rows: DataFrame) -> DataFrame:
 
     around = map_arrow(joined.select("id", "own", "text", "places"), contexts,
                        "bucket long, gram binary, ids binary, owns binary, first binary, lead binary, sizes binary, texts binary")
-    dealt = around.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = around.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, cover, "id long, own long, start long, end long")
 
 
@@ -438,9 +452,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     rows = _keyed(docs)
     salt = F.col("own").bitwiseAND(0xFFFF).alias("__salt")
-    gone = _covers(rows).select(F.col("id").alias("__id"), salt, F.struct("own", "start", "end").alias("s"))
+    copies = materialise(_copies(rows), "suffix-copies")
+    gone = _covers(rows, copies).select(F.col("id").alias("__id"), salt, F.struct("own", "start", "end").alias("s"))
     gone = gone.groupBy("__id", "__salt").agg(F.collect_set("s").alias("gone"))
-    joined = rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt")), "left").select("id", "own", "text", "gone")
+    joined = rows.join(gone, _same(False), "left").drop("__id", "__salt")
+    joined = joined.join(copies.withColumn("copy", F.lit(True)), _same(), "left").select("id", "own", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def cut(batches):
         for batch in by_bytes(batches, limit=SLICE):
@@ -454,6 +470,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             depth = np.zeros(len(data) + 1, np.int64)
             np.add.at(depth, (at + start)[mine], 1)
             np.add.at(depth, (at + end)[mine], -1)
+            whole = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (np.diff(offsets) >= WINDOW)
+            np.add.at(depth, offsets[:-1][whole], 1)
+            np.add.at(depth, offsets[1:][whole], -1)
             gone_byte = np.cumsum(depth[:-1]) > 0
             first = np.zeros(len(data), bool)
             first[offsets[:-1][offsets[:-1] < len(data)]] = True
