@@ -55,12 +55,9 @@ def tidy(word: str) -> str:
 
 
 def units(word: str) -> list[str]:
-    """A word and its beginning, which endings do not change; of a long word overlapping pieces."""
-    word = tidy(word)
+    """A word, or overlapping pieces of a long one."""
     step = UNIT_CHARS // 2
-    if len(word) > UNIT_CHARS:
-        return [word[i:i + UNIT_CHARS] for i in range(0, len(word) - step, step)]
-    return [word, word[:STEM]] if len(word) > STEM else [word]
+    return [word[i:i + UNIT_CHARS] for i in range(0, len(word) - step, step)] if len(word) > UNIT_CHARS else [word]
 
 
 class Landmarks:
@@ -92,6 +89,7 @@ class Landmarks:
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.stems: dict[str, int] = {}
         self.vectors = np.zeros((1, len(self.words)), np.float32)
 
     def _values(self, texts: list[str]) -> np.ndarray:
@@ -134,6 +132,14 @@ class Landmarks:
         out[out < FLOOR] = 0
         return out
 
+    def _keep(self, values: np.ndarray) -> np.ndarray:
+        """Places of the rows in ``vectors``, 0 for rows without values."""
+        some = values.any(axis=1)
+        place = np.zeros(len(values), np.int64)
+        place[some] = len(self.vectors) + np.arange(some.sum())
+        self.vectors = np.concatenate((self.vectors, values[some]))
+        return place
+
     def places(self, words: list[bytes]) -> np.ndarray:
         """For each word the row of ``vectors`` with its values; row 0 is zero."""
         if len(self.index) > CACHE_WORDS:
@@ -143,14 +149,18 @@ class Landmarks:
         missing = np.flatnonzero(found < 0)
         for start in range(0, len(missing), 20_000):
             part = missing[start:start + 20_000]
-            parts = [units(words[i].decode("utf-8", "replace")) for i in part]
+            plain = [tidy(words[i].decode("utf-8", "replace")) for i in part]
+            # the beginnings of words, which endings do not change, are far fewer than words
+            stems = [w[:STEM] if STEM < len(w) <= UNIT_CHARS else "" for w in plain]
+            fresh = [w for w in dict.fromkeys(stems) if w not in self.stems]
+            self.stems.update(zip(fresh, self._keep(self._values(fresh)).tolist(), strict=True))
+            parts = [units(w) for w in plain]
             values = self._values([u for p in parts for u in p])
             bounds = np.cumsum([0, *map(len, parts)])
             values = np.maximum.reduceat(values, bounds[:-1], axis=0)
-            some = values.any(axis=1)
-            place = np.zeros(len(part), np.int64)
-            place[some] = len(self.vectors) + np.arange(some.sum())
-            self.vectors = np.concatenate((self.vectors, values[some]))
+            stem = np.fromiter((self.stems[w] for w in stems), np.int64, len(stems))
+            values[stem > 0] = np.maximum(values[stem > 0], self.vectors[stem[stem > 0]])
+            place = self._keep(values)
             found[part] = place
             self.index.update(zip([words[i] for i in part], place.tolist(), strict=True))
         return found
