@@ -18,6 +18,7 @@ from auditloom.shipping import map_arrow
 
 END = 0  # hash kept for the end token
 HELD_ROWS = 3_000_000
+STAT_WORDS = 1 << 17  # words whose statistics one task writes
 
 
 def total(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +234,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     sent once as compressed blocks by hash bucket, and written by the bucket's
     task as sorted hash arrays with their counts. Frequent words spread over all
     buckets, as pairs are dealt by the hash of both words. Each bucket also sends
-    on what Kneser-Ney needs per word: how many words stand before it, and how
+    on, by blocks of words, what Kneser-Ney needs per word: how many words stand before it, and how
     many of its followers were seen once, twice, or more often. There are as many
     buckets as shuffle partitions; a task holds one bucket's distinct entries.
     """
@@ -300,13 +301,12 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
             for kind, ids, values in [("before", second, np.ones(len(keys), np.int64)), ("total", first, counts),
                                       *[(f"followers{n}", first[level == n], np.ones((level == n).sum(), np.int64)) for n in (1, 2, 3)]]:
                 ids, values = total(ids, values)
-                home = model.home(np.minimum(ids.astype(np.int64), model.vocabulary - 1))[0]
-                yield from _packed(kind, ids, values, home)
+                yield from _packed(kind, ids, values, ids.astype(np.int64) // STAT_WORDS)
 
     def keep_stats(batches):
         for bucket, sums in _by_bucket(batches):
-            base = model.base[bucket]
-            size = next((b for b in model.bases.tolist() if b > base), model.vocabulary + 1) - base
+            base = bucket * STAT_WORDS
+            size = min(STAT_WORDS, model.vocabulary + 1 - base)
             files, numbers = [], []
             for kind in ("before", "total", "followers1", "followers2", "followers3"):
                 ids, values = sums[kind].take() if kind in sums else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -357,19 +357,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         start = model.vocabulary
         shift = model.shift
 
-        def by_id(ids: np.ndarray, arrays: Lookup, columns: list[int], unknown_ok: bool = True) -> np.ndarray:
+        def by_id(ids: np.ndarray, arrays: Lookup, columns: list[int], home) -> np.ndarray:
             """Values of words by number; row per number, column per array."""
             kinds, back = np.unique(ids, return_inverse=True)
             out = np.zeros((len(kinds), len(columns)), np.int64)
             real = kinds >= 0
-            if real.any():
-                last = np.minimum(kinds[real], model.vocabulary - 1)
-                bucket, place = model.home(last)
-                place = place + (kinds[real] - last)  # the start of a text stands after the last word
-                for i, column in enumerate(columns):
-                    out[real, i] = arrays.values(bucket, place, column)
+            bucket, place = home(kinds[real])
+            for i, column in enumerate(columns):
+                out[real, i] = arrays.values(bucket, place, column)
             return out[back]
 
+        def block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return ids // STAT_WORDS, ids % STAT_WORDS
+
         end = model.ids(words, np.array([END], np.uint64))[0]
         for batch in by_bytes(batches):
             hashes, place, bounds = _words(batch.column("text"))
@@ -382,10 +382,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 keys, back = np.unique(scramble(model.key(previous[known], tokens[known])), return_inverse=True)
                 bucket = (keys >> shift).astype(np.int64)
                 pair[known] = pairs.values(bucket, pairs.find(keys, bucket), 1)[back]
-            count = by_id(tokens, words, [1])[:, 0] if model.vocabulary else np.zeros(len(tokens), np.int64)
+            count = by_id(tokens, words, [1], model.home)[:, 0] if model.vocabulary else np.zeros(len(tokens), np.int64)
             if model.stats:
-                context = by_id(previous, stats, [1, 2, 3, 4])
-                before = by_id(tokens, stats, [0])[:, 0]
+                context = by_id(previous, stats, [1, 2, 3, 4], block)
+                before = by_id(tokens, stats, [0], block)[:, 0]
             else:
                 context, before = np.zeros((len(tokens), 4), np.int64), np.zeros(len(tokens), np.int64)
             p = probabilities(model, pair, context[:, 0], context[:, 1:], before)
