@@ -1,7 +1,11 @@
-"""Model, summary and whole-plan queries (groups F and J). Forest and classifier have no SQL twin."""
+"""Model, summary and whole-plan queries (groups F and J).
+
+Forest, classifier and whole plans draw at random; their queries return facts that any draw must meet.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom import schema as S
@@ -9,6 +13,8 @@ from auditloom.operators import alerts as H
 from auditloom.operators import iforest as I
 from auditloom.operators import seqmodel as M
 from auditloom.operators import windows as W
+from auditloom.operators.evaluation import DETECTORS
+from auditloom.operators.small import attach_row
 from auditloom.plans import report as J
 from auditloom.plans.scan import ScanParameters, scan_events
 from auditloom.plans.tune import tune
@@ -43,16 +49,31 @@ def forest_scores(spark, sf_dir):
     model = I.fit_iforest(benign, trees=50, schema=schema)
     path = fresh(spark, "forest")
     model.save(spark, path)
-    scored = I.IForestModel.load(spark, path).transform(rows, 0.0)
-    return scored.select("source", "window_id", F.round("iforest_anomaly_score", 9).alias("iforest_anomaly_score"),
-                         "iforest_is_anomaly", "iforest_threshold_alert")
+    loaded = I.IForestModel.load(spark, path)
+    scored = loaded.transform(rows, 0.0).select("source", "window_id", "iforest_anomaly_score", "iforest_is_anomaly", "iforest_threshold_alert")
+    # the model before saving, over other partitions
+    again = model.transform(rows.repartition(5), 0.0).select(
+        F.col("source").alias("_s"), F.col("window_id").alias("_w"), F.col("iforest_anomaly_score").alias("_again"))
+    joined = scored.join(again, (F.col("source") == F.col("_s")) & (F.col("window_id") == F.col("_w")))
+    score = F.col("iforest_anomaly_score")
+    return joined.select(
+        "source", "window_id", score.between(-0.5, 0.5).cast("int").alias("in_range"),
+        ((F.col("iforest_is_anomaly") == 1) == (score > 0)).cast("int").alias("flag_agrees"),
+        ((F.col("iforest_threshold_alert") == 1) == (score >= 0)).cast("int").alias("alert_agrees"),
+        (F.abs(score - F.col("_again")) < 1e-12).cast("int").alias("same_after_reload"))
 
 
 def embedding_forest(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"))
     model = I.fit_iforest(rows, ["vec_id"], trees=50)
-    return model.transform(rows, 0.0).select("vec_id", F.round("iforest_anomaly_score", 9).alias("iforest_anomaly_score"))
+    far = rows.agg(F.max(F.array_max("features"))).first()[0] + 50.0
+    size = len(model.preprocessor.median)
+    planted = spark.range(3).select((-1 - F.col("id")).alias("vec_id"), F.array_repeat(F.lit(far), size).alias("features"))
+    scored = model.transform(rows.unionByName(planted), 0.0).select("vec_id", F.col("iforest_anomaly_score").alias("score"))
+    least = scored.where("vec_id < 0").agg(F.min("score").alias("_least"))
+    return attach_row(scored, least).where("vec_id >= 0").select(
+        "vec_id", F.col("score").between(-0.5, 0.5).cast("int").alias("in_range"), (F.col("score") <= F.col("_least")).cast("int").alias("below_planted"))
 
 
 def split(spark, sf_dir):
@@ -72,8 +93,12 @@ def classified(spark, sf_dir):
     marks = M.group_split(build(spark, sf_dir), label=None)
     rows = materialise(marks, "split")
     model = M.fit_sequence_classifier(rows.where(~F.col("is_validation")))
-    return M.score_sequences(rows.where("is_validation"), model).select(
-        "sequence_id", F.round("lstm_malicious_probability", 9).alias("lstm_malicious_probability"), "lstm_prediction_label")
+    sides = rows.groupBy(F.col("segment_id").alias("_segment")).agg(F.count_distinct("is_validation").alias("_sides"))
+    p = F.col("lstm_malicious_probability")
+    return M.score_sequences(rows, model).join(sides, F.col("segment_id") == F.col("_segment")).select(
+        "sequence_id", p.between(0.0, 1.0).cast("int").alias("in_range"),
+        ((F.col("lstm_prediction_label") == "malicious") == (p >= model.threshold)).cast("int").alias("label_agrees"),
+        (F.col("_sides") == 1).cast("int").alias("group_on_one_side"))
 
 
 def alert_table(spark, sf_dir, scored=None):
@@ -101,19 +126,40 @@ def report(spark, sf_dir):
 
 def tuned(spark, sf_dir):
     e = audit_events(spark, sf_dir)
-    return tune(e, e, e, PARAMETERS, trees=50, top=4, min_malicious=MIN_BAD, vocab_size=32)
+    return tune(e, e, e, PARAMETERS, trees=50, top=4, min_malicious=MIN_BAD, vocab_size=32, tie="event_no")
 
 
 def tuning(spark, sf_dir):
     """Detector comparison of a whole training round."""
-    return tuned(spark, sf_dir).detectors
+    round_ = tuned(spark, sf_dir)
+    rows = round_.sequence_scores.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y_true") == 1).alias("_p"))
+    found = attach_row(round_.detectors, rows)
+    return found.select(
+        "detector", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn") == F.col("_n")).cast("int").alias("all_counted"),
+        (F.col("tp") + F.col("fn") == F.col("_p")).cast("int").alias("positives_counted"),
+        F.col("f1").between(0.0, 1.0).cast("int").alias("f1_in_range"))
 
 
 def scanned(spark, sf_dir):
-    """Alerts of a whole scan with freshly trained models."""
+    """Facts of a whole scan with freshly trained models, one row per host."""
     models = tuned(spark, sf_dir)
     found = scan_events(audit_events(spark, sf_dir), models.forest, models.model, models.vocab, PARAMETERS, ["event_no"])
-    return found.alerts.select("source", "alert_id", "start_us", "end_us", "sequence_count", "event_count", "max_combined_score")
+    events = found.events.groupBy("source").agg(F.count(F.lit(1)).alias("n_events"))
+    flagged = found.combined.groupBy("source").agg(F.sum("combined_alert").alias("flagged"))
+    members = found.members.groupBy("source").agg(F.count(F.lit(1)).alias("members"))
+    before = Window.partitionBy("source").orderBy("start_us", "alert_id")
+    apart = found.alerts.select("source", "sequence_count", (F.col("start_us") > F.coalesce(F.lag("end_us").over(before), F.lit(-(1 << 62)))).alias("apart"))
+    alerts = apart.groupBy("source").agg(F.min("apart").alias("apart"), F.sum("sequence_count").alias("in_alerts"))
+    inside = found.alerts.select(F.col("source").alias("_s"), "alert_id", "start_us", "end_us", "event_count").join(
+        found.events.select("source", "ts_us"), (F.col("_s") == F.col("source")) & F.col("ts_us").between(F.col("start_us"), F.col("end_us")), "left")
+    counted = inside.groupBy(F.col("_s").alias("source"), "alert_id", "event_count").agg(F.count("ts_us").alias("n")).groupBy("source").agg(
+        F.min((F.col("n") == F.col("event_count")).cast("int")).alias("counted"))
+    whole = events.join(flagged, "source", "left").join(members, "source", "left").join(alerts, "source", "left").join(counted, "source", "left")
+    none = F.lit(0)
+    return whole.select(
+        "source", "n_events", F.coalesce("apart", F.lit(True)).cast("int").alias("alerts_apart"), F.coalesce("counted", F.lit(1)).alias("events_counted"),
+        (F.coalesce("flagged", none) == F.coalesce("members", none)).cast("int").alias("members_flagged"),
+        (F.coalesce("members", none) == F.coalesce("in_alerts", none)).cast("int").alias("members_in_alerts"))
 
 
 QUERIES = {
@@ -144,6 +190,13 @@ def epoch(column):
 
 
 ORACLES = {
+    "isolation_forest_scores": f"""SELECT DISTINCT source, window_id, 1 AS in_range, 1 AS flag_agrees, 1 AS alert_agrees, 1 AS same_after_reload
+        FROM ({ALIGNED_SQL})""",
+    "embedding_forest_scores": "SELECT vec_id, 1 AS in_range, 1 AS below_planted FROM embeddings",
+    "sequence_classifier": f"WITH {SEQUENCES_SQL} SELECT sequence_id, 1 AS in_range, 1 AS label_agrees, 1 AS group_on_one_side FROM numbered",
+    "training_round": f"""SELECT unnest([{", ".join(f"'{d}'" for d in DETECTORS)}]) AS detector, 1 AS all_counted, 1 AS positives_counted, 1 AS f1_in_range""",
+    "log_scan": """SELECT 'host' || (user_id % 3) AS source, count(*) AS n_events, 1 AS alerts_apart, 1 AS events_counted,
+        1 AS members_flagged, 1 AS members_in_alerts FROM events GROUP BY ALL""",
     "window_preprocessing": f"""SELECT feature, round(median(value), 4) AS median, round(avg(value), 4) AS mean,
         round(CASE WHEN stddev_pop(value) < 1e-9 THEN 1.0::DOUBLE ELSE stddev_pop(value) END, 4) AS scale FROM ({ALIGNED_SQL}) GROUP BY feature""",
     "sequence_scaler": f"""WITH {SEQUENCES_SQL}, steps AS (
