@@ -32,6 +32,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LOW = np.uint64((1 << 23) - 1)
 NO_ID = -(1 << 63)
+WHOLE = -1  # end of a range that is a whole text
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -316,9 +317,8 @@ def _copies(rows: DataFrame) -> DataFrame:
     return late.select(F.col("id").alias("__id"), F.col("salt").alias("__salt"), F.col("own").alias("__own")).distinct()
 
 
-def _same(own: bool = True):
-    condition = (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt"))
-    return condition & (F.col("own") == F.col("__own")) if own else condition
+def _same():
+    return (F.col("id") == F.col("__id")) & (F.col("salt") == F.col("__salt"))
 
 
 def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
@@ -379,7 +379,9 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     places = map_arrow(dealt, shared, "id long, salt long, place int").groupBy("id", "salt").agg(F.collect_set("place").alias("places"))
     places = places.withColumnsRenamed({"id": "__id", "salt": "__salt"})
-    joined = rows.join(places, _same(False)).drop("__id", "__salt").join(copies, _same(), "left_anti")
+    copied = copies.groupBy("__id", "__salt").agg(F.collect_set("__own").alias("copied")).withColumnsRenamed({"__id": "_c", "__salt": "_s"})
+    places = places.join(copied, (F.col("__id") == F.col("_c")) & (F.col("__salt") == F.col("_s")), "left").drop("_c", "_s")
+    joined = rows.join(places, _same())  # the texts move once: the last step joins them in the same way
 
     def contexts(batches):
         kept, count = [], 0
@@ -434,7 +436,8 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
             found = covered(gram, ids, owns, first, lead, texts)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["id", "own", "start", "end"])
 
-    around = map_arrow(joined.select("id", "own", "text", "places"), contexts,
+    copy = F.coalesce(F.array_contains("copied", F.col("own")), F.lit(False))
+    around = map_arrow(joined.select("id", "own", F.when(copy, "").otherwise(F.col("text")).alias("text"), "places"), contexts,
                        "bucket long, gram binary, ids binary, owns binary, first binary, lead binary, sizes binary, texts binary")
     dealt = around.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, cover, "id long, own long, start long, end long")
@@ -453,10 +456,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     salt = F.col("own").bitwiseAND(0xFFFF).alias("__salt")
     copies = materialise(_copies(rows), "suffix-copies")
-    gone = _covers(rows, copies).select(F.col("id").alias("__id"), salt, F.struct("own", "start", "end").alias("s"))
+    whole = copies.select(F.col("__id").alias("id"), F.col("__own").alias("own"), F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("end"))
+    gone = _covers(rows, copies).unionByName(whole).select(F.col("id").alias("__id"), salt, F.struct("own", "start", "end").alias("s"))
     gone = gone.groupBy("__id", "__salt").agg(F.collect_set("s").alias("gone"))
-    joined = rows.join(gone, _same(False), "left").drop("__id", "__salt")
-    joined = joined.join(copies.withColumn("copy", F.lit(True)), _same(), "left").select("id", "own", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(gone, _same(), "left").select("id", "own", "text", "gone")
 
     def cut(batches):
         for batch in by_bytes(batches, limit=SLICE):
@@ -466,13 +469,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             flat = lists.flatten()
             own, start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             mine = own == batch.column("own").to_numpy(zero_copy_only=False)[rows_of]
+            length = np.diff(offsets)[rows_of]
+            mine &= (end != WHOLE) | (length >= WINDOW)
+            end = np.where(end == WHOLE, length, end)
             at = offsets[rows_of]
             depth = np.zeros(len(data) + 1, np.int64)
             np.add.at(depth, (at + start)[mine], 1)
             np.add.at(depth, (at + end)[mine], -1)
-            whole = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (np.diff(offsets) >= WINDOW)
-            np.add.at(depth, offsets[:-1][whole], 1)
-            np.add.at(depth, offsets[1:][whole], -1)
             gone_byte = np.cumsum(depth[:-1]) > 0
             first = np.zeros(len(data), bool)
             first[offsets[:-1][offsets[:-1] < len(data)]] = True
