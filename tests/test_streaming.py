@@ -55,3 +55,15 @@ def test_sessions_equal_batch(spark, tmp_path):
     columns = ["start_us", "end_us", "sequence_count", "max_combined_score"]
     assert sorted(map(tuple, found.where("source = 'h'").select(*columns).collect())) == sorted(
         map(tuple, batch.select(*columns).collect()))
+
+
+def test_sessions_without_length_or_gap(spark, tmp_path):
+    rows = [("h", i, t, t, 0.5, 0.25, 0.75, f"s{i}", f"e{i}", "lstm_only", 1) for i, t in enumerate([5, 5, 6, 8])]
+    rows.append(("end", 999, 10**12, 10**12, 0.1, 0.1, 0.1, "s", "e", "lstm_only", 1))
+    df = spark.createDataFrame(rows, "source string, sequence_id bigint, start_us bigint, end_us bigint, "
+                               "lstm_malicious_probability double, iforest_max_anomaly_score double, combined_score double, "
+                               "start_event_id string, end_event_id string, combined_reason string, combined_alert int")
+    df = df.withColumn("ts_us", F.col("start_us"))
+    found = replay(spark, tmp_path, df, lambda s: T.stream_alert_sessions(s, 0, "2 minutes"), "stream_points").where("source = 'h'")
+    assert sorted((r["start_us"], r["sequence_count"], r["start_event_id"], r["end_event_id"], r["combined_reason_summary"]) for r in found.collect()) == [
+        (5, 2, "s0", "e1", ["lstm_only"]), (6, 1, "s2", "e2", ["lstm_only"]), (8, 1, "s3", "e3", ["lstm_only"])]
