@@ -22,8 +22,8 @@ GROUP_ROWS = 1 << 14
 GROUP_CODES = 1 << 16
 
 
-def fingerprints_of(offsets: np.ndarray, data: np.ndarray, words: int = 3) -> np.ndarray:
-    """64-bit fingerprints of texts in a byte buffer."""
+def shingle_hashes(offsets: np.ndarray, data: np.ndarray, words: int):
+    """Yield the hashes of each text's shingles of ``words`` words, repeats included."""
     low = LOWER[data]
     starts, ends, bounds = split_words(offsets, ~SPACE[low])
     # words joined by single blanks
@@ -33,21 +33,24 @@ def fingerprints_of(offsets: np.ndarray, data: np.ndarray, words: int = 3) -> np
     text = low[np.minimum(take, max(len(low) - 1, 0))] if len(take) else low[:0]
     text[place[1:] - 1] = 32
     text = text.tobytes()
-    count = np.diff(bounds)
-    out = np.zeros(len(count), np.uint64)
     begin, stop = place[:-1].tolist(), (place[1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    for row in np.flatnonzero(count):
-        first, last = int(bounds[row]), int(bounds[row + 1])
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         span = min(words, last - first)
-        total = last - first - span + 1
+        total = last - first - span + 1 if span else 0
+        yield np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin[first:first + total], stop[first + span - 1:last], strict=True)), np.uint64, total) if total else np.zeros(0, np.uint64)
+
+
+def fingerprints_of(offsets: np.ndarray, data: np.ndarray, words: int = 3) -> np.ndarray:
+    """64-bit fingerprints of texts in a byte buffer."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for row, hashes in enumerate(shingle_hashes(offsets, data, words)):
         ones = np.zeros(64, np.int64)
-        for at in range(first, first + total, 1 << 16):
-            upto = min(at + (1 << 16), first + total)
-            hashes = np.array([digest(text[a:b], SEED) for a, b in zip(begin[at:upto], stop[at + span - 1:upto + span - 1], strict=True)], np.uint64)
-            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = (2 * ones > total).astype(np.uint8)
-        out[row] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
+        for at in range(0, len(hashes), 1 << 16):
+            part = hashes[at:at + (1 << 16)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if len(hashes):
+            out[row] = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -189,17 +192,22 @@ def _grouped(docs: DataFrame, radius: int, words: int = 3) -> DataFrame:
     return coded.join(classes, F.col("code") == F.col("__code")).drop("__code")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with all columns, one row of each near-duplicate group.
-
-    The row with the least ``doc_id`` stays (null last); of rows with one id the
-    one with the least hash of its text, and of rows alike in both, one.
-    """
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with all columns, one row of each ``part`` of ``grouped`` (``doc_id, own, part`` of every row)."""
     no_id = F.lit(-(1 << 63)).cast("long")
     ranked = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", no_id).alias("id"), "own")
-    first = _grouped(docs, radius).groupBy("part").agg(F.min(ranked).alias("row"))
+    first = grouped.groupBy("part").agg(F.min(ranked).alias("row"))
     first = first.select(F.col("row.id").alias("__first"), F.col("row.own").alias("__first_own")).distinct()
     rows = shield(docs)
     keyed = rows.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__own": F.xxhash64(F.coalesce("text", F.lit("")))})
     chosen = keyed.join(first, (F.col("__id") == F.col("__first")) & (F.col("__own") == F.col("__first_own")), "left_semi")
     return chosen.dropDuplicates(["__id", "__own"]).select(*rows.columns).toDF(*docs.columns)
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with all columns, one row of each near-duplicate group.
+
+    The row with the least ``doc_id`` stays (null last); of rows with one id the
+    one with the least hash of its text, and of rows alike in both, one.
+    """
+    return keep_first(docs, _grouped(docs, radius))
