@@ -13,59 +13,117 @@ DEPTH = 3
 FIELDS = 8
 MIN_TOKENS = 3
 MIN_TEXTS = 10
+SHORT_TEXTS = 100
+LONG_TOKENS = 8
+WORD_CHARS = 6
 SIMILARITY = 0.6
+CLOSE = 0.8
+SLOTS = 1 << 16
+VARIABLE = "<*>"
 
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit are one variable field."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", "<*>")).otherwise(line)
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE)).otherwise(line)
     return F.array_remove(F.split(masked, BLANK), "")
 
 
-def line_table(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """One narrow row per line of ``min_tokens`` tokens or more, without its text.
+def _leaf(depth: int) -> Column:
+    return F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
 
-    ``leaf`` is the line's place in the tree: its number of tokens and its first
-    ``depth`` tokens. ``template`` stands for all its tokens. ``fields`` are
-    hashes of the tokens after the first ones: one a token, or, in longer lines,
-    one for each of ``FIELDS`` equal runs of tokens.
-    """
+
+def _weight(tokens: Column) -> Column:
+    """Fixed tokens, or the words that their characters make up in a script without blanks."""
+    fixed = F.array_remove(tokens, VARIABLE)
+    return F.greatest(F.size(fixed), F.floor(F.length(F.array_join(fixed, "")) / WORD_CHARS).cast("int"))
+
+
+def needed(size: Column, weight: Column, min_texts: int) -> Column:
+    """Texts that must share a template: two for a long one, more where chance repeats are real."""
+    few = F.when(weight >= LONG_TOKENS, min(2, min_texts)).when(weight * 2 > LONG_TOKENS, max(min_texts * 2 // 5, min(2, min_texts)))
+    short = F.when(size < MIN_TOKENS, max(SHORT_TEXTS, min_texts)).otherwise(min_texts)
+    return F.coalesce(F.when(weight >= SIMILARITY * size, few), short)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    return lines.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens"))
+
+
+def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """One narrow row per line with a fixed token, without its text.
+
+    ``leaf`` is the line's place in the tree: its number of tokens and its first
+    ``depth`` tokens. ``template`` stands for all its tokens, ``size`` is their
+    number and ``weight`` the number of those that are fixed. Lines of variable
+    tokens alone count from ``MIN_TOKENS`` tokens on.
+    """
+    lines = _lines(docs).select(
+        "doc_id", "text_hash", "pos", _leaf(depth).alias("leaf"), F.xxhash64("tokens").alias("template"),
+        F.size("tokens").alias("size"), _weight(F.col("tokens")).alias("weight"))
+    return lines.where((F.col("weight") > 0) | (F.col("size") >= MIN_TOKENS))
+
+
+def token_fields(docs: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``(leaf, template, fields)`` of the templates in ``wanted`` leaves: hashes of ``FIELDS`` equal runs of tokens.
+
+    The leaves are looked up in a broadcast bitmap of fixed size, so lines of
+    other leaves go before any shuffle; a few of them stay by chance.
+    """
+    slot = F.pmod(F.col("leaf"), F.lit(SLOTS)).cast("int")
+    bit = F.shiftright(F.col("leaf"), 40).bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
+    lines = _lines(docs).where(F.size("tokens") > depth).withColumn("leaf", _leaf(depth))
+    lines = lines.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0)
     rest = F.size("tokens") - depth
     step = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
-    field = F.transform(
+    fields = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(rest / step).cast("int"), F.lit(1)) - 1),
         lambda i: F.hash(F.slice("tokens", depth + 1 + i * step, step)))
-    return lines.select(
-        "doc_id", "text_hash", "pos", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
-        F.xxhash64("tokens").alias("template"), F.when(rest > 0, field).otherwise(F.array().cast("array<int>")).alias("fields"))
+    return lines.select("leaf", F.xxhash64("tokens").alias("template"), fields.alias("fields")).groupBy("leaf", "template").agg(F.any_value("fields").alias("fields"))
 
 
-def recurring(lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(leaf, template, first_id, group)`` of the templates that ``min_texts`` different texts share.
+def recurring(docs: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(leaf, template, first_id, group)`` of the templates that enough different texts share.
 
     Copies of one text count once. A template recurs by itself, or as part of its
-    leaf: a field of a leaf is fixed if more than half of the leaf's texts agree
-    in it and variable otherwise, and the templates that agree in ``similarity``
-    of all fields with the fixed ones count together. ``group`` is what counts
-    together, ``first_id`` the least document of the group.
+    leaf: a token of a leaf is fixed if more than half of the leaf's texts agree
+    in it and variable otherwise. The templates that agree in ``similarity`` of
+    all tokens after the first ones with the fixed ones count together if
+    ``min_texts`` texts have them, those that agree in ``CLOSE`` also if fewer
+    do. ``group`` is what counts together, ``first_id`` the least document of it.
     """
-    per_text = lines.groupBy("leaf", "template", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.any_value("fields").alias("fields"))
-    counted = per_text.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_id"), F.min("fields").alias("fields"))
+    per_text = lines.groupBy("leaf", "template", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("weight").alias("weight"))
+    counted = per_text.groupBy("leaf", "template").agg(
+        F.count("*").alias("texts"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("weight").alias("weight"))
     counted = materialise(counted, "line-templates")
-    own = counted.where(F.col("texts") >= min_texts).select("leaf", "template", "first_id", F.col("template").alias("group"))
-    leaves = counted.groupBy("leaf").agg(F.sum("texts").alias("all"), F.count("*").alias("kinds"), F.max("texts").alias("most"))
-    leaves = leaves.where((F.col("all") >= min_texts) & (F.col("kinds") > 1)).select("leaf", "all")
-    crowded = counted.join(leaves, "leaf").where(F.size("fields") > 0)
+    least = needed(F.col("size"), F.col("weight"), min_texts)
+    own = counted.where(F.col("texts") >= least).select("leaf", "template", "first_id", F.col("template").alias("group"))
+    leaves = counted.where(F.col("size") > DEPTH).groupBy("leaf").agg(
+        F.sum("texts").alias("all"), F.count("*").alias("kinds"), F.max("size").alias("size"), F.max("weight").alias("weight"))
+    # as many texts as the longest of the leaf's templates needs
+    leaves = materialise(leaves.where((F.col("all") >= least) & (F.col("kinds") > 1)).select("leaf", "all"), "line-leaves")
+    fields = materialise(token_fields(docs, leaves), "line-fields")
+    crowded = counted.join(fields.withColumnsRenamed({"leaf": "__leaf", "template": "__template"}), (F.col("leaf") == F.col("__leaf")) & (F.col("template") == F.col("__template")))
+    crowded = materialise(crowded.drop("__leaf", "__template").join(leaves, "leaf"), "line-crowded")
     votes = crowded.select("leaf", "all", "texts", F.posexplode("fields").alias("at", "value")).groupBy("leaf", "all", "at", "value").agg(F.sum("texts").alias("n"))
     fixed = votes.where(F.col("n") * 2 > F.col("all")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("fixed"))
     agreed = F.aggregate(
         F.transform("fields", lambda value, at: F.when(F.col("fixed")[at] == value, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    close = crowded.join(fixed, "leaf").where(agreed >= similarity * F.size("fields"))
-    totals = close.groupBy("leaf").agg(F.sum("texts").alias("together"), F.min("first_id").alias("first")).where(F.col("together") >= min_texts)
-    grouped = close.join(totals, "leaf").select("leaf", "template", F.col("first").alias("first_id"), F.col("leaf").alias("group"))
+    share = F.col("agreed") / F.size("fields")
+    close = crowded.join(fixed, "leaf").withColumn("agreed", agreed).where(share >= similarity)
+    close = close.select("leaf", "template", "texts", "first_id", "size", "weight", (share >= CLOSE).alias("near"))
+    totals = close.groupBy("leaf").agg(
+        F.sum("texts").alias("together"), F.min("first_id").alias("first"), F.sum(F.when(F.col("near"), F.col("texts"))).alias("together_near"),
+        F.min(F.when(F.col("near"), F.col("first_id"))).alias("first_near"), F.min("size").alias("size"), F.min(F.when(F.col("near"), F.col("weight"))).alias("weight"))
+    # of a template's tokens at least this part is fixed in the group
+    certain = F.floor(F.col("weight") * CLOSE).cast("int")
+    wide = F.col("together") >= min_texts
+    totals = totals.where(wide | (F.col("together_near") >= needed(F.col("size"), certain, min_texts)))
+    totals = totals.select("leaf", wide.alias("wide"), F.when(wide, F.col("first")).otherwise(F.col("first_near")).alias("first"))
+    grouped = close.select("leaf", "template", "near").join(totals, "leaf").where("wide OR near").select("leaf", "template", F.col("first").alias("first_id"), F.col("leaf").alias("group"))
     both = own.unionByName(grouped)
     return both.groupBy("leaf", "template").agg(F.min("first_id").alias("first_id"), F.max("group").alias("group"))
 
@@ -77,7 +135,7 @@ def drops(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMIL
     no content is lost to the corpus.
     """
     lines = materialise(line_table(docs), "line-table")
-    found = recurring(lines, min_texts, similarity).withColumnsRenamed({"leaf": "__leaf", "template": "__template"})
+    found = recurring(docs, lines, min_texts, similarity).withColumnsRenamed({"leaf": "__leaf", "template": "__template"})
     hit = lines.join(found, (F.col("leaf") == F.col("__leaf")) & (F.col("template") == F.col("__template")))
     if keep_first:
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
@@ -87,9 +145,12 @@ def drops(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMIL
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY, keep_first: bool = True) -> DataFrame:
     """``docs`` with all columns; recurring lines are cut out of ``text``.
 
-    A line recurs if ``min_texts`` different texts have its template. Tokens with
-    a digit and fields that vary within a leaf of the tree are variable. Lines of
-    fewer than three tokens and blank lines stay. A document that loses no line
+    A line recurs if enough different texts have its template: two where eight or
+    more of its tokens are fixed and few variable, ``min_texts`` where five are
+    not, something between for those in the middle, and ``SHORT_TEXTS`` for lines
+    of one or two short tokens. Tokens with a digit and tokens that vary within a
+    leaf of the tree are variable. Blank lines stay, and one or two tokens with
+    digits alone. A document that loses no line
     comes back unchanged; one that loses all has an empty text. Null text stays
     null. Repeated rows are treated alike, ties in ``doc_id`` too; rows with null
     ``doc_id`` take part. Extra columns pass through; empty tables give no rows.

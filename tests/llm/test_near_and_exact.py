@@ -157,3 +157,30 @@ def test_line_templates(spark, odd, none):
 def test_copies_are_no_templates(spark):
     frame = spark.createDataFrame([(i, "one and the same text in every row\nwith a second line too") for i in range(30)], "doc_id long, text string")
     assert line_templates.report(frame).where("n_dropped > 0").count() == 0
+
+
+def filled(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+
+def kept(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in line_templates.drop_lines(frame).collect()}
+
+
+def test_long_lines_recur_from_two_texts_on(spark):
+    rng = random.Random(6)
+    long, middle, short = filled(rng, 60), filled(rng, 6), filled(rng, 3)
+    own = [filled(rng, 12) for _ in range(9)]
+    rows = [(i, own[i] + "\n" + "\n".join(([long] if i < 2 else []) + ([middle] if i in (3, 4, 5, 6) else []) + [short])) for i in range(9)]
+    got = kept(spark, rows)
+    assert got[0] == rows[0][1] and got[1] == own[1] + "\n" + short
+    assert got[3] == rows[3][1] and all(got[i] == own[i] + "\n" + short for i in (4, 5, 6))
+    assert all(got[i] == rows[i][1] for i in (2, 7, 8))
+
+
+def test_short_lines_of_very_many_texts(spark):
+    rng = random.Random(7)
+    rows = [(i, filled(rng, 12) + "\nRead more" + ("\nseldom seen" if i < 50 else "") + "\n2024 17") for i in range(120)]
+    got = kept(spark, rows)
+    assert got[0] == rows[0][1] and all(got[i] == rows[i][1].replace("\nRead more", "") for i in range(1, 120))
