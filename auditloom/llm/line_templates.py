@@ -10,7 +10,6 @@ from auditloom.session import materialise
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 DEPTH = 3
-FIELDS = 8
 MIN_TOKENS = 3
 MIN_TEXTS = 10
 SHORT_TEXTS = 100
@@ -66,7 +65,7 @@ def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def token_fields(docs: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(leaf, template, fields)`` of the templates in ``wanted`` leaves: hashes of ``FIELDS`` equal runs of tokens.
+    """``(leaf, template, fields)`` of the templates in ``wanted`` leaves: a hash of every token after the first ones.
 
     The leaves are looked up in a broadcast bitmap of fixed size, so lines of
     other leaves go before any shuffle; a few of them stay by chance.
@@ -77,11 +76,7 @@ def token_fields(docs: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> Data
     bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
     lines = _lines(docs).where(F.size("tokens") > depth).withColumn("leaf", _leaf(depth))
     lines = lines.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0)
-    rest = F.size("tokens") - depth
-    step = F.greatest(F.lit(1), F.ceil(rest / FIELDS).cast("int"))
-    fields = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(rest / step).cast("int"), F.lit(1)) - 1),
-        lambda i: F.hash(F.slice("tokens", depth + 1 + i * step, step)))
+    fields = F.transform(F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(1))), lambda t: F.hash(t))
     return lines.select("leaf", F.xxhash64("tokens").alias("template"), fields.alias("fields")).groupBy("leaf", "template").agg(F.any_value("fields").alias("fields"))
 
 

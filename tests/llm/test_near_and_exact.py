@@ -184,3 +184,20 @@ def test_short_lines_of_very_many_texts(spark):
     rows = [(i, filled(rng, 12) + "\nRead more" + ("\nseldom seen" if i < 50 else "") + "\n2024 17") for i in range(120)]
     got = kept(spark, rows)
     assert got[0] == rows[0][1] and all(got[i] == rows[i][1].replace("\nRead more", "") for i in range(1, 120))
+
+
+def test_variable_words_of_long_lines(spark):
+    rng = random.Random(8)
+    for count in (2, 12):
+        words, rows = filled(rng, 60).split(" "), []
+        for i in range(count):
+            line = list(words)
+            for at in (5, 18, 31, 44):
+                line[at] = filled(rng, 1)
+            rows.append((i, filled(rng, 12) + "\n" + " ".join(line)))
+        unlike = " ".join(words[:3] + filled(rng, 57).split(" "))
+        got = kept(spark, [*rows, (99, unlike)])
+        assert got[0] == rows[0][1] and got[99] == unlike and all(got[i] == rows[i][1].split("\n")[0] for i in range(1, count))
+    pair = [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    got = kept(spark, [(i, filled(rng, 12) + "\n" + line) for i, line in enumerate(pair)])
+    assert [len(t.split("\n")) for _, t in sorted(got.items())] == [2, 1]
