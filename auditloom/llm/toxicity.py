@@ -181,12 +181,13 @@ class Landmarks:
         # letters set apart by blanks: runs of four and more one-character words are one unit
         single = np.concatenate(([False], (ends - starts == 1) | ((ends - starts == 2) & (low[starts] >= 0xC2)), [False]))
         single[1:-1] &= ~np.isin(low[starts], np.frombuffer(b"|-*.,&%#$", np.uint8))
-        edge = np.diff(single.astype(np.int8))
-        for first, last in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            if last - first < 4:
-                continue
+        # a run ends with its row
+        edge = single[1:] != single[:-1]
+        edge[bounds] = True
+        cuts = np.flatnonzero(edge)
+        long = np.flatnonzero((np.diff(cuts) >= 4) & single[cuts[:-1] + 1])
+        for first, last in zip(cuts[long], cuts[long + 1], strict=True):
             row = int(np.searchsorted(bounds, first, "right")) - 1
-            last = min(last, bounds[row + 1])
             joined = b"".join(low[starts[i]:ends[i]].tobytes() for i in range(first, last))
             place = self.places([joined])[0]
             out[row] = np.maximum(out[row], self.vectors[place])
@@ -266,7 +267,7 @@ def landmark_words(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
     """
     words = F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")
     word = F.explode(F.array_union(words, F.transform(words, lambda w: F.substring(w, 1, STEM)))).alias("word")
-    table = rows.select("toxic", word).where(F.length("word").between(4, UNIT_CHARS)).groupBy("word").agg(
+    table = rows.select("toxic", word).where(F.length("word").between(3, UNIT_CHARS)).groupBy("word").agg(
         F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     seen = rows.agg(F.count_if("toxic").alias("t"), F.count("*").alias("n")).first()
     chances = max(2, table.where("t + c >= 2").count())

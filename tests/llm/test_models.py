@@ -109,6 +109,21 @@ def test_kernel_tolerates_gaps():
     assert pooled[0, 1] > 0.9 and not pooled[1].any() and not pooled[2].any()
 
 
+def test_spaced_letters_end_with_their_row():
+    import pyarrow as pa
+
+    marks = toxicity.Landmarks(["worthless", "stupid"])
+    texts = ["this is plan b", "s t u p i d", "x", "w o r t h l e s s", "1 2 3", ""]
+    pooled = marks.pooled(pa.array(texts))
+    alone = np.concatenate([marks.pooled(pa.array([t])) for t in texts])
+    assert (pooled == alone).all() and pooled[1, 1] > 0.9 and pooled[3, 0] > 0.9 and not pooled[[0, 2, 4, 5]].any()
+
+
+def test_words_of_three_letters_become_landmarks(spark):
+    rows = spark.createDataFrame([(f"quiet words about number{i} " + ("zob" if i % 5 == 0 else "sun"), i % 5 == 0) for i in range(100)], "text string, toxic boolean")
+    assert toxicity.landmark_words(rows) == ["zob"]
+
+
 def test_toxicity_learns_and_holds_out(spark, odd, none, marks):
     plain = "the quiet river runs along green fields and old houses in the valley of the north"
     rows = [(i, f"{plain} {i} " + (["you utter dunderhead", "such a nincompoop"][i % 2] if i % 5 == 0 else "kind words only"), int(i % 5 == 0)) for i in range(600)]
