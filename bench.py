@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from auditloom.session import build_session
@@ -28,15 +29,21 @@ def main() -> None:
         spark__ui__showConsoleProgress="false", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().collect()
-    times = {}
+    times, failed = {}, {}
     for name in HEADLINE:
         start = time.time()
-        registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as error:
+            failed[name] = f"{type(error).__name__}: {str(error)[:300]}"
+            continue
         times[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+        "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        **({"failed": failed} if failed else {})}))
     spark.stop()
+    sys.exit(1 if failed else 0)
 
 
 if __name__ == "__main__":

@@ -44,9 +44,11 @@ def preprocessed(spark, sf_dir):
 
 
 def forest_scores(spark, sf_dir):
+    """Facts of every window's score; the forest learns from windows of benign events only."""
     rows, schema = features(spark, sf_dir)
-    benign = rows.where(~F.col("window_label").isin("malicious"))
-    model = I.fit_iforest(benign, trees=50, schema=schema)
+    baseline = audit_events(spark, sf_dir).where("manual_label <> 'malicious'")
+    benign, _ = W.build_window_features(baseline, WINDOW_US, schema)
+    model = I.fit_iforest(materialise(benign, "baseline"), trees=50, schema=schema)
     path = fresh(spark, "forest")
     model.save(spark, path)
     loaded = I.IForestModel.load(spark, path)
@@ -125,8 +127,10 @@ def report(spark, sf_dir):
 
 
 def tuned(spark, sf_dir):
+    """Three disjoint parts by user: benign baseline, benign hold-out, labelled events."""
     e = audit_events(spark, sf_dir)
-    return tune(e, e, e, PARAMETERS, trees=50, top=4, min_malicious=MIN_BAD, vocab_size=32, tie="event_no")
+    part, benign = F.col("uid").cast("int") % 4, F.col("manual_label") != "malicious"
+    return tune(e.where(benign & (part == 0)), e.where(benign & (part == 1)), e.where(part > 1), PARAMETERS, trees=50, top=4, min_malicious=MIN_BAD, vocab_size=32, tie="event_no")
 
 
 def tuning(spark, sf_dir):
