@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from auditloom.llm import (
     decontaminate,
+    lexical,
     licences,
     line_templates,
     ngram_lm,
@@ -64,7 +65,11 @@ def op10_line_templates(spark, sf_dir):
     return line_templates.report(documents(spark, sf_dir))
 
 
+def op13_lexical(spark, sf_dir):
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_licences, op2_packing, op3_simhash, op4_decontamination, op5_quality, op6_kneser_ney, op7_suffix_dedup,
-    op8_token_files, op9_toxicity, op10_line_templates)}
-ORACLES = {"op4_decontamination": decontaminate.ORACLE}
+    op8_token_files, op9_toxicity, op10_line_templates, op13_lexical)}
+ORACLES = {"op4_decontamination": decontaminate.ORACLE, "op13_lexical": lexical.ORACLE}
