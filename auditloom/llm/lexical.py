@@ -243,11 +243,20 @@ def search_block(docs: DataFrame, index: DataFrame, path: str, k: int = TOP) ->
         def run(batches):
             items = item_blocks.load(path)
             weight = weights(items)
+            best: dict[int, list] = {}
             for batch in by_bytes(batches):
                 ids, wanted = batch.column("doc_id").to_pylist(), [np.asarray(x.values) for x in batch.column("items")]
-                found = [(item, ids[i], score) for i, item, score in exact_scores(batch.column("text"), wanted, items, weight, n_docs, n_terms) if score > 0]
-                a, b, c = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["item", "doc_id", "score"])
+                for i, item, score in exact_scores(batch.column("text"), wanted, items, weight, n_docs, n_terms):
+                    if score > 0:
+                        held = best.setdefault(item, [])
+                        held.append((-score, LAST if ids[i] is None else ids[i], ids[i]))
+                        if len(held) > 8 * k:
+                            # only a task's k best can be among the best of all
+                            held.sort(key=lambda x: x[:2])
+                            del held[k:]
+            found = [(item, i, -score) for item, held in best.items() for score, _, i in sorted(held, key=lambda x: x[:2])[:k]]
+            a, b, c = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["item", "doc_id", "score"])
 
         return map_arrow(joined, run, "item int, doc_id long, score long")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from auditloom.llm import (
     decontaminate,
+    html_text,
     lexical,
     licences,
     line_templates,
@@ -14,6 +15,7 @@ from auditloom.llm import (
     simhash,
     suffix_dedup,
     toxicity,
+    vector_codes,
 )
 from auditloom.llm.texts import documents
 
@@ -65,11 +67,21 @@ def op10_line_templates(spark, sf_dir):
     return line_templates.report(documents(spark, sf_dir))
 
 
+def op11_html_text(spark, sf_dir):
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_lexical(spark, sf_dir):
     return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_licences, op2_packing, op3_simhash, op4_decontamination, op5_quality, op6_kneser_ney, op7_suffix_dedup,
-    op8_token_files, op9_toxicity, op10_line_templates, op13_lexical)}
-ORACLES = {"op4_decontamination": decontaminate.ORACLE, "op13_lexical": lexical.ORACLE}
+    op8_token_files, op9_toxicity, op10_line_templates, op11_html_text,
+    op12_vector_codes, op13_lexical)}
+ORACLES = {
+    "op4_decontamination": decontaminate.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_lexical": lexical.ORACLE}
