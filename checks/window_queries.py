@@ -16,11 +16,12 @@ def windowed(spark, sf_dir):
     return W.assign_windows(W.prepare_events(audit_events(spark, sf_dir)), WINDOW_US)
 
 
+BASE_SQL_ORIGIN = "(SELECT source, min(ts_us) AS origin_us FROM audit GROUP BY source)"
 WINDOWED_SQL = f"""{AUDIT_SQL},
 windowed AS (
   SELECT *, lower(paths || '|' || path) AS all_paths, (ts_us - origin_us) // {WINDOW_US} AS window_id,
     origin_us + ((ts_us - origin_us) // {WINDOW_US}) * {WINDOW_US} AS window_start_us
-  FROM audit_paths JOIN (SELECT source, min(ts_us) AS origin_us FROM audit GROUP BY source) USING (source)
+  FROM audit_paths JOIN {BASE_SQL_ORIGIN} USING (source)
 )"""
 
 
