@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SCRATCH_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -67,6 +67,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, columns: list[Column], write) -> dict:
+    """Aggregates of ``df`` taken while ``write(df)`` writes it; no second pass reads the rows again.
+
+    ``columns`` are named aggregates without distinct values; ``write`` runs one
+    action. An empty table gives counts of 0.
+    """
+    seen = Observation()
+    write(df.observe(seen, *columns))
+    return seen.get
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its lineage cut."""
     context = df.sparkSession.sparkContext

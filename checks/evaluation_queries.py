@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import evaluation as E
 from auditloom.operators import fusion as G
+from auditloom.operators import sketches as K
 from auditloom.operators.iforest import anomaly_rate
+from auditloom.session import materialise
 from checks.audit_view import audit_events
 from checks.score_queries import COMBINED, SCORES_SQL, SEQUENCE, THRESHOLD, WEIGHT, overlapped, score_sequences, score_windows
 
@@ -124,6 +126,23 @@ def calibrated_eval(spark, sf_dir):
     return rounded(E.evaluate_thresholds(E.calibrate(benign(spark, sf_dir), RATES), rows))
 
 
+def sketched(spark, sf_dir):
+    """Thresholds per host from sketches: what each flags lies within its stated bounds, and merged parts give the same sketch."""
+    rows = scored(spark, sf_dir).where("y_true = 0").select("source", "event_no", F.col("score").alias("iforest_anomaly_score"))
+    sketch = materialise(K.score_sketch(rows), "sketch")
+    parts = [K.score_sketch(rows.where(F.col("event_no") % 3 == i).repartition(2 + i)) for i in range(3)]
+    merged = K.merge_sketches(*parts).select("source", F.struct("cell", "n", "low", "high").alias("entry"), F.lit(-1).alias("side"))
+    both = merged.unionByName(sketch.select("source", F.struct("cell", "n", "low", "high").alias("entry"), F.lit(1).alias("side")))
+    same = both.groupBy("source", "entry").agg(F.sum("side").alias("side")).groupBy(F.col("source").alias("_s")).agg((F.max(F.abs("side")) == 0).cast("int").alias("merged_equal"))
+    found = K.sketched_thresholds(sketch, RATES).withColumnRenamed("source", "_source")
+    above = rows.join(F.broadcast(found), (F.col("source") == F.col("_source")) & (F.col("iforest_anomaly_score") >= F.col("threshold")))
+    flagged = above.groupBy("source", "target_fpr", "rows", "flagged_least", "flagged_most", "rank_error").agg(F.count(F.lit(1)).alias("flagged"))
+    share = F.abs(F.col("flagged") / F.col("rows") - F.col("target_fpr"))
+    return flagged.join(same, F.col("source") == F.col("_s")).select(
+        "source", "target_fpr", F.col("rows").alias("n_rows"), F.col("flagged").between(F.col("flagged_least"), F.col("flagged_most")).cast("int").alias("in_bounds"),
+        (share <= F.col("rank_error") + 1e-12).cast("int").alias("in_rank_error"), (F.col("rank_error") <= 0.05).cast("int").alias("small_error"), "merged_equal")
+
+
 def ranked(spark, sf_dir):
     return E.rank_by_score(score_windows(spark, sf_dir), "iforest_anomaly_score", 30, ["source", "window_id"]).select(
         "source", "window_id", F.round("iforest_anomaly_score", 6).alias("score"))
@@ -148,6 +167,7 @@ QUERIES = {
     "threshold_sweep": sweep(scored),
     "document_threshold_sweep": sweep(documents),
     "best_threshold": best,
+    "sketched_thresholds": sketched,
     "binary_metrics": binary,
     "anomaly_rate_by_label": rates_by_label,
     "evaluation_results": results,
@@ -159,6 +179,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "sketched_thresholds": f"""WITH {SCORED_SQL} SELECT source, unnest({RATES})::DOUBLE AS target_fpr, count(*) AS n_rows, 1 AS in_bounds,
+        1 AS in_rank_error, 1 AS small_error, 1 AS merged_equal FROM scored WHERE y = 0 GROUP BY source""",
     "window_evaluation_frame": f"""WITH {SCORES_SQL} SELECT source, window_id, window_label, (window_label = 'malicious')::INT AS y_true,
         native AS y_pred_default FROM wins WHERE window_label <> 'ambiguous'""",
     "sequence_evaluation_frame": f"""WITH {EVALUATED_SQL} SELECT source, sequence_id,

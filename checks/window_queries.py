@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from auditloom import schema as S
 from auditloom.functions import text as X
+from auditloom.operators import sketches as K
 from auditloom.operators import windows as W
+from auditloom.session import materialise
 from checks.audit_view import AUDIT_SQL, WINDOW_US, audit_events
 
 TOP = 4
@@ -140,7 +142,31 @@ FROM (SELECT source, window_id FROM base) b CROSS JOIN learnt l
 LEFT JOIN hits h ON h.source = b.source AND h.window_id = b.window_id AND h.family = l.family AND h.value = l.value"""
 
 
+WIDER = [1, 4]
+
+
+def rolled_up(spark, sf_dir):
+    """Distinct counts of windows and of windows four times as wide: exact ones, and whether those from merged sketches agree.
+
+    Wide sketches come from narrow ones alone. Four standard errors are allowed, and one value.
+    """
+    events = windowed(spark, sf_dir)
+    narrow = materialise(K.distinct_sketches(events), "distinct-sketches")
+    out = None
+    for factor in WIDER:
+        found = K.distinct_estimates(K.widen(narrow, factor)).withColumnsRenamed({"source": "_s", "window_id": "_w", "field": "_f"})
+        wide = events.withColumn("window_id", F.floor(F.col("window_id") / factor).cast("bigint"))
+        exact = W.value_counts(wide, ["source"]).where(F.col("field").isin(S.DISTINCT_FIELDS) & (F.col("value") != "")).groupBy(
+            "source", "window_id", "field").agg(F.count(F.lit(1)).alias("n"))
+        met = exact.join(found, (F.col("source") == F.col("_s")) & (F.col("window_id") == F.col("_w")) & (F.col("field") == F.col("_f")))
+        near = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (K.HLL_BITS / 2) * F.col("n"))
+        part = met.select("source", F.lit(factor).alias("width"), "window_id", "field", "n", near.cast("int").alias("sketch_agrees"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "rolled_up_distinct_counts": rolled_up,
     "prepared_events": prepared,
     "tumbling_windows": assigned,
     "window_volume": features(VOLUME),
@@ -154,6 +180,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "rolled_up_distinct_counts": f"""WITH {WINDOWED_SQL}, wide AS (
+        SELECT w.*, width, window_id // width AS wide_id FROM windowed w, (SELECT unnest({WIDER})::INTEGER AS width)),
+        long AS (SELECT source, width, wide_id, unnest([{", ".join(f"'{c}'" for c in S.DISTINCT_FIELDS)}]) AS field, unnest([{", ".join(S.DISTINCT_FIELDS)}]) AS value FROM wide)
+        SELECT source, width, CAST(wide_id AS BIGINT) AS window_id, field, count(DISTINCT value) AS n, 1 AS sketch_agrees FROM long WHERE value <> '' GROUP BY ALL""",
     "prepared_events": f"""WITH {AUDIT_SQL} SELECT event_id, ts_us, exe_basename,
         lower(paths || '|' || path) AS all_paths, record_count FROM audit_paths""",
     "tumbling_windows": f"""WITH {WINDOWED_SQL} SELECT source, event_id, window_id, window_start_us,
