@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.texts import shield
+from auditloom.operators.small import checked
 from auditloom.session import materialise
 
-BLANK = "[\\x20\\x09-\\x0D]+"
+# a token with a digit, from its first character on; every step forward is final
+NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_TEXTS = 10
@@ -23,8 +25,10 @@ VARIABLE = "<*>"
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit are one variable field."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*", VARIABLE)).otherwise(line)
-    return F.array_remove(F.split(masked, BLANK), "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, VARIABLE)).otherwise(line)
+    for blank in "\t\x0b\x0c\r":
+        masked = F.replace(masked, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def _leaf(depth: int) -> Column:
@@ -46,38 +50,50 @@ def needed(size: Column, weight: Column, min_texts: int) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens"))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
 def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One narrow row per line with a fixed token, without its text.
+    """One narrow row per line with a fixed token, without its text; written once.
 
     ``leaf`` is the line's place in the tree: its number of tokens and its first
     ``depth`` tokens. ``template`` stands for all its tokens, ``size`` is their
     number and ``weight`` the number of those that are fixed. Lines of variable
-    tokens alone count from ``MIN_TOKENS`` tokens on.
+    tokens alone count from ``MIN_TOKENS`` tokens on. ``line_hash`` finds the line
+    again without splitting others.
     """
-    lines = _lines(docs).select(
-        "doc_id", "text_hash", "pos", _leaf(depth).alias("leaf"), F.xxhash64("tokens").alias("template"),
+    lines = _lines(docs).select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("line_hash"), _tokens(F.col("line")).alias("tokens"))
+    lines = lines.select(
+        "doc_id", "text_hash", "pos", "line_hash", _leaf(depth).alias("leaf"), F.xxhash64("tokens").alias("template"),
         F.size("tokens").alias("size"), _weight(F.col("tokens")).alias("weight"))
-    return lines.where((F.col("weight") > 0) | (F.col("size") >= MIN_TOKENS))
+    # a filter before the table is written would split every line twice
+    return materialise(lines, "line-table").where((F.col("weight") > 0) | (F.col("size") >= MIN_TOKENS))
 
 
-def token_fields(docs: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _bits(column: str) -> tuple[Column, Column]:
+    """Slot and bit of a hash in a bitmap of fixed size."""
+    bit = F.shiftright(F.col(column), 40).bitwiseAND(63).cast("int")
+    return F.pmod(F.col(column), F.lit(SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash is in ``wanted``, and a few others by chance; the bitmap that is broadcast never grows."""
+    slot, one = _bits(column)
+    bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
+    return rows.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0).drop("__slot", "__bits")
+
+
+def token_fields(docs: DataFrame, lines: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(leaf, template, fields)`` of the templates in ``wanted`` leaves: a hash of every token after the first ones.
 
-    The leaves are looked up in a broadcast bitmap of fixed size, so lines of
-    other leaves go before any shuffle; a few of them stay by chance.
+    Lines of other leaves go before any shuffle and before they are split. Those
+    that pass by chance belong to no wanted leaf and end with the next join.
     """
-    slot = F.pmod(F.col("leaf"), F.lit(SLOTS)).cast("int")
-    bit = F.shiftright(F.col("leaf"), 40).bitwiseAND(63).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
-    lines = _lines(docs).where(F.size("tokens") > depth).withColumn("leaf", _leaf(depth))
-    lines = lines.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0)
+    known = _among(lines, "leaf", wanted).select("line_hash")
+    text = _among(_lines(docs).select("line", F.xxhash64("line").alias("line_hash")), "line_hash", known)
+    split = text.select(_tokens(F.col("line")).alias("tokens")).withColumn("leaf", _leaf(depth)).where(F.size("tokens") > depth)
     fields = F.transform(F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(1))), lambda t: F.hash(t))
-    return lines.select("leaf", F.xxhash64("tokens").alias("template"), fields.alias("fields")).groupBy("leaf", "template").agg(F.any_value("fields").alias("fields"))
+    return split.select("leaf", F.xxhash64("tokens").alias("template"), fields.alias("fields")).groupBy("leaf", "template").agg(F.any_value("fields").alias("fields"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
@@ -100,7 +116,7 @@ def recurring(docs: DataFrame, lines: DataFrame, min_texts: int = MIN_TEXTS, sim
         F.sum("texts").alias("all"), F.count("*").alias("kinds"), F.max("size").alias("size"), F.max("weight").alias("weight"))
     # as many texts as the longest of the leaf's templates needs
     leaves = materialise(leaves.where((F.col("all") >= least) & (F.col("kinds") > 1)).select("leaf", "all"), "line-leaves")
-    fields = materialise(token_fields(docs, leaves), "line-fields")
+    fields = materialise(token_fields(docs, lines, leaves), "line-fields")
     crowded = counted.join(fields.withColumnsRenamed({"leaf": "__leaf", "template": "__template"}), (F.col("leaf") == F.col("__leaf")) & (F.col("template") == F.col("__template")))
     crowded = materialise(crowded.drop("__leaf", "__template").join(leaves, "leaf"), "line-crowded")
     votes = crowded.select("leaf", "all", "texts", F.posexplode("fields").alias("at", "value")).groupBy("leaf", "all", "at", "value").agg(F.sum("texts").alias("n"))
@@ -129,9 +145,11 @@ def drops(docs: DataFrame, min_texts: int = MIN_TEXTS, similarity: float = SIMIL
     With ``keep_first`` the document with the least id keeps a template, so that
     no content is lost to the corpus.
     """
-    lines = materialise(line_table(docs), "line-table")
-    found = recurring(docs, lines, min_texts, similarity).withColumnsRenamed({"leaf": "__leaf", "template": "__template"})
-    hit = lines.join(found, (F.col("leaf") == F.col("__leaf")) & (F.col("template") == F.col("__template")))
+    lines = line_table(docs)
+    # written apart from the join, so that the rows of one common line can be split
+    found = materialise(recurring(docs, lines, min_texts, similarity), "line-recurring").withColumnsRenamed({"leaf": "__leaf", "template": "__template"})
+    found, small = checked(found)
+    hit = lines.join(F.broadcast(found) if small else found, (F.col("leaf") == F.col("__leaf")) & (F.col("template") == F.col("__template")))
     if keep_first:
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
