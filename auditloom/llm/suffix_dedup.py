@@ -28,6 +28,8 @@ SLICE = 2 << 20
 CHUNK_ANCHORS = 1 << 19
 CHUNK_CONTEXTS = 1 << 17
 SORT_SUFFIXES = 1 << 18
+GATHER = 1 << 21
+KIND_ROWS = 1 << 14
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LOW = np.uint64((1 << 23) - 1)
@@ -135,6 +137,54 @@ def _spans(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(sorted_values))
 
 
+def gather(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The byte ranges one after another."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + GATHER, "right")))
+        part = sizes[at:stop]
+        out[done:ends[stop - 1]] = data[np.arange(int(ends[stop - 1]) - done) + np.repeat(begin[at:stop] - (ends[at:stop] - part - done), part)]
+        at = stop
+    return out
+
+
+def kinds(gram: np.ndarray, lead: np.ndarray, buffer: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each entry, equal for equal ``(gram, lead, text)``; the texts stand one after another in ``buffer``.
+
+    Entries are grouped by the hash of their text and compared byte by byte with
+    the first of their group; those that differ are numbered by their bytes.
+    """
+    starts = np.cumsum(sizes) - sizes
+    hashes = np.empty(len(sizes), np.uint64)
+    for a in range(0, len(sizes), KIND_ROWS):
+        part = slice(a, min(a + KIND_ROWS, len(sizes)))
+        low, high = int(starts[a]), int(starts[part.stop - 1] + sizes[part.stop - 1])
+        hashes[part] = PrefixHashes(buffer[low:high]).of(starts[part] - low, sizes[part])
+    order = np.lexsort((hashes, sizes, lead, gram))
+    edge = np.ones(len(order), bool)
+    same = [key[order[1:]] == key[order[:-1]] for key in (gram, lead, sizes, hashes)]
+    edge[1:] = ~np.logical_and.reduce(same) if len(order) > 1 else edge[1:]
+    group = np.cumsum(edge) - 1
+    number = np.empty(len(order), np.int64)
+    number[order] = group
+    leader = order[edge][group]
+    follow = np.flatnonzero(~edge)
+    wrong: list[int] = []
+    for a in range(0, len(follow), KIND_ROWS):
+        mine, first = order[follow[a:a + KIND_ROWS]], leader[follow[a:a + KIND_ROWS]]
+        differ = gather(buffer, starts[mine], sizes[mine]) != gather(buffer, starts[first], sizes[mine])
+        if differ.any():
+            wrong += mine[np.logical_or.reduceat(differ, np.cumsum(sizes[mine]) - sizes[mine])].tolist()
+    seen: dict[tuple, int] = {}
+    for i in wrong:
+        text = buffer[starts[i]:starts[i] + sizes[i]].tobytes()
+        number[i] = seen.setdefault((int(gram[i]), int(lead[i]), text), int(edge.sum()) + len(seen))
+    return number
+
+
 class Suffixes:
     """Suffixes of a buffer, compared through their common extension."""
 
@@ -244,31 +294,34 @@ def _smaller(buffer: np.ndarray, starts: np.ndarray, by: np.ndarray, doc: np.nda
     return hit
 
 
-def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarray, lead: np.ndarray, texts: list[bytes]):
+def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarray, lead: np.ndarray, buffer: np.ndarray, sizes: np.ndarray):
     """Covered byte ranges ``(doc, own, start, end)`` of entries that share anchors.
 
     An entry is the stretch of text of one anchor's windows: ``first`` is where
-    it starts in its document and ``lead`` how far before the anchor. Entries with
+    it starts in its document and ``lead`` how far before the anchor; the texts
+    of ``sizes`` bytes stand one after another in ``buffer``. Entries with
     equal text, anchor and lead collapse to their least document; the others are
     covered whole. The windows of what is left are classed by anchor and distance
     to it, sorted as suffixes, and covered where a smaller document has them.
     """
-    index: dict[tuple, int] = {}
-    kind = np.fromiter((index.setdefault(k, len(index)) for k in zip(gram.tolist(), lead.tolist(), texts, strict=True)), np.int64, len(texts))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    least = np.full(len(index), np.iinfo(np.int64).max)
+    if not len(gram):
+        return [np.zeros(0, np.int64)] * 4
+    texts, starts = buffer, np.cumsum(sizes) - sizes
+    kind = np.unique(kinds(gram, lead, buffer, sizes), return_inverse=True)[1]
+    count = int(kind.max()) + 1
+    least = np.full(count, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc)
     late = doc > least[kind]
     spans = [(doc[late], own[late], first[late], first[late] + sizes[late])]
     # one text of each kind, where its anchor has others
-    some = np.zeros(len(index), np.int64)
-    some[kind] = np.arange(len(texts))
+    some = np.zeros(count, np.int64)
+    some[kind] = np.arange(len(sizes))
     order = np.argsort(gram[some], kind="stable")
     begin, stop = _spans(gram[some][order])
     crowded = np.flatnonzero(stop - begin > 1)
     early = np.flatnonzero(~late)
     early = early[np.argsort(kind[early], kind="stable")]
-    at_kind = np.searchsorted(kind[early], np.arange(len(index) + 1))
+    at_kind = np.searchsorted(kind[early], np.arange(count + 1))
     count_of = sizes[some] - WINDOW + 1
     windows = np.cumsum(np.add.reduceat(count_of[order], begin)[crowded]) if len(crowded) else np.zeros(0, np.int64)
     at = 0
@@ -280,7 +333,7 @@ def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarra
         members = np.concatenate([order[begin[g]:stop[g]] for g in groups])
         group = np.repeat(np.arange(len(groups)), stop[groups] - begin[groups])
         shown = some[members]
-        buffer = np.frombuffer(b"".join([texts[i] for i in shown]), np.uint8)
+        buffer = gather(texts, starts[shown], sizes[shown])
         base = np.concatenate(([0], np.cumsum(sizes[shown])[:-1]))
         # a group with very many windows is taken by ranges of the distance to the anchor
         for near in np.array_split(np.arange(SPAN + 1), min(blocks, SPAN + 1)):
@@ -295,9 +348,9 @@ def covered(gram: np.ndarray, doc: np.ndarray, own: np.ndarray, first: np.ndarra
             joined = (np.diff(at_hit) == 1) & (owner[at_hit[1:]] == owner[at_hit[:-1]])
             run_first = at_hit[np.concatenate(([True], ~joined))] if len(at_hit) else at_hit
             run_last = at_hit[np.concatenate((~joined, [True]))] if len(at_hit) else at_hit
-            kinds = members[owner[run_first]]
-            copies = at_kind[kinds + 1] - at_kind[kinds]
-            e = early[np.repeat(at_kind[kinds], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+            met = members[owner[run_first]]
+            copies = at_kind[met + 1] - at_kind[met]
+            e = early[np.repeat(at_kind[met], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
             spans.append((doc[e], own[e], first[e] + np.repeat(step[run_first], copies), first[e] + np.repeat(step[run_last], copies) + WINDOW))
     return [np.concatenate([s[i] for s in spans]) for i in range(4)]
 
@@ -387,19 +440,25 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
         kept, count = [], 0
 
         def flush():
-            gram, ids, owns, first, lead = (np.concatenate([k[i] for k in kept]) for i in range(5))
-            texts = [t for k in kept for t in k[5]]
+            gram, ids, owns, first, lead, sizes = (np.concatenate([k[i] for k in kept]) for i in range(6))
+            buffer = np.concatenate([k[6] for k in kept])
+            starts = np.cumsum(sizes) - sizes
+            # equal contexts travel once: what a smaller document of this chunk holds is covered already
+            kind = np.unique(kinds(gram, lead, buffer, sizes), return_inverse=True)[1]
+            least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, kind, ids)
+            late = ids > least[kind]
             order = np.argsort(gram, kind="stable")
-            starts, stops = _spans(gram[order] >> shift)
+            begin, stop = _spans(gram[order] >> shift)
             out = []
-            for a, b in zip(starts, stops, strict=True):
-                o = order[a:b]
-                chosen = [texts[i] for i in o]
-                out.append((int(gram[o[0]] >> shift), squeeze(gram[o]), planes(ids[o]), planes(owns[o]), planes(first[o]), planes(lead[o]),
-                            planes(np.fromiter(map(len, chosen), np.int64, len(chosen))), compress(b"".join(chosen))))
-            kinds = [pa.int64(), *[pa.binary()] * 7]
-            names = ["bucket", "gram", "ids", "owns", "first", "lead", "sizes", "texts"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            for a, b in zip(begin, stop, strict=True):
+                o, gone = order[a:b][~late[order[a:b]]], order[a:b][late[order[a:b]]]
+                out.append((int(gram[order[a]] >> shift), squeeze(gram[o]), planes(ids[o]), planes(owns[o]), planes(first[o]), planes(lead[o]),
+                            planes(sizes[o]), compress(gather(buffer, starts[o], sizes[o]).tobytes()),
+                            b"".join(len(x).to_bytes(8, "little") + x for x in (planes(v[gone]) for v in (ids, owns, first, first + sizes)))))
+            kinds_of = [pa.int64(), *[pa.binary()] * 8]
+            names = ["bucket", "gram", "ids", "owns", "first", "lead", "sizes", "texts", "late"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_of, strict=True)], names)
 
         for batch in by_bytes(batches, limit=SLICE):
             offsets, data = byte_view(batch.column("text"))
@@ -411,34 +470,39 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
             mine = (found["row"] << 40) + found["place"]
             at = np.searchsorted(wanted, mine)
             keep = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == mine) if len(wanted) else np.zeros(0, np.int64)
-            if not len(keep):
-                continue
-            row, first = found["row"][keep], found["first"][keep]
-            begin = (offsets[row] + first).tolist()
-            end = (offsets[row] + found["last"][keep] + WINDOW).tolist()
-            raw = data.tobytes()
-            kept.append((found["gram"][keep], ids[row], owns[row], first, found["place"][keep] - first, [raw[a:b] for a, b in zip(begin, end, strict=True)]))
-            count += len(keep)
-            if count >= CHUNK_CONTEXTS:
-                yield flush()
-                kept, count = [], 0
+            # a long text may have very many contexts: they leave in chunks as well
+            for k in range(0, len(keep), CHUNK_CONTEXTS):
+                part = keep[k:k + CHUNK_CONTEXTS]
+                row, first = found["row"][part], found["first"][part]
+                sizes = found["last"][part] + WINDOW - first
+                kept.append((found["gram"][part], ids[row], owns[row], first, found["place"][part] - first, sizes, gather(data, offsets[row] + first, sizes)))
+                count += len(part)
+                if count >= CHUNK_CONTEXTS:
+                    yield flush()
+                    kept, count = [], 0
         if kept:
             yield flush()
 
     def cover(batches):
-        for _, held in _by_bucket(batches, ["gram", "ids", "owns", "first", "lead", "sizes", "texts"]):
-            gram = np.concatenate([expand(h[0]) for h in held])
-            ids, owns, first, lead = (np.concatenate([from_planes(h[i]).view(np.int64) for h in held]) for i in (1, 2, 3, 4))
-            texts: list[bytes] = []
+        columns = ["gram", "ids", "owns", "first", "lead", "sizes", "texts", "late"]
+        for _, held in _by_bucket(batches, columns):
             for h in held:
-                raw, bounds = decompress(h[6]), np.concatenate(([0], np.cumsum(from_planes(h[5]).astype(np.int64)))).tolist()
-                texts += [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-            found = covered(gram, ids, owns, first, lead, texts)
+                raw, gone = h[7], []
+                while raw:
+                    size = int.from_bytes(raw[:8], "little")
+                    gone.append(from_planes(raw[8:8 + size]).view(np.int64))
+                    raw = raw[8 + size:]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in gone], ["id", "own", "start", "end"])
+            gram = np.concatenate([expand(h[0]) for h in held])
+            ids, owns, first, lead, sizes = (np.concatenate([from_planes(h[i]).view(np.int64) for h in held]) for i in (1, 2, 3, 4, 5))
+            buffer = np.concatenate([np.frombuffer(decompress(h[6]), np.uint8) for h in held])
+            held.clear()
+            found = covered(gram, ids, owns, first, lead, buffer, sizes)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["id", "own", "start", "end"])
 
     copy = F.coalesce(F.array_contains("copied", F.col("own")), F.lit(False))
     around = map_arrow(joined.select("id", "own", F.when(copy, "").otherwise(F.col("text")).alias("text"), "places"), contexts,
-                       "bucket long, gram binary, ids binary, owns binary, first binary, lead binary, sizes binary, texts binary")
+                       "bucket long, gram binary, ids binary, owns binary, first binary, lead binary, sizes binary, texts binary, late binary")
     dealt = around.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, cover, "id long, own long, start long, end long")
 

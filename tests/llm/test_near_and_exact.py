@@ -116,6 +116,33 @@ def test_suffix_dedup_equals_brute_force(spark, odd, none):
     assert key(suffix_dedup.report(frame).collect()) == key(suffix_dedup.brute_force(rows))
 
 
+def test_suffix_dedup_of_a_passage_in_a_third_of_many_texts(spark):
+    """Contexts collapse in the tasks that find them; chunks, ties of ids and copies inside one text included."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    rows = []
+    for i in range(1500):
+        own = " ".join(word() for _ in range(15))
+        cut = passage[rng.randrange(20):len(passage) - rng.randrange(20)]
+        rows.append((i // 2 if i % 5 == 0 else i, f"{own} {passage if i % 2 else cut} {own}" if i % 3 == 0 else own))
+    rows += [(9000, passage + "|" + passage), (3, passage), (None, passage)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    key = lambda rows: sorted((repr(r[0]), *r[1:]) for r in rows)
+    assert key(suffix_dedup.report(frame).collect()) == key(suffix_dedup.brute_force(rows))
+
+
+def test_kinds_tell_texts_apart_when_hashes_agree(monkeypatch):
+    """With all hashes equal the bytes alone decide."""
+    texts = [b"a" * 50, b"b" * 50, b"a" * 50, b"c" * 50, b"b" * 50, b"a" * 51]
+    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    gram, lead = np.zeros(6, np.uint64), np.zeros(6, np.int64)
+    monkeypatch.setattr(suffix_dedup.PrefixHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+    monkeypatch.setattr(suffix_dedup, "KIND_ROWS", 2)
+    number = suffix_dedup.kinds(gram, lead, buffer, np.array([len(t) for t in texts]))
+    assert [[i for i in range(6) if number[i] == n] for n in sorted(set(number), key=list(number).index)] == [[0, 2], [1, 4], [3], [5]]
+
+
 def test_suffix_sort_and_segments(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
