@@ -19,7 +19,7 @@ from auditloom.operators.ordering import number_rows
 from auditloom.operators.small import attach
 from auditloom.shipping import ship
 
-# all ids of the token columns fit: the vocabulary keeps some hundreds of values a column
+# a weight for every token is kept in the driver while the model is fitted
 MAX_TOKENS = 1 << 18
 
 
@@ -104,18 +104,24 @@ class SequenceModel:
 
 
 def fit_sequence_classifier(train: DataFrame, threshold: float = S.SEQUENCE_THRESHOLD,
-                            max_iter: int = 50, reg: float = 1e-3) -> SequenceModel:
-    """Logistic regression over pooled sequences, positives weighted by negatives / positives."""
+                            max_iter: int = 50, reg: float = 1e-3, max_tokens: int = MAX_TOKENS) -> SequenceModel:
+    """Logistic regression over pooled sequences, positives weighted by negatives / positives.
+
+    Every token that training has met gets a weight of its own. More than
+    ``max_tokens`` of them are an error; none is left out.
+    """
     counts = train.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
     scaler = fit_scaler(train)
     weight = F.when(F.col("y") == 1, F.lit(counts["n"] / max(counts["p"], 1))).otherwise(1.0)
     rows = pooled(train, scaler).select(
         F.col("y").cast("double").alias("y"), weight.alias("_weight"), "_numeric", "_tokens")
+    tokens = max(1, rows.select(F.explode("_tokens").alias("token")).agg(F.count_distinct("token")).first()[0])
+    if tokens > max_tokens:
+        raise ValueError(f"{tokens} different tokens, more than {max_tokens}: learn a smaller vocabulary or allow more")
     pipeline = Pipeline(stages=[
         # a declared size spares the assembler a look at the first row
         VectorSizeHint(inputCol="_numeric", size=3 * len(S.NUMERIC_COLUMNS)),
-        # every token that training has met gets a weight of its own
-        CountVectorizer(inputCol="_tokens", outputCol="_bag", minDF=1.0, vocabSize=MAX_TOKENS),
+        CountVectorizer(inputCol="_tokens", outputCol="_bag", minDF=1.0, vocabSize=tokens),
         VectorAssembler(inputCols=["_numeric", "_bag"], outputCol="_input"),
         LogisticRegression(featuresCol="_input", labelCol="y", weightCol="_weight",
                            maxIter=max_iter, regParam=reg),

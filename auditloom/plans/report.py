@@ -116,7 +116,7 @@ def triage_report(alerts: DataFrame, items: int = REPORT_ITEMS) -> DataFrame:
 
 
 CAVEAT = "> These scores rank what to look at first; they prove nothing by themselves. Check alerts against the events."
-EMPTY = "No alert intervals exceeded the configured threshold."
+EMPTY = "Nothing to show: every sequence stayed below the combined threshold."
 FILES = ["events", "windows", "sequences", "combined", "ranked", "alerts", "alert_members", "alert_windows", "unscored", "summary"]
 
 

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom import schema as S
 from auditloom.operators import events as B
 from auditloom.operators import sequences as Q
 from auditloom.operators import windows as W
+from auditloom.operators.ordering import number_rows
 from auditloom.sources import tables as T
 from auditloom.sources.audit_log import read_raw
 from checks.audit_view import AUDIT_SQL, audit_events
 from checks.scratch import fresh
-from checks.sequence_queries import LENGTH, SEQUENCES_SQL, STRIDE, VOCAB, EVENTS_SQL, VOCAB_SQL, build, events
+from checks.sequence_queries import LENGTH, NUMERIC_SQL, SEQUENCES_SQL, STRIDE, VOCAB, EVENTS_SQL, VOCAB_SQL, build, events
 from checks.window_queries import CATEGORY_SQL, TOP, windowed
 
 NUMBERS = {"execve": "59", "openat": "257", "connect": "42", "setuid": "105", "unlink": "87"}
 
 
-def rendered(spark, sf_dir):
-    """Log lines of the audit view below one folder per source."""
-    e = audit_events(spark, sf_dir)
+def line_rows(e):
+    """Log lines of audit events with the keys that order them."""
     head = F.concat(F.lit(" msg=audit("), F.col("timestamp"), F.lit(":"), F.col("event_id"), F.lit("): "))
     number = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])[F.col("syscall")]
 
@@ -48,13 +49,32 @@ def rendered(spark, sf_dir):
             F.when(F.col("saddr") != "", line("SOCKADDR", "saddr=", F.col("saddr"))),
             F.lit("not an audit line"))))
     keys = ["source", "ts_us", "event_no"]
-    rows = e.select(*keys, F.posexplode(lines).alias("at", "value"))
+    return e.select(*keys, F.posexplode(lines).alias("at", "value"))
+
+
+def rendered(spark, sf_dir):
+    """Log lines of the audit view below one folder per source."""
+    rows, keys = line_rows(audit_events(spark, sf_dir)), ["source", "ts_us", "event_no"]
     path = fresh(spark, "log")
     rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "at").select("source", "value").write.partitionBy(
         "source").text(path)
     return read_raw(spark, f"{path}/*/*.txt", source_pattern=r"source=([^/]+)/")
 
 
+def rotated(spark, sf_dir):
+    """Two generations of one log, the older one compressed: every event at its place in the joint order."""
+    e = audit_events(spark, sf_dir)
+    middle = e.agg(F.percentile_approx("ts_us", 0.5)).first()[0]
+    path = fresh(spark, "rotated")
+    for name, part, codec in (("audit.log.1", F.col("ts_us") <= middle, "gzip"), ("audit.log", F.col("ts_us") > middle, None)):
+        # a generation is one file, as a log writer leaves it
+        rows = line_rows(e.where(part)).coalesce(1).sortWithinPartitions("ts_us", "event_no", "at").select("value")
+        rows.write.text(f"{path}/{name}", compression=codec)
+    found = B.build_events(B.extract_records(read_raw(spark, f"{path}/*/*.txt*", source="joint")))
+    placed = number_rows(found.select("event_id", "command", "record_count", "first_pos"), [], ["first_pos"], "place")
+    return placed.select("event_id", "command", "record_count", F.col("place").cast("bigint").alias("place"))
+
+
 RECORDS_SQL = f"""{AUDIT_SQL},
 records AS (
   SELECT source, event_id, timestamp, unnest(['SYSCALL', 'USER_CMD', 'EXECVE', 'CWD', 'PATH', 'PROCTITLE', 'SOCKADDR']) AS record_type,
@@ -86,6 +106,12 @@ def tokens(spark, sf_dir):
     return rows.select("event_id", F.inline("fields")).where(F.col("key").isin("uid", "comm", "key", "exe", "auid"))
 
 
+def all_fields(spark, sf_dir):
+    """Every field of every record, with the number of records that hold it."""
+    rows = B.tokenise(B.extract_records(rendered(spark, sf_dir)))
+    return rows.select("event_id", "record_type", F.inline("fields")).groupBy("event_id", "record_type", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def assembled(spark, sf_dir):
     found = B.build_events(B.extract_records(rendered(spark, sf_dir)))
     return found.select(
@@ -122,8 +148,47 @@ def saved_sequences(spark, sf_dir):
         "sequence_id", "segment_id", F.col("y").cast("bigint").alias("y"), F.size("x_cat").cast("bigint").alias("steps"))
 
 
+def sequence_values(spark, sf_dir):
+    """All token ids and numbers of the saved arrays, a row for each step."""
+    path = fresh(spark, "sequences")
+    T.write_sequences(build(spark, sf_dir), path)
+    steps = F.arrays_zip(F.col("x_cat").alias("cat"), F.col("x_num").alias("num"))
+    rows = spark.read.parquet(path).select("sequence_id", F.posexplode(steps).alias("step", "s"))
+    return rows.select("sequence_id", F.col("step").cast("bigint").alias("step"), F.array_join(F.col("s.cat").cast("array<string>"), ",").alias("ids"),
+                       *[F.round(F.col("s.num")[i].cast("double"), 4).alias(c) for i, c in enumerate(S.NUMERIC_COLUMNS)])
+
+
+CALL_KEYS = ["success", "ppid", "pid", "auid", "uid", "euid", "comm", "exe", "key"]
+FIXED = {"arch": "c000003e", "exit": "0", "gid": "0", "egid": "0", "tty": "pts0", "ses": "1"}
+
+
+def literal(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def record_sql(kind, names, values, where="true"):
+    return f"""SELECT event_id, '{kind}' AS record_type, unnest([{", ".join(map(literal, names))}]) AS "key", unnest([{", ".join(values)}]) AS value
+        FROM audit_paths WHERE {where}"""
+
+
+ALL_FIELDS_SQL = " UNION ALL ".join([
+    record_sql("SYSCALL", [*FIXED, "syscall", *CALL_KEYS], [
+        *map(literal, FIXED.values()), "CASE syscall " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NUMBERS.items()) + " END", *CALL_KEYS],
+        "primary_type = 'SYSCALL'"),
+    record_sql("USER_CMD", ["pid", "uid", "msg", "res"], ["'1'", "'0'", literal("'cwd=\"/\""), literal("success'")], "primary_type = 'USER_CMD'"),
+    record_sql("EXECVE", ["argc", "a0", "a1", "a2", "a3"], ["'4'", "'run'", "'--k'", "hex(split_part(command, chr(32), 3))", "'6E6F77'"], "command <> ''"),
+    record_sql("CWD", ["cwd"], ["cwd"], "cwd <> ''"),
+    record_sql("PROCTITLE", ["proctitle"], ["hex(replace(command, ' ', chr(0)))"], "command <> ''"),
+    record_sql("SOCKADDR", ["saddr"], ["saddr"], "saddr <> ''"),
+    "SELECT event_id, 'PATH', 'item', '0' FROM (SELECT event_id, unnest(string_split(paths, '|')) FROM audit_paths)",
+    "SELECT event_id, 'PATH', 'name', unnest(string_split(paths, '|')) FROM audit_paths"])
+
+
 QUERIES = {
     "audit_records": records,
+    "audit_record_all_fields": all_fields,
+    "rotated_log_events": rotated,
+    "saved_sequence_values": sequence_values,
     "audit_record_fields": tokens,
     "audit_events_from_log": assembled,
     "parsed_event_table": parsed_table,
@@ -133,6 +198,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "audit_record_all_fields": f"""WITH {AUDIT_SQL}, fields AS ({ALL_FIELDS_SQL}) SELECT *, count(*) AS n FROM fields GROUP BY ALL""",
+    "rotated_log_events": f"""WITH {AUDIT_SQL} SELECT event_id, command,
+        CAST(1 + 2 * (command <> '')::INT + (cwd <> '')::INT + (saddr <> '')::INT + path_count AS BIGINT) AS record_count,
+        row_number() OVER (ORDER BY ts_us, event_no) - 1 AS place FROM audit""",
+    "saved_sequence_values": f"""WITH {SEQUENCES_SQL} SELECT n.sequence_id, pos - k * {STRIDE} AS step, ids,
+        {", ".join(f"round(CAST({sql} AS DOUBLE), 4) AS {name}" for sql, name in zip(NUMERIC_SQL, S.NUMERIC_COLUMNS, strict=True))}
+        FROM placed JOIN (SELECT attack_run_id, k, sequence_id FROM numbered) n USING (attack_run_id, k)""",
     "audit_records": f"WITH {RECORDS_SQL} SELECT * FROM records WHERE n > 0",
     "audit_record_fields": f"""WITH {AUDIT_SQL} SELECT event_id, unnest(['uid', 'comm', 'key', 'exe', 'auid']) AS "key",
         unnest([uid, comm, key, exe, auid]) AS value FROM audit WHERE primary_type = 'SYSCALL'""",

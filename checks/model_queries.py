@@ -25,6 +25,7 @@ from checks.score_queries import GAP, SCORES_SQL, TOP, combined, members
 from checks.sequence_queries import LENGTH, MIN_BAD, NUMERIC_SQL, SEQUENCES_SQL, STRIDE, build
 from checks.window_queries import ALIGNED_SQL
 
+SHARE = 0.25
 PARAMETERS = ScanParameters(window_us=WINDOW_US, sequence_length=LENGTH, stride=STRIDE, iforest_threshold=0.0,
                             combined_threshold=0.5, alert_gap_us=GAP, top_events=TOP)
 
@@ -84,6 +85,27 @@ def split(spark, sf_dir):
     return marks.groupBy(F.col("is_validation").cast("int").alias("is_validation")).agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def membership(spark, sf_dir):
+    """Every group with its rows and sides under the class guard, which fails unless both sides hold both classes."""
+    marks = materialise(M.group_split(build(spark, sf_dir), share=SHARE), "split")
+    sides = marks.groupBy("is_validation").agg(F.count_distinct("segment_id").alias("groups"), F.count_distinct("y").alias("classes"))
+    totals = sides.agg(F.max(F.when(F.col("is_validation"), F.col("groups"))).alias("validation_groups"), F.min("classes").alias("least_classes"))
+    groups = marks.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("is_validation").alias("sides"))
+    return attach_row(groups, totals)
+
+
+def hooked(spark, sf_dir):
+    """A fixed linear model through the hook for outside models: it sees every token id and number of a sequence."""
+    def load():
+        def predict(tokens, numbers):
+            # shares of successful steps, of steps with a command, and of steps whose first token is a common one
+            return 0.5 * numbers[:, :, 4].mean(axis=1) + 0.25 * numbers[:, :, 6].mean(axis=1) + 0.25 * (tokens[:, :, 0] == 2).mean(axis=1)
+        return predict
+
+    found = M.score_with(build(spark, sf_dir), load, LENGTH, 0.6)
+    return found.select("sequence_id", F.round("lstm_malicious_probability", 6).alias("probability"))
+
+
 def scaler(spark, sf_dir):
     rows = M.fit_scaler(build(spark, sf_dir))
     found = spark.createDataFrame([(n, m, s) for n, (m, s) in zip(S.NUMERIC_COLUMNS, rows, strict=True)],
@@ -121,6 +143,36 @@ def records(spark, sf_dir):
                         *[F.array_join(c, "|").alias(c) for c in ("top_event_commands", "top_event_keys", "top_event_exes")])
 
 
+REPORT_INPUTS = {"input": "events.parquet", "output_dir": "out"}
+REPORT_PARAMETERS = {"iforest_threshold": 0.5, "combined_threshold": 0.75, "lstm_weight": 0.7}
+
+
+def summary_document(spark, sf_dir):
+    """Every line of the summary read back, the run's line without its clock."""
+    scored = combined(spark, sf_dir)
+    lines = J.summary_lines(alert_table(spark, sf_dir, scored), scored, REPORT_PARAMETERS, REPORT_INPUTS)
+    lists = ["top_event_commands", "top_event_keys", "top_event_exes", "top_event_paths"]
+    numbers = ["duration_seconds", "max_lstm_probability", "max_iforest_anomaly_score", "max_combined_score"]
+    kinds = ", ".join([
+        "generated_at_utc string, input string, output_dir string, alert_interval_count bigint, sequence_alert_count bigint, source string, alert_id bigint",
+        "start_timestamp string, end_timestamp string, sequence_count bigint, event_count bigint, combined_reason_summary string",
+        "parameters struct<iforest_threshold: double, combined_threshold: double, lstm_weight: double>",
+        *[f"{c} array<string>" for c in lists], *[f"{c} double" for c in numbers]])
+    read = lines.select(F.from_json("value", kinds).alias("v")).select("v.*")
+    return read.select(
+        F.col("generated_at_utc").isNotNull().cast("int").alias("has_clock"), "input", "output_dir", "alert_interval_count", "sequence_alert_count",
+        F.col("parameters.combined_threshold").alias("combined_threshold"), F.col("parameters.lstm_weight").alias("lstm_weight"),
+        "source", "alert_id", "start_timestamp", "end_timestamp", "sequence_count", "event_count", "combined_reason_summary",
+        *[F.array_join(c, "|").alias(c) for c in lists], *[F.round(c, 6).alias(c) for c in numbers])
+
+
+def report_document(spark, sf_dir):
+    """Every line of the whole report but the clock."""
+    scored = combined(spark, sf_dir)
+    found = J.full_report(alert_table(spark, sf_dir, scored), scored, REPORT_PARAMETERS, REPORT_INPUTS)
+    return found.where("value NOT LIKE '- Generated: %'").select("part", "value")
+
+
 def report(spark, sf_dir):
     return J.triage_report(alert_table(spark, sf_dir)).select(
         "source", "alert_id", F.col("line_no").cast("bigint").alias("line_no"), "value").where("line_no < 3 OR line_no = 4")
@@ -171,6 +223,10 @@ QUERIES = {
     "isolation_forest_scores": forest_scores,
     "embedding_forest_scores": embedding_forest,
     "group_split": split,
+    "group_split_membership": membership,
+    "hooked_model_scores": hooked,
+    "summary_document": summary_document,
+    "report_document": report_document,
     "sequence_scaler": scaler,
     "sequence_classifier": classified,
     "summary_counts": summary,
@@ -189,11 +245,74 @@ TOPS_SQL = f"""tops AS (SELECT source, alert_id, field, value, n, rank FROM (
     WHERE value <> '' GROUP BY ALL)) WHERE rank <= {TOP})"""
 
 
+PATHS_SQL = f"""path_tops AS (SELECT source, alert_id, value, n, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, alert_id ORDER BY n DESC, seen) AS rank FROM (
+    SELECT source, alert_id, value, count(*) AS n, min((col, event_no, i)) AS seen FROM (
+      SELECT source, alert_id, event_no, 0 AS col, 0 AS i, path AS value FROM inside
+      UNION ALL SELECT source, alert_id, event_no, 1, unnest(range(len(string_split(paths, '|')))), unnest(string_split(paths, '|')) FROM inside)
+    WHERE value <> '' GROUP BY ALL)) WHERE rank <= {TOP}),
+every_top AS (SELECT source, alert_id, field, value, n, rank FROM tops UNION ALL SELECT source, alert_id, 'path', value, n, rank FROM path_tops),
+every_evidence AS (SELECT source, alert_id, field, string_agg(value || CASE field WHEN 'command' THEN ' (' || n || ')' ELSE ':' || n END, '|' ORDER BY rank) AS txt
+  FROM every_top GROUP BY ALL),
+counted AS (SELECT a.*, (SELECT count(*) FROM inside i WHERE i.source = a.source AND i.alert_id = a.alert_id) AS event_count FROM alerts a)"""
+
+
+def evidence(field):
+    return f"coalesce((SELECT txt FROM every_evidence e WHERE e.source = a.source AND e.alert_id = a.alert_id AND field = '{field}'), '')"
+
+
+def lines_sql(*values):
+    return " UNION ALL ".join(f"SELECT 1 AS part, {v} AS value FROM counted" for v in values)
+
+
+def section_sql(title, field):
+    item = "value || CASE field WHEN 'command' THEN ' (' || n || ')' ELSE ':' || n END"
+    held = f"FROM every_top WHERE field = '{field}'"
+    return f"""SELECT 1, '{title}' FROM (SELECT DISTINCT source, alert_id {held}) UNION ALL SELECT 1, '' FROM (SELECT DISTINCT source, alert_id {held})
+        UNION ALL SELECT 1, '- `' || CASE WHEN length(v) <= 220 THEN v ELSE left(v, 217) || '...' END || '`' FROM (SELECT {item} AS v {held})"""
+
+
 def epoch(column):
     return f"({column} // 1000000) || '.' || lpad(CAST({column} % 1000000 AS VARCHAR), 6, '0')"
 
 
+HEAD = ["# Triage Report", "", "- Input: `events.parquet`", "- Output directory: `out`", "- IF threshold: `0.5`", "- Combined threshold: `0.75`", "- LSTM weight: `0.7`",
+        "", J.CAVEAT, ""]
+TAIL = ["## Generated Files", "", *[f"- `{f}`" for f in J.FILES], ""]
+NUMBERS = {"Max combined score": "max_c", "Max LSTM probability": "max_p", "Max IF anomaly score": "max_if"}
+
+
+def texts_sql(part, lines):
+    return f"""SELECT {part}, unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in lines)}])"""
+
+
 ORACLES = {
+    "group_split_membership": f"""WITH {SEQUENCES_SQL}, g AS (SELECT attack_run_id AS segment_id, count(*) AS n_rows FROM numbered GROUP BY ALL)
+        SELECT *, 1::BIGINT AS sides, CAST(ceil((SELECT count(*) FROM g) * {SHARE}) AS BIGINT) AS validation_groups, 2::BIGINT AS least_classes FROM g""",
+    "hooked_model_scores": f"""WITH {SEQUENCES_SQL}, steps AS (
+        SELECT n.sequence_id, (success = 'yes')::INT AS s, (command <> '')::INT AS c, (split_part(ids, ',', 1) = '2')::INT AS t
+        FROM placed JOIN (SELECT attack_run_id, k, sequence_id FROM numbered) n USING (attack_run_id, k))
+        SELECT sequence_id, round(0.5::DOUBLE * avg(s) + 0.25::DOUBLE * avg(c) + 0.25::DOUBLE * avg(t), 6) AS probability FROM steps GROUP BY sequence_id""",
+    "summary_document": f"""WITH {SCORES_SQL}, {TOPS_SQL}, {PATHS_SQL}
+        SELECT 1 AS has_clock, 'events.parquet' AS input, 'out' AS output_dir, (SELECT count(*) FROM alerts) AS alert_interval_count,
+          (SELECT count(*) FROM members) AS sequence_alert_count, 0.75::DOUBLE AS combined_threshold, 0.7::DOUBLE AS lstm_weight,
+          NULL AS source, NULL::BIGINT AS alert_id, NULL AS start_timestamp, NULL AS end_timestamp, NULL::BIGINT AS sequence_count, NULL::BIGINT AS event_count,
+          NULL AS combined_reason_summary, NULL AS top_event_commands, NULL AS top_event_keys, NULL AS top_event_exes, NULL AS top_event_paths,
+          NULL::DOUBLE AS duration_seconds, NULL::DOUBLE AS max_lstm_probability, NULL::DOUBLE AS max_iforest_anomaly_score, NULL::DOUBLE AS max_combined_score
+        UNION ALL SELECT 0, NULL, NULL, NULL, NULL, NULL, NULL, a.source, a.alert_id, {epoch("a.start_us")}, {epoch("a.end_us")}, sequence_count, event_count, reasons,
+          {evidence("command")}, {evidence("key")}, {evidence("exe")}, {evidence("path")},
+          round((end_us - start_us) / 1000000.0::DOUBLE, 6), round(max_p, 6), round(max_if, 6), round(max_c, 6) FROM counted a""",
+    "report_document": f"""WITH {SCORES_SQL}, {TOPS_SQL}, {PATHS_SQL},
+        body AS ({lines_sql(
+            "'### Alert ' || alert_id", "''", f"'- Time: `' || {epoch('start_us')} || '` to `' || {epoch('end_us')} || '`'",
+            "'- Duration seconds: `' || ((end_us - start_us + 500) // 1000 // 1000) || '.' || lpad(CAST((end_us - start_us + 500) // 1000 % 1000 AS VARCHAR), 3, '0') || '`'",
+            "'- Sequences/events: `' || sequence_count || '` / `' || event_count || '`'",
+            *[f"'- {name}: `' || printf('%.6f', {c}) || '`'" for name, c in NUMBERS.items()], "'- Reason summary: `' || reasons || '`'", "''")}
+          UNION ALL {" UNION ALL ".join(section_sql(t, f) for t, f in zip(J.REPORT_SECTIONS, ["command", "key", "exe", "path"], strict=True))}),
+        n AS (SELECT (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM members) AS members)
+        SELECT * FROM body UNION ALL {texts_sql(0, HEAD)} UNION ALL {texts_sql(2, TAIL)}
+        UNION ALL SELECT 0, '- Alert intervals: `' || alerts || '`' FROM n UNION ALL SELECT 0, '- Positive sequences: `' || members || '`' FROM n
+        UNION ALL SELECT 0, unnest(CASE WHEN alerts > 0 THEN ['## Alert Intervals', ''] ELSE ['## Alerts', '', '{J.EMPTY}', ''] END) FROM n""",
     "isolation_forest_scores": f"""SELECT DISTINCT source, window_id, 1 AS in_range, 1 AS flag_agrees, 1 AS alert_agrees, 1 AS same_after_reload
         FROM ({ALIGNED_SQL})""",
     "embedding_forest_scores": "SELECT vec_id, 1 AS in_range, 1 AS below_planted FROM embeddings",
