@@ -383,15 +383,20 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
     buckets = 4 << (tasks - 1).bit_length()  # a task takes some buckets, one at a time
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
+    def bucket_of(gram: np.ndarray) -> np.ndarray:
+        """An anchor has the least hash of its window: its own high bits are mostly zero, those of a second hash are even."""
+        return (scramble(gram) >> shift).astype(np.int64)
+
     def pack(kept: list[dict]):
         """One row a bucket of the anchors held."""
         columns = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
-        order = np.argsort(columns["gram"], kind="stable")
-        gram = columns["gram"][order]
-        starts, stops = _spans(gram >> shift)
+        bucket = bucket_of(columns["gram"])
+        order = np.lexsort((columns["gram"], bucket))
+        gram, bucket = columns["gram"][order], bucket[order]
+        starts, stops = _spans(bucket)
         for a, b in zip(starts, stops, strict=True):
             o = order[a:b]
-            yield (int(gram[a] >> shift), squeeze(gram[a:b]), planes(columns["id"][o]), planes(columns["salt"][o]), planes(columns["place"][o]))
+            yield (int(bucket[a]), squeeze(gram[a:b]), planes(columns["id"][o]), planes(columns["salt"][o]), planes(columns["place"][o]))
 
     def find(batches):
         kept, count = [], 0
@@ -448,12 +453,13 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
             least = np.full(int(kind.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, kind, ids)
             late = ids > least[kind]
-            order = np.argsort(gram, kind="stable")
-            begin, stop = _spans(gram[order] >> shift)
+            bucket = bucket_of(gram)
+            order = np.lexsort((gram, bucket))
+            begin, stop = _spans(bucket[order])
             out = []
             for a, b in zip(begin, stop, strict=True):
                 o, gone = order[a:b][~late[order[a:b]]], order[a:b][late[order[a:b]]]
-                out.append((int(gram[order[a]] >> shift), squeeze(gram[o]), planes(ids[o]), planes(owns[o]), planes(first[o]), planes(lead[o]),
+                out.append((int(bucket[order[a]]), squeeze(gram[o]), planes(ids[o]), planes(owns[o]), planes(first[o]), planes(lead[o]),
                             planes(sizes[o]), compress(gather(buffer, starts[o], sizes[o]).tobytes()),
                             b"".join(len(x).to_bytes(8, "little") + x for x in (planes(v[gone]) for v in (ids, owns, first, first + sizes)))))
             kinds_of = [pa.int64(), *[pa.binary()] * 8]
