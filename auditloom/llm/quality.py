@@ -154,17 +154,12 @@ def fit_cutoffs(labelled: DataFrame, prefix: str = "__", max_false_rejection: fl
     return kept.groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
 
 
-def cutoffs_for(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _cutoffs(features: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per stratum: ``stratum`` and a map from rule to cutoff, as a written table.
 
     Documents that fail the base rules anyway do not count. A document labelled
     more than once counts as good only if all its labels say so.
     """
-    features = materialise(with_features(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns])).drop("text"), "quality-features")
-    return _cutoffs(features, labels)
-
-
-def _cutoffs(features: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") >= 1).alias("good"))
     labelled = features.where("NOT __base_failed").join(marks, F.col("doc_id") == F.col("__id"))
     fitted = fit_cutoffs(labelled).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
@@ -194,7 +189,17 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
+    """The rows of ``docs`` that pass, with their own columns.
+
+    The features are computed once and written beside the rows; the cutoffs are
+    fitted from that table and the verdict is read from it. Nothing else moves.
+    Null and empty texts fail the base rule; a null ``lang`` is a stratum of its
+    own; repeated rows stay or go together, ties with a cutoff stay; extra columns
+    of any name pass through; without labels only the base rules reject; an empty
+    table gives no rows.
+    """
     rows = shield(docs)
-    judged = _verdict(with_features(rows), cutoffs_for(docs, labels))
-    return judged.where("__kept").select(*rows.columns).toDF(*docs.columns)
+    features = materialise(with_features(rows), "quality-rows")
+    # "doc_id" finds the labels, the extra columns stay out of the fit
+    narrow = features.select("doc_id", *[c for c in features.columns if c not in rows.columns])
+    return _verdict(features, _cutoffs(narrow, labels)).where("__kept").select(*rows.columns).toDF(*docs.columns)
