@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import pickle
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm import shared_files
+from auditloom.llm import item_blocks
 from auditloom.llm.texts import LOWER, as_strings, by_bytes, byte_view, plain, split_words
 from auditloom.shipping import map_arrow
 
 WINDOW = 10
-BLOCK_WORDS = 400_000
+BLOCK_BYTES = 2 << 20
+SLICES_A_BLOCK = 4
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, clean string"
@@ -131,67 +131,52 @@ class SuffixAutomaton:
         return ranges, found
 
 
-def build_blocks(benchmark: DataFrame, folder: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Write automata of the items, each of ``block_words`` words or one longer item; return their files.
-
-    Items arrive in the driver one partition at a time and only one block's words
-    are held, so a large benchmark makes more blocks, not larger ones.
-    """
-    files, held, size = [], [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-
-    def flush():
-        nonlocal held, size
-        files.append(shared_files.put(folder, f"block-{len(files):05d}", pickle.dumps(SuffixAutomaton(held, window))))
-        held, size = [], 0
-
-    for key, text in rows.toLocalIterator():
-        words = words_of(pa.array([text]))[3].to_pylist()
-        if held and size + len(words) > block_words:
-            flush()
-        held.append((key, words))
-        size += len(words)
-    if held:
-        flush()
-    return files
-
-
-_loaded: dict[str, tuple] = {}
-
-
-def _block(name: str) -> tuple[SuffixAutomaton, pa.Array]:
-    """One automaton at a time is kept in a worker."""
-    if name not in _loaded:
-        _loaded.clear()
-        automaton = pickle.loads(shared_files.get(name))
-        _loaded[name] = automaton, pa.array(list(automaton.vocabulary), pa.large_binary())
-    return _loaded[name]
-
-
-def _hit_words(files: list[str], bounds: np.ndarray, words: pa.Array) -> tuple[np.ndarray, dict[int, set]]:
-    """Which words lie in an occurrence of a window, and the items by row."""
-    hit = np.zeros(len(words), bool)
-    items: dict[int, set] = {}
-    for name in files:
-        automaton, vocabulary = _block(name)
-        if not automaton.least:
-            continue
-        number = pc.index_in(words, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-        # runs of benchmark words within one row; shorter ones hold no window
-        known = np.concatenate((number >= 0, [False]))
-        starts = np.flatnonzero(known & ~np.concatenate(([False], known[:-1])))
-        inner = bounds[1:-1]
-        starts = np.union1d(starts, inner[known[inner]])
-        stops = np.union1d(np.flatnonzero(~known), inner)
-        ends = stops[np.searchsorted(stops, starts, "right")] if len(starts) else starts
-        long = ends - starts >= automaton.least
-        for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            ranges, found = automaton.hits(number[start:end].tolist())
-            for a, b in ranges:
-                hit[start + a:start + b] = True
-            if found:
-                items.setdefault(int(np.searchsorted(bounds, start, "right")) - 1, set()).update(found)
-    return hit, items
+def build_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Files of automata, each over about ``block_bytes`` of items, built and written by tasks; the driver has their names."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def automaton(table: pa.Table) -> tuple[SuffixAutomaton, pa.Array]:
+        items = [(key, words_of(pa.array([text]))[3].to_pylist()) for key, text in zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)]
+        built = SuffixAutomaton(items, window)
+        return built, pa.array(list(built.vocabulary), pa.large_binary())
+
+    return item_blocks.build(rows, "benchmark", automaton, block_bytes)
+
+
+def _mark(block: tuple[SuffixAutomaton, pa.Array], bounds: np.ndarray, words: pa.Array, hit: np.ndarray, items: dict[int, set]) -> None:
+    """Mark the words that lie in an occurrence of a window of the block, and the items by row."""
+    automaton, vocabulary = block
+    if not automaton.least:
+        return
+    number = pc.index_in(words, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+    # runs of benchmark words within one row; shorter ones hold no window
+    known = np.concatenate((number >= 0, [False]))
+    starts = np.flatnonzero(known & ~np.concatenate(([False], known[:-1])))
+    inner = bounds[1:-1]
+    starts = np.union1d(starts, inner[known[inner]])
+    stops = np.union1d(np.flatnonzero(~known), inner)
+    ends = stops[np.searchsorted(stops, starts, "right")] if len(starts) else starts
+    long = ends - starts >= automaton.least
+    for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        ranges, found = automaton.hits(number[start:end].tolist())
+        for a, b in ranges:
+            hit[start + a:start + b] = True
+        if found:
+            items.setdefault(int(np.searchsorted(bounds, start, "right")) - 1, set()).update(found)
+
+
+def _judged(files: list[str], batches):
+    """``(slice, starts, ends, bounds, hit, items)``; with several blocks each is read once for a few slices."""
+    slices = by_bytes(batches)
+    while some := list(itertools.islice(slices, 1 if len(files) < 2 else SLICES_A_BLOCK)):
+        parsed = [words_of(batch.column("text")) for batch in some]
+        hits, items = [np.zeros(len(p[3]), bool) for p in parsed], [{} for _ in some]
+        for name in files:
+            block = item_blocks.load(name)
+            for (_, _, bounds, words), hit, found in zip(parsed, hits, items, strict=True):
+                _mark(block, bounds, words, hit, found)
+        for batch, (starts, ends, bounds, _), hit, found in zip(some, parsed, hits, items, strict=True):
+            yield batch, starts, ends, bounds, hit, found
 
 
 def _cleaned(data: bytes, offset: int, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray, min_span: int) -> str:
@@ -207,7 +192,7 @@ def _cleaned(data: bytes, offset: int, starts: np.ndarray, ends: np.ndarray, hit
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, with_text: bool = True,
-         block_words: int = BLOCK_WORDS) -> DataFrame:
+         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items, clean``.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
@@ -219,20 +204,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span:
 
     The automaton's longest matching length after each word shows every window
     that ends there. Only words of the benchmark can match, so the walk visits
-    runs of those alone. Blocks of items are read from the shared folder, one at
-    a time. There is no shuffle.
+    runs of those alone. Blocks of items are built in tasks and read from the
+    shared folder, one at a time. The documents are not shuffled.
 
     Null text has no words; an item without words has no window; a null
     ``item_id`` is the empty string; repeated rows and ids are judged one by one;
     other columns are ignored; empty tables give no hits or no rows.
     """
-    files = build_blocks(benchmark, shared_files.new_folder(docs.sparkSession, "benchmark"), window, block_words)
+    files = build_blocks(benchmark, window, block_bytes)
 
     def judged(batches):
-        for batch in by_bytes(batches):
+        for batch, starts, ends, bounds, hit, items in _judged(files, batches):
             column = batch.column("text")
-            starts, ends, bounds, words = words_of(column)
-            hit, items = _hit_words(files, bounds, words)
             n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds])
             clean = None
             if with_text:
@@ -263,16 +246,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = 1, max_
 
     Spans of ``min_span`` hit words or more are cut out of the text; a document
     with more than ``max_share`` of its words hit is dropped. A document without
-    hits, or with null text, is returned unchanged.
+    hits, or with null text, is returned unchanged. Repeated rows and ids are judged
+    one by one; a share of exactly ``max_share`` stays; extra columns pass through;
+    an empty table gives no rows, an empty benchmark changes nothing.
     """
-    files = build_blocks(benchmark, shared_files.new_folder(docs.sparkSession, "benchmark"))
+    files = build_blocks(benchmark)
     at = docs.columns.index("text")
 
     def kept(batches):
-        for batch in by_bytes(batches):
+        for batch, starts, ends, bounds, hit, _ in _judged(files, batches):
             column = batch.column("text")
-            starts, ends, bounds, words = words_of(column)
-            hit, _ = _hit_words(files, bounds, words)
             n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[bounds])
             offsets, data = byte_view(column)
             texts = column.to_pylist() if n_hit.any() else None

@@ -93,7 +93,7 @@ def test_decontamination_of_odd_rows(odd, none, items):
     want = sorted((repr(d), *contaminated(t, rows)) for d, t, _ in ROWS)
     got = [(repr(r[0]), *r[1:]) for r in decontaminate.report(odd, items).collect()]
     assert sorted(got) == want and any(w[5] for w in want)
-    blocks = decontaminate.scan(odd, items, block_words=3).select("doc_id", "n_words", "n_hit", F.size("items"))
+    blocks = decontaminate.scan(odd, items, block_bytes=20).select("doc_id", "n_words", "n_hit", F.size("items"))
     assert sorted((repr(r[0]), *r[1:]) for r in blocks.collect()) == sorted(w[:4] for w in want)
     assert decontaminate.report(none, items).count() == 0
     assert decontaminate.report(odd, items.where("false")).where("contaminated").count() == 0
