@@ -22,6 +22,8 @@ FLOOR = 0.1
 UNIT_CHARS = 24
 STEM = 5
 THRESHOLD = 0.3
+SHORT_WORDS = 20     # shorter texts are treated as if they had so many more words
+RATIO = 4.0
 CACHE_WORDS = 1_000_000
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
@@ -166,7 +168,12 @@ class Landmarks:
         return found
 
     def pooled(self, column) -> np.ndarray:
-        """Largest kernel value of each text's words with each landmark."""
+        """Normalised kernel row of each text: the sum over its different words of their values, over a root of its length.
+
+        The kernel of two texts is the sum of the kernels of their words, divided
+        by the roots of both lengths, so many weak words of a long text weigh less
+        than a few clear ones of a short text.
+        """
         offsets, data = byte_view(column)
         low = LOWER[data]
         starts, ends, bounds = split_words(offsets, ~SPACE[low])
@@ -174,10 +181,12 @@ class Landmarks:
         if not len(starts):
             return out
         coded = as_strings(low, starts, ends).dictionary_encode()
-        place = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        at = np.flatnonzero(place)
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = self.places(coded.dictionary.to_pylist())
+        at = np.flatnonzero(place[number])
         rows = np.searchsorted(bounds, at, "right") - 1
-        np.maximum.at(out, rows, self.vectors[place[at]])
+        rows, word = np.divmod(np.unique(rows * len(place) + number[at]), len(place))
+        np.add.at(out, rows, self.vectors[place[word]])
         # letters set apart by blanks: runs of four and more one-character words are one unit
         single = np.concatenate(([False], (ends - starts == 1) | ((ends - starts == 2) & (low[starts] >= 0xC2)), [False]))
         single[1:-1] &= ~np.isin(low[starts], np.frombuffer(b"|-*.,&%#$", np.uint8))
@@ -190,8 +199,8 @@ class Landmarks:
             row = int(np.searchsorted(bounds, first, "right")) - 1
             joined = b"".join(low[starts[i]:ends[i]].tobytes() for i in range(first, last))
             place = self.places([joined])[0]
-            out[row] = np.maximum(out[row], self.vectors[place])
-        return out
+            out[row] += self.vectors[place]
+        return out / np.sqrt(np.diff(bounds) + SHORT_WORDS)[:, None].astype(np.float32)
 
 
 class Model:
@@ -260,10 +269,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def landmark_words(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
-    """Words, and beginnings of words, of toxic training texts that clean ones lack, the most widespread first.
+    """Words, and beginnings of words, that toxic training texts hold far more often than clean ones, the most telling first.
 
-    A word must be in so many toxic texts that, at the rate of toxic texts, some
-    ten words at most would get there by chance.
+    A word must be in so many toxic texts, beyond ``RATIO`` times its share of the
+    clean ones, that at the rate of toxic texts some ten words at most would get
+    there by chance.
     """
     words = F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")
     word = F.explode(F.array_union(words, F.transform(words, lambda w: F.substring(w, 1, STEM)))).alias("word")
@@ -272,8 +282,10 @@ def landmark_words(rows: DataFrame, count: int = LANDMARKS) -> list[str]:
     seen = rows.agg(F.count_if("toxic").alias("t"), F.count("*").alias("n")).first()
     chances = max(2, table.where("t + c >= 2").count())
     rate = min(max(seen["t"], 1) / max(seen["n"], 2), 0.5)
-    best = table.where(F.col("t") >= max(2.0, math.log(max(2.0, chances / 10)) / math.log(1 / rate))).where("t > 4 * c").orderBy(F.desc(F.expr("t - 4 * c")), "word").limit(count)
-    return [r["word"] for r in best.collect()]
+    # toxic texts beyond RATIO times those expected from the clean ones
+    excess = F.col("t") - RATIO * F.col("c") * max(seen["t"], 1) / max(seen["n"] - seen["t"], 1)
+    best = table.where(excess >= max(2.0, math.log(max(2.0, chances / 10)) / math.log(1 / rate)))
+    return [r["word"] for r in best.orderBy(F.desc(excess), "word").limit(count).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -307,9 +319,9 @@ def _landmarks(words: list[str]) -> Landmarks:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    A text's value for a landmark is the largest over its words (long words in
-    overlapping pieces, letters set apart by blanks joined), so one insult decides
-    and inserted or missing characters only lower the value. Null and empty texts
+    A text's value for a landmark is the sum over its different words (the largest
+    piece of a long word, letters set apart by blanks joined) over a root of its
+    length, and inserted or missing characters only lower the value. Null and empty texts
     get the score of a text without any match. Repeated rows are scored alike;
     other columns are ignored; an empty table gives no rows. Without labels of
     both kinds every score is that of a clean text.

@@ -93,6 +93,31 @@ def test_blocks_of_numbers():
     assert np.array_equal(expand(squeeze(values)), values) and len(expand(squeeze(values[:0]))) == 0
 
 
+def root_lengths(texts):
+    return np.sqrt([[len((t or "").split()) + toxicity.SHORT_WORDS] for t in texts])
+
+
+def test_kernel_rows_add_up_over_different_words():
+    """Brute force: a text's value is the sum over its different words, over a root of its length."""
+    import pyarrow as pa
+
+    words = ["worthless", "stupid", "loser"]
+    texts = ["you stupid stupid loser and losers", "wor-thless stupiid xloser", "", "calm words of no weight"]
+    pooled = toxicity.Landmarks(words).pooled(pa.array(texts)) * root_lengths(texts)
+    for i, t in enumerate(texts):
+        for j, w in enumerate(words):
+            values = [max([toxicity.kernel(x, w)] + ([toxicity.kernel(x[:toxicity.STEM], w)] if len(x) > toxicity.STEM else [])) for x in set(t.split())]
+            assert abs(pooled[i, j] - sum(v for v in values if v >= toxicity.FLOOR)) < 1e-3
+
+
+def test_held_out_toxic_documents_of_a_whole_table(spark):
+    """sf0.1: 120 toxic documents are held out, in four languages; their words are met in training alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.report(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.85 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_kernel_tolerates_gaps():
     words = ["worthless", "stupid", "vequille"]
     marks = toxicity.Landmarks(words)
@@ -105,7 +130,8 @@ def test_kernel_tolerates_gaps():
     assert values[1, 0] > 0.15 and values[2, 0] > 0.4 and values[4].max() == 0
     import pyarrow as pa
 
-    pooled = marks.pooled(pa.array(["so s t u p i d it is", "nothing here", None, "x" * 100 + "stupid"]))
+    texts = ["so s t u p i d it is", "nothing here", None, "x" * 100 + "stupid"]
+    pooled = marks.pooled(pa.array(texts)) * root_lengths(texts)
     assert pooled[0, 1] > 0.9 and not pooled[1].any() and not pooled[2].any()
 
 
@@ -116,7 +142,9 @@ def test_spaced_letters_end_with_their_row():
     texts = ["this is plan b", "s t u p i d", "x", "w o r t h l e s s", "1 2 3", ""]
     pooled = marks.pooled(pa.array(texts))
     alone = np.concatenate([marks.pooled(pa.array([t])) for t in texts])
-    assert (pooled == alone).all() and pooled[1, 1] > 0.9 and pooled[3, 0] > 0.9 and not pooled[[0, 2, 4, 5]].any()
+    assert (pooled == alone).all()
+    pooled = pooled * root_lengths(texts)
+    assert pooled[1, 1] > 0.9 and pooled[3, 0] > 0.9 and not pooled[[0, 2, 4, 5]].any()
 
 
 def test_words_of_three_letters_become_landmarks(spark):
