@@ -177,6 +177,28 @@ def test_licences(odd, none):
     assert found.where("family <> truth").count() <= 2
 
 
+def test_licences_of_an_empty_table_and_repeated_ids(spark, none):
+    assert licences.scan(none).count() == 0
+    rows = [(1, "Released under the MIT License.")] * 30 + [(2, "plain words here"), (None, "SPDX-License-Identifier: MIT"), (3, None)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1"] * 30 + ["None"] and all(r["family"] == "mit" for r in found)
+
+
+def test_licences_among_texts_that_use_their_words(spark):
+    """Every notice is found where its own words are common, and no ordinary paragraph is named."""
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w for ns in licences.NOTICES.values() for n in ns for w in n.lower().split() if w.isalpha()})
+    other = [f"word{i}" for i in range(400)]
+    talk = lambda: " ".join([*rng.choice(vocabulary, 4), *rng.choice(other, 30)])
+    rows = [(i, "\n\n".join(talk() for _ in range(3))) for i in range(600)]
+    notices = [(f, n) for f, ns in licences.NOTICES.items() for n in ns]
+    rows += [(10_000 + i, talk() + "\n\n" + n + "\n\n" + talk()) for i, (_, n) in enumerate(notices)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not [r for r in found if r["doc_id"] < 10_000]
+    right = {r["doc_id"] for r in found if r["family"] == notices[r["doc_id"] - 10_000][0]}
+    assert len(right) >= 0.9 * len(notices)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(4)
     text = lambda i: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))
