@@ -37,9 +37,21 @@ def expand(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
+MIX = ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1))
+
+
 def scramble(keys: np.ndarray) -> np.ndarray:
     """A one-to-one 64-bit hash (multiply and shift rounds)."""
     h = keys.astype(np.uint64)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+    for shift, factor in MIX:
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     return h
+
+
+def unscramble(hashes: np.ndarray) -> np.ndarray:
+    """The keys of :func:`scramble`."""
+    h = hashes.astype(np.uint64)
+    for shift, factor in reversed(MIX):
+        h = h * np.uint64(pow(factor, -1, 1 << 64))
+        h = h ^ (h >> np.uint64(shift))  # a shift of half the bits and more undoes itself
+    return h

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm import licences, ngram_lm, quality, toxicity
-from auditloom.llm.packed import expand, squeeze
+from auditloom.llm.packed import expand, scramble, squeeze, unscramble
 from tests.llm.conftest import ROWS
 from tests.llm.test_near_and_exact import contaminated, fingerprint, lowered
 
@@ -88,6 +88,50 @@ def test_kneser_ney_equals_counting(odd, none):
     assert len(untrained) == len(ROWS) and all(r["n_known"] == 0 for r in untrained)
 
 
+def smoothed(count, context, discount, lower):
+    """One interpolated level from the counts of a context's followers."""
+    total = sum(context.values())
+    if not total:
+        return lower
+    kinds = [sum(min(n, 3) == k for n in context.values()) for k in (1, 2, 3)]
+    return max(count - [0, *discount][min(count, 3)], 0) / total + np.dot(discount, kinds) / total * lower
+
+
+def test_triples_equal_counting(spark, odd, none):
+    """Order three by plain counting: texts begin with two start marks, lower levels count different contexts."""
+    rng = np.random.default_rng(9)
+    extra = [(100 + i, " ".join(rng.choice(list("abcdef"), rng.integers(1, 30))), "en") for i in range(60)]
+    rows = [(d, t) for d, t, _ in ROWS] + [(d, t) for d, t, _ in extra]
+    docs = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string")).repartition(5)
+    words = [re.findall("[^\x20\x09-\x0d]+", lowered(t)) + [None] for _, t in rows]
+    train = [w for w, (d, _) in zip(words, rows, strict=True) if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    count = Counter(w for v in train for w in v)
+    triples = Counter(t for v in train for t in zip([False, False, *v[:-2]][:len(v)] if len(v) > 1 else [False], [False, *v[:-1]], v, strict=True))
+    pairs = Counter((b, c) for _, b, c in triples)
+    singles = Counter(c for _, c in pairs)
+    d3, d2, d1 = (ngram_lm.discounts([sum(n == k for n in t.values()) for k in (1, 2, 3, 4)]) for t in (triples, pairs, singles))
+    by_pair, by_word = {}, {}
+    for (a, b, c), n in triples.items():
+        by_pair.setdefault((a, b), {})[c] = n
+    for (b, c), n in pairs.items():
+        by_word.setdefault(b, {})[c] = n
+
+    def p(a, b, c):
+        low = smoothed(singles[c], singles, d1, 1 / (len(count) + 1))
+        return smoothed(triples[a, b, c], by_pair.get((a, b), {}), d3, smoothed(pairs[b, c], by_word.get(b, {}), d2, low))
+
+    want = sorted((repr(d), round(sum(math.log10(p(a, b, c)) for a, b, c in zip([False, False, *w][:len(w)], [False, *w[:-1]], w, strict=True)), 5)) for (d, _), w in zip(rows, words, strict=True))
+    got = ngram_lm.report(docs, order=3)
+    assert sorted((repr(r["doc_id"]), round(r["score"], 5)) for r in got.collect()) == want
+    assert abs(sum(p("a", "b", c) for c in count) + p("a", "b", "never seen") - 1) < 1e-9
+    assert ngram_lm.report(none, order=3).count() == 0
+
+
+def test_hashes_of_numbers_turn_back():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
+    assert np.array_equal(unscramble(scramble(keys)), keys)
+
+
 def test_blocks_of_numbers():
     values = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 999).astype(np.uint64))
     assert np.array_equal(expand(squeeze(values)), values) and len(expand(squeeze(values[:0]))) == 0
