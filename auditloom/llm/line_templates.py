@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.texts import shield
+from auditloom.llm.texts import among, shield
 from auditloom.operators.small import checked
 from auditloom.session import materialise
 
@@ -19,7 +19,6 @@ LONG_TOKENS = 8
 WORD_CHARS = 6
 SIMILARITY = 0.6
 CLOSE = 0.8
-SLOTS = 1 << 16
 VARIABLE = "<*>"
 
 
@@ -70,27 +69,14 @@ def line_table(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return materialise(lines, "line-table").where((F.col("weight") > 0) | (F.col("size") >= MIN_TOKENS))
 
 
-def _bits(column: str) -> tuple[Column, Column]:
-    """Slot and bit of a hash in a bitmap of fixed size."""
-    bit = F.shiftright(F.col(column), 40).bitwiseAND(63).cast("int")
-    return F.pmod(F.col(column), F.lit(SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-
-
-def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose hash is in ``wanted``, and a few others by chance; the bitmap that is broadcast never grows."""
-    slot, one = _bits(column)
-    bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
-    return rows.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0).drop("__slot", "__bits")
-
-
 def token_fields(docs: DataFrame, lines: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(leaf, template, fields)`` of the templates in ``wanted`` leaves: a hash of every token after the first ones.
 
     Lines of other leaves go before any shuffle and before they are split. Those
     that pass by chance belong to no wanted leaf and end with the next join.
     """
-    known = _among(lines, "leaf", wanted).select("line_hash")
-    text = _among(_lines(docs).select("line", F.xxhash64("line").alias("line_hash")), "line_hash", known)
+    known = among(lines, "leaf", wanted).select("line_hash")
+    text = among(_lines(docs).select("line", F.xxhash64("line").alias("line_hash")), "line_hash", known)
     split = text.select(_tokens(F.col("line")).alias("tokens")).withColumn("leaf", _leaf(depth)).where(F.size("tokens") > depth)
     fields = F.transform(F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(1))), lambda t: F.hash(t))
     return split.select("leaf", F.xxhash64("tokens").alias("template"), fields.alias("fields")).groupBy("leaf", "template").agg(F.any_value("fields").alias("fields"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.texts import shield
-from auditloom.operators.small import attach_row
+from auditloom.operators.small import attach_row, checked
 from auditloom.session import materialise
 
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -191,15 +191,20 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    The features are computed once and written beside the rows; the cutoffs are
-    fitted from that table and the verdict is read from it. Nothing else moves.
-    Null and empty texts fail the base rule; a null ``lang`` is a stratum of its
-    own; repeated rows stay or go together, ties with a cutoff stay; extra columns
-    of any name pass through; without labels only the base rules reject; an empty
-    table gives no rows.
+    The features are computed once and written without texts; the cutoffs are
+    fitted from that table, and the rows that fail are taken out by their id, the
+    hash of their text and their stratum, from a broadcast of checked size or by a
+    shuffle. Null and empty texts fail the base rule; a null ``lang`` is a stratum
+    of its own; repeated rows stay or go together, ties with a cutoff stay; extra
+    columns of any name pass through; without labels only the base rules reject;
+    an empty table gives no rows.
     """
     rows = shield(docs)
-    features = materialise(with_features(rows), "quality-rows")
-    # "doc_id" finds the labels, the extra columns stay out of the fit
-    narrow = features.select("doc_id", *[c for c in features.columns if c not in rows.columns])
-    return _verdict(features, _cutoffs(narrow, labels)).where("__kept").select(*rows.columns).toDF(*docs.columns)
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__own")
+    features = with_features(rows.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]))
+    features = materialise(features.select("*", own).drop("text"), "quality-features")
+    failed = _verdict(features, _cutoffs(features, labels)).where("NOT __kept")
+    failed, small = checked(failed.select(F.col("doc_id").alias("__id"), F.col("__own").alias("__hash"), F.col("__stratum").alias("__lang")).distinct())
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    met = F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash")) & (stratum == F.col("__lang"))
+    return rows.join(F.broadcast(failed) if small else failed, met, "left_anti").toDF(*docs.columns)

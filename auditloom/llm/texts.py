@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
+SLOTS = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 SPACE = np.zeros(256, bool)
@@ -31,6 +32,19 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _bits(column: str) -> tuple[Column, Column]:
+    """Slot and bit of a hash in a bitmap of fixed size."""
+    bit = F.shiftright(F.col(column), 40).bitwiseAND(63).cast("int")
+    return F.pmod(F.col(column), F.lit(SLOTS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash is in ``wanted``, and a few others by chance; the bitmap that is broadcast never grows."""
+    slot, one = _bits(column)
+    bits = wanted.groupBy(slot.alias("__slot")).agg(F.bit_or(one).alias("__bits"))
+    return rows.join(F.broadcast(bits), slot == F.col("__slot")).where(F.col("__bits").bitwiseAND(one) != 0).drop("__slot", "__bits")
+
+
 def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows, from 0) and bytes of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
