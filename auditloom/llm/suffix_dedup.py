@@ -25,7 +25,7 @@ GRAM = 16
 SPAN = WINDOW - GRAM  # windows of one anchor start at most so far before it
 SEGMENT = 1 << 18
 SLICE = 2 << 20
-CHUNK_ANCHORS = 1 << 19
+CHUNK_ANCHORS = 1 << 20
 CHUNK_CONTEXTS = 1 << 17
 SORT_SUFFIXES = 1 << 18
 GATHER = 1 << 21
@@ -381,18 +381,20 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """
     tasks = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 4 << (tasks - 1).bit_length()  # a task takes some buckets, one at a time
-    shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def bucket_of(gram: np.ndarray) -> np.ndarray:
-        """An anchor has the least hash of its window: its own high bits are mostly zero, those of a second hash are even."""
-        return (scramble(gram) >> shift).astype(np.int64)
+        """Ranges of hashes that hold as many anchors each: an anchor is the least of its windows, so low hashes are far more common."""
+        above = 1 - gram.astype(np.float64) / 2.0 ** 64
+        half = (SPAN + 2) / 2
+        below = 1 - half * above ** (SPAN + 1) + (half - 1) * above ** (SPAN + 2)
+        return np.clip((below * buckets).astype(np.int64), 0, buckets - 1)
 
     def pack(kept: list[dict]):
         """One row a bucket of the anchors held."""
         columns = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]}
-        bucket = bucket_of(columns["gram"])
-        order = np.lexsort((columns["gram"], bucket))
-        gram, bucket = columns["gram"][order], bucket[order]
+        order = np.argsort(columns["gram"], kind="stable")
+        gram = columns["gram"][order]
+        bucket = bucket_of(gram)
         starts, stops = _spans(bucket)
         for a, b in zip(starts, stops, strict=True):
             o = order[a:b]
@@ -454,7 +456,7 @@ def _covers(rows: DataFrame, copies: DataFrame) -> DataFrame:
             np.minimum.at(least, kind, ids)
             late = ids > least[kind]
             bucket = bucket_of(gram)
-            order = np.lexsort((gram, bucket))
+            order = np.argsort(gram, kind="stable")
             begin, stop = _spans(bucket[order])
             out = []
             for a, b in zip(begin, stop, strict=True):
