@@ -263,3 +263,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(got[d] == want[d] for d in got if d != 52) and not contaminated(got[52], [("q", passage)])[4]
     pieces = corpus_pipeline.pipeline(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == set(got)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, items, marks, tmp_path):
+    """Null ids, texts and languages, repeated rows, long texts, clashing columns; then no rows at all."""
+    words = [f"word{i} kept{i * 7 % 31}x" for i in range(40)]
+    good = spark.createDataFrame([(20, " ".join(words), None), (20, " ".join(words), None), (None, " ".join(reversed(words)), "de")], "doc_id long, text string, lang string")
+    good = good.select("*", *[F.lit("y").alias(c) for c in odd.columns[3:]])
+    for name, docs in (("odd", odd.unionByName(odd.where("doc_id = 2")).unionByName(good)), ("none", none)):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        (items if name == "odd" else items.where("false")).write.parquet(str(folder / "benchmark.parquet"))
+        (marks if name == "odd" else marks.where("false")).write.parquet(str(folder / "labels.parquet"))
+        rows = spark.read.parquet(str(folder / "documents.parquet"))
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, str(folder))
+            assert rows.columns == odd.columns, stage_name
+        kept = {r["doc_id"] for r in rows.collect()}
+        assert kept == ({20, None} if name == "odd" else set())
+        pieces = corpus_pipeline.pipeline(spark, str(folder)).collect()
+        assert {r["doc_id"] for r in pieces} == kept
