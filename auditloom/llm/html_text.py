@@ -7,7 +7,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.texts import by_bytes
@@ -15,8 +15,7 @@ from auditloom.operators.small import checked
 from auditloom.session import materialise
 from auditloom.shipping import map_arrow
 
-NEAR_BEST = 0.8      # containers of a page that get a vote, as a share of its best score
-LASTING = 0.1        # paths of a host that are kept, as a share of its best path's votes
+LASTING = 0.1        # paths of a host that are kept, as a share of all its votes
 FITTING = 0.3        # a host's path is used on a page if it scores this share of the page's own best
 INNER = 0.1          # what a container gains for each container around it
 PATH_CHARS = 2000    # longer paths are named by their hash
@@ -218,25 +217,24 @@ class Page:
                 # an inner container may lose a little of the prose
                 self.score[node] = good[node] / good[0] * (good[node] / every[node]) * self.prior[node] * (1 + INNER * depth[node])
 
-    def votes(self) -> dict[str, int]:
-        """Thousandths of a vote for the paths of the best containers; a runner-up's share falls with the fourth power."""
-        best = max(self.score.values(), default=0.0)
-        out: dict[str, int] = {}
-        for node, score in self.score.items():
-            if score >= NEAR_BEST * best:
-                out[self.path[node]] = max(out.get(self.path[node], 0), round(1000 * (score / best) ** 4))
-        return out
+    def best(self) -> int | None:
+        """The container with the best score, the innermost among equals."""
+        return max(self.score, key=lambda node: (self.score[node], node), default=None)
+
+    def best_path(self) -> str | None:
+        best = self.best()
+        return None if best is None else self.path[best]
 
     def chosen(self, paths: list[str]) -> list[int]:
         """Containers at the first of the host's paths that fits the page, else the page's own best."""
-        if not self.score:
+        own = self.best()
+        if own is None:
             return [0]
-        best = max(self.score.values())
         for path in paths:
             held = [node for node, score in self.score.items() if self.path[node] == path]
-            if held and max(self.score[node] for node in held) >= FITTING * best:
+            if held and max(self.score[node] for node in held) >= FITTING * self.score[own]:
                 return held
-        return [max(self.score, key=lambda node: (self.score[node], node))]
+        return [own]
 
     def text(self, containers: list[int]) -> str:
         """Blocks of text inside the containers, without the regions apart."""
@@ -259,7 +257,7 @@ def host_of(url: str) -> F.Column:
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """``host, path, votes, pages``: how the pages of a host vote on generalised paths.
+    """``host, path, votes``: how many pages of a host have their best container at a generalised path.
 
     A path lists tags and classes from the body inward; digits in classes are
     generalised. Votes are added up in the tasks before they are shuffled, so a
@@ -267,23 +265,20 @@ def host_votes(pages: DataFrame) -> DataFrame:
     """
     def voted(batches):
         for batch in by_bytes(batches, "html"):
-            hosts, paths, votes = [], [], []
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, vote in Page(source).votes().items():
-                    hosts.append(host)
-                    paths.append(path)
-                    votes.append(vote)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["host", "path", "votes"])
+            paths = [Page(source).best_path() for source in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     rows = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return map_arrow(rows, voted, "host string, path string, votes long").groupBy("host", "path").agg(
-        F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("pages"))
+    return map_arrow(rows, voted, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """``host, paths``: a host's paths with at least a tenth of the votes of its best, best first."""
-    best = F.max("votes").over(Window.partitionBy("host"))
-    kept = votes.withColumn("best", best).where(F.col("votes") >= LASTING * F.col("best"))
+    """``host, paths``: a host's paths with at least a tenth of all its votes, best first; so ten at most.
+
+    A host whose pages have each a path of their own has none.
+    """
+    totals = votes.groupBy(F.col("host").alias("_host")).agg(F.sum("votes").alias("total"))
+    kept = votes.join(totals, F.col("host") == F.col("_host")).where(F.col("votes") >= LASTING * F.col("total"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
     return kept.groupBy("host").agg(F.transform(order, lambda x: x["path"]).alias("paths"))
 
@@ -293,7 +288,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Every container of a page is scored by the share of the page's prose that it
     holds, by how little else it holds, and by its tag and class. The pages of a
-    host vote on the generalised paths of their best containers; each page is then
+    host vote for the generalised path of their best container; each page is then
     read again at the first of its host's winning paths that fits it, or at its
     own best container. Menus, headers, footers, asides, notices, adverts, forms,
     comments and hidden parts are left out wherever they stand; of a header inside
@@ -305,7 +300,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rank by path; broken markup is closed as browsers do; other columns are
     ignored; an empty table gives no rows.
     """
-    winners, small = checked(winning_paths(host_votes(pages)).withColumnRenamed("host", "_host"))
+    votes = materialise(host_votes(pages), "host-votes")
+    winners, small = checked(winning_paths(votes).withColumnRenamed("host", "_host"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of("url").alias("host"))
     joined = rows.join(F.broadcast(winners) if small else winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "paths")
 

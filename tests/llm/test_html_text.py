@@ -67,7 +67,7 @@ def test_hosts_agree_where_one_page_misleads(spark):
     rows += [(None, None, None, "x"), (12, "", "", None), (0, rows[0][1], rows[0][2], "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, paths string").repartition(4)
     votes = H.host_votes(pages).where("host = 'host.example'").orderBy("votes", ascending=False).collect()
-    assert votes[0]["path"] == ">div.wrap>div.lead-#" and votes[0]["pages"] == 10
+    assert votes[0]["path"] == ">div.wrap>div.lead-#" and votes[0]["votes"] == 10
     found = {(r["page_id"], r["url"]): r["text"] for r in H.extract(pages).collect()}
     assert H.extract(pages).count() == len(rows)
     assert found[9, "http://u@host.example/p9"] == "\n".join([PROSE] * 3)
@@ -76,6 +76,16 @@ def test_hosts_agree_where_one_page_misleads(spark):
     assert PROSE in found[10, "http://other.example/"]
 
 
+def test_a_host_of_many_layouts_keeps_ten_paths_at_most(spark):
+    """Votes scattered over many paths name none; every page is then read at its own best container."""
+    rows = [(i, "http://many.example/", f"<div class='{'abcdefghij'[i % 10] * (i // 10 + 1)}'><p>{PROSE}</p></div>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert H.winning_paths(H.host_votes(pages)).count() == 0
+    assert {r["text"] for r in H.extract(pages).collect()} == {PROSE}
+    votes = spark.createDataFrame([("h", f"p{i}", 100 + i) for i in range(9)] + [("h", "rare", 20)], "host string, path string, votes long")
+    assert H.winning_paths(votes).first()["paths"] == [f"p{i}" for i in range(8, -1, -1)]
+
+
 def test_empty_table_and_long_pages(spark):
     schema = "page_id long, url string, html string"
     assert H.extract(spark.createDataFrame([], schema)).collect() == []
