@@ -16,7 +16,7 @@ from auditloom.llm.texts import LOWER, byte_view
 SEPARABLE_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 SEPARABLE_NORMALISERS = ["NFC", "Replace", "Lowercase"]
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 JOINED = 200
 _ONE_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 _LETTER = np.zeros(256, bool)
