@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -72,18 +78,21 @@ def basename(value: Column) -> Column:
 
 def one_line(value: Column, limit: int = 500) -> Column:
     """Collapse white space and cap the length for display."""
-    text = stripped(F.regexp_replace(value, r"(?U)\s+", " "))
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+    return once(stripped(F.regexp_replace(value, r"(?U)\s+", " ")), lambda text: F.when(
+        F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text))
 
 
 def printable_hex(value: Column) -> Column:
     """Decode hex digits when at least 85 % of the decoded characters are printable."""
-    is_hex = value.rlike("^[0-9A-Fa-f]+$") & (F.length(value) % 2 == 0)
-    decoded = F.make_valid_utf8(F.unhex(F.when(is_hex, value)).cast("string"))
-    shown = F.length(F.regexp_replace(decoded, r"[[\p{C}\p{Z}]&&[^ \n\t\r\x00]]", ""))
-    readable = shown >= F.length(decoded) * F.lit(0.85)
-    text = stripped(F.translate(decoded, "\0", " "))
-    return F.when(is_hex & readable, text).otherwise(value)
+    def shown(text: Column, given: Column) -> Column:
+        count = F.length(F.regexp_replace(text, r"[[\p{C}\p{Z}]&&[^ \n\t\r\x00]]", ""))
+        return F.when(count >= F.length(text) * F.lit(0.85), stripped(F.translate(text, "\0", " "))).otherwise(given)
+
+    def read(given: Column) -> Column:
+        is_hex = given.rlike("^[0-9A-Fa-f]+$") & (F.length(given) % 2 == 0)
+        return F.when(is_hex, once(F.make_valid_utf8(F.unhex(given).cast("string")), lambda text: shown(text, given))).otherwise(given)
+
+    return once(value, read)
 
 
 def joined(items: Column) -> Column:

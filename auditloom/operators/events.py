@@ -14,6 +14,7 @@ from auditloom.sources.tables import read_table
 # Fixed patterns of the log format.
 HEADER = r"^type=([A-Za-z0-9_]+)\s+msg=audit\((\d+(?:\.\d+)?):(\d+)\):\s*"
 FIELD = r'(?U)(\w+)=("[^"\\]*+(?:\\.[^"\\]*+)*+"|\S+)'
+ASCII_FIELD = FIELD.removeprefix("(?U)")
 SUFFIX = r"(?s)(\x1d|\^\]).*$"
 
 # Record kinds whose text is kept; PATH records are reduced to their name.
@@ -22,27 +23,39 @@ KEPT_KINDS = ["SYSCALL", "EXECVE", "PROCTITLE", "CWD", "SOCKADDR"]
 
 def extract_records(raw: DataFrame) -> DataFrame:
     """Lines with an audit header as ``(source, pos, record_type, timestamp, event_id, body)``."""
-    line = F.regexp_replace("value", SUFFIX, "")
-    rows = raw.select("source", "pos", line.alias("line")).where(F.col("line").rlike(HEADER))
-    return rows.select(
-        "source", "pos",
-        F.regexp_extract("line", HEADER, 1).alias("record_type"),
-        F.regexp_extract("line", HEADER, 2).alias("timestamp"),
-        F.regexp_extract("line", HEADER, 3).alias("event_id"),
-        F.expr(f"substring(line, length(regexp_extract(line, r'{HEADER}', 0)) + 1)").alias("body"))
+    value = F.col("value")
+    # most lines have no suffix; only those that do are searched for its start
+    line = F.when(value.contains("\x1d") | value.contains("^]"), F.regexp_replace("value", SUFFIX, "")).otherwise(value)
+    # one search: the parts come apart at a character that the line no longer holds
+    parts = F.split(F.regexp_replace(line, HEADER, "$1\x1d$2\x1d$3\x1d"), "\x1d", 4)
+    found = X.once(parts, lambda p: F.when(F.size(p) == 4, F.struct(
+        *[F.get(p, F.lit(i)).alias(name) for i, name in enumerate(("record_type", "timestamp", "event_id", "body"))])))
+    # an outer generator: a filter on the record would run the search a second time
+    return raw.select("source", "pos", F.inline_outer(F.array(found))).where("record_type IS NOT NULL")
+
+
+def field_list(body: Column) -> Column:
+    """Keys and raw values of a record in line order, from one search of its text."""
+    # both patterns mean the same in ASCII, where the one without Unicode classes is faster
+    found = X.once(body, lambda text: F.when(F.octet_length(text) == F.length(text), F.regexp_extract_all(text, F.lit(ASCII_FIELD), F.lit(0)))
+                   .otherwise(F.regexp_extract_all(text, F.lit(FIELD), F.lit(0))))
+    return X.once(found, lambda fields: F.struct(
+        F.transform(fields, lambda f: F.substring_index(f, "=", 1)).alias("keys"),
+        F.transform(fields, lambda f: F.substr(f, F.locate("=", f) + 1)).alias("values")))
 
 
 def field_arrays(body: Column) -> Column:
     """Keys and raw values of a record, last field first so that the last one wins."""
-    return F.struct(
-        F.reverse(F.regexp_extract_all(body, F.lit(FIELD), F.lit(1))).alias("keys"),
-        F.reverse(F.regexp_extract_all(body, F.lit(FIELD), F.lit(2))).alias("values"))
+    return X.once(field_list(body), lambda f: F.struct(F.reverse(f["keys"]).alias("keys"), F.reverse(f["values"]).alias("values")))
 
 
 def unquoted(value: Column) -> Column:
-    inner = F.regexp_replace(F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))),
-                             r'\\(["\\])', "$1")
-    return F.when(value.startswith('"') & value.endswith('"'), inner).otherwise(value)
+    def plain(text: Column) -> Column:
+        inner = F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))
+        inner = F.when(text.contains("\\"), F.regexp_replace(inner, r'\\(["\\])', "$1")).otherwise(inner)
+        return F.when(text.startswith('"') & text.endswith('"'), inner).otherwise(text)
+
+    return X.once(value, plain)
 
 
 def raw_field(fields: Column, name: str) -> Column:
@@ -57,12 +70,19 @@ def field(fields: Column, name: str) -> Column:
 
 def tokenise(records: DataFrame) -> DataFrame:
     """Records with a ``fields`` list of ``(key, value)`` in line order, one per key."""
-    fields = field_arrays(F.col("body"))
-    pairs = F.arrays_zip(F.reverse(fields["keys"]).alias("key"), F.reverse(fields["values"]).alias("value"))
-    last = F.filter(pairs, lambda p, i: F.array_position(
-        F.slice(F.reverse(fields["keys"]), i + 2, F.size(fields["keys"])), p["key"]) == 0)
-    return records.withColumn("fields", F.transform(
-        last, lambda p: F.struct(p["key"].alias("key"), unquoted(p["value"]).alias("value"))))
+    def last_of_each(f: Column) -> Column:
+        pairs = F.arrays_zip(f["keys"].alias("key"), f["values"].alias("value"))
+        last = F.filter(pairs, lambda p, i: F.array_position(F.slice(f["keys"], i + 2, F.size(f["keys"])), p["key"]) == 0)
+        kept = F.when(F.size(F.array_distinct(f["keys"])) == F.size(f["keys"]), pairs).otherwise(last)
+        return F.transform(kept, lambda p: F.struct(p["key"].alias("key"), unquoted(p["value"]).alias("value")))
+
+    return records.withColumn("fields", X.once(field_list(F.col("body")), last_of_each))
+
+
+def field_rows(records: DataFrame, *keys: str) -> DataFrame:
+    """One row per field of every record: ``keys..., key, value``."""
+    # an outer generator: else a filter on the list is put below it, which builds every list twice
+    return tokenise(records).select(*keys, F.inline_outer("fields")).where("key IS NOT NULL")
 
 
 def decoded(raw: Column, strict: bool) -> Column:
@@ -168,7 +188,7 @@ def build_events(records: DataFrame, key: list[str] | None = None, strict_hex: b
     merged = merge_records(records, key or ["source", "event_id"])
     parsed = merged.withColumns({f"_{k}": field_arrays(F.coalesce(k, F.lit(""))) for k in KEPT_KINDS})
     parsed = parsed.withColumns({
-        "_arguments": sorted_arguments(F.col("_EXECVE")),
+        "_arguments": X.once(F.col("_EXECVE"), sorted_arguments),
         "_argc": field(F.col("_EXECVE"), "argc"),
     })
     call = F.col("_SYSCALL")

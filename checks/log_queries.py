@@ -54,10 +54,10 @@ def line_rows(e):
 
 def rendered(spark, sf_dir):
     """Log lines of the audit view below one folder per source."""
-    rows, keys = line_rows(audit_events(spark, sf_dir)), ["source", "ts_us", "event_no"]
-    path = fresh(spark, "log")
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "at").select("source", "value").write.partitionBy(
-        "source").text(path)
+    keys, path = ["source", "ts_us", "event_no"], fresh(spark, "log")
+    # events are dealt before they become lines: neither the sampling of the ranges nor the shuffle holds a line
+    rows = line_rows(audit_events(spark, sf_dir).repartitionByRange(*keys))
+    rows.sortWithinPartitions(*keys, "at").select("source", "value").write.partitionBy("source").text(path)
     return read_raw(spark, f"{path}/*/*.txt", source_pattern=r"source=([^/]+)/")
 
 
@@ -102,14 +102,14 @@ def records(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    rows = B.tokenise(B.extract_records(rendered(spark, sf_dir))).where("record_type = 'SYSCALL'")
-    return rows.select("event_id", F.inline("fields")).where(F.col("key").isin("uid", "comm", "key", "exe", "auid"))
+    calls = B.extract_records(rendered(spark, sf_dir)).where("record_type = 'SYSCALL'")
+    return B.field_rows(calls, "event_id").where(F.col("key").isin("uid", "comm", "key", "exe", "auid"))
 
 
 def all_fields(spark, sf_dir):
     """Every field of every record, with the number of records that hold it."""
-    rows = B.tokenise(B.extract_records(rendered(spark, sf_dir)))
-    return rows.select("event_id", "record_type", F.inline("fields")).groupBy("event_id", "record_type", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = B.field_rows(B.extract_records(rendered(spark, sf_dir)), "event_id", "record_type")
+    return rows.groupBy("event_id", "record_type", "key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def assembled(spark, sf_dir):

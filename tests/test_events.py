@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from auditloom.operators.events import build_events, extract_records, load_events, tokenise
+from auditloom.operators.events import build_events, extract_records, field_rows, load_events, tokenise
 from auditloom.sources.audit_log import read_raw
 
 LINES = """\
@@ -124,3 +124,18 @@ def test_parsed_events_need_their_columns(spark, tmp_path):
     path = write(tmp_path, "events2.csv", 'timestamp,event_id,command\n1.5,3,"say ""hi"",\nok"\n')
     row = load_events(spark, parsed=path, source="s").first()
     assert (row["ts_us"], row["command"], row["source"]) == (1500000, 'say "hi",\nok', "s")
+
+
+def test_a_record_is_searched_once_for_all_its_fields(spark):
+    from pyspark.sql import functions as F
+
+    lines = LINES.splitlines() + ['type=SYSCALL msg=audit(5.0:11): comm="\u00e9 \\"x\\"" n\u00e9=1 a=1 a=2', "type=CWD msg=audit(6.0:12):", "type=CWD", None]
+    raw = spark.createDataFrame([("h", i, v) for i, v in enumerate(lines)], "source string, pos long, value string")
+    records = extract_records(raw)
+    assert {r["event_id"] for r in records.collect()} == {"7", "8", "10", "11", "12"}
+    got = [tuple(r) for r in field_rows(records, "event_id").where("event_id IN ('10', '11')").collect()]
+    assert got == [("10", "syscall", "999"), ("10", "success", "no"), ("10", "uid", "0"), ("11", "comm", '\u00e9 "x"'), ("11", "n\u00e9", "1"), ("11", "a", "2")]
+    counted = field_rows(records, "event_id").groupBy("key", "value").agg(F.count("*"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    # two variants of one search, for ASCII and other texts
+    assert plan.count("regexp_extract_all") == 2 and plan.count("msg=audit") == 1
