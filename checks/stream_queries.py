@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.operators import windows as W
+from auditloom.session import materialise
 from auditloom.sources import tables as T
 from auditloom.streaming import assembly, evidence, monitor, overlaps, runs, vectors
 from checks.audit_view import HOUR, WINDOW_US, audit_events
@@ -16,7 +17,7 @@ from checks.window_queries import TOP as TOP_VALUES
 from checks.window_queries import windowed
 
 CLOSING = "closing"
-PARTS, FILES = 3, 2
+PARTS, FILES, FILE_ROWS = 3, 2, 250_000
 
 
 def replay(spark, inputs, plan, resumed=False, settings=None):
@@ -25,8 +26,11 @@ def replay(spark, inputs, plan, resumed=False, settings=None):
     ``inputs`` are ``(table, time column)``. Slices are staged in order of time,
     then a row of another source far in the future, which closes all that is
     open. With ``resumed`` the first run sees the first slice alone and ends; a
-    second one starts from its checkpoint and finishes.
+    second one starts from its checkpoint and finishes. Each table is computed
+    once, and a slice has as many files as its rows need tasks.
     """
+    inputs = [(materialise(df, "replay"), time) for df, time in inputs]
+    files = max(FILES, *[-(-df.count() // (PARTS * FILE_ROWS)) for df, _ in inputs])
     cuts = runs.cut_points(inputs[0][0].select(inputs[0][1]), inputs[0][1], PARTS)
     folders = [fresh(spark, "stream") for _ in inputs]
     width = max([b - a for a, b in zip(cuts, cuts[1:], strict=False)] + [HOUR])
@@ -36,9 +40,9 @@ def replay(spark, inputs, plan, resumed=False, settings=None):
     bounds = [None, *cuts, None]
     for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         for folder, (df, time) in zip(folders, inputs, strict=True):
-            runs.stage_slice(df.coalesce(FILES), folder, time, low, high)
+            runs.stage_slice(df.coalesce(files), folder, time, low, high)
         if found is None:
-            streams = [runs.read_slices(spark, folder, df.schema, FILES) for folder, (df, _) in zip(folders, inputs, strict=True)]
+            streams = [runs.read_slices(spark, folder, df.schema, files) for folder, (df, _) in zip(folders, inputs, strict=True)]
             found = plan(*streams, f"{width} microseconds")
         if resumed and not i:
             done.append(runs.run_available(found, sink, state, settings))
