@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import decontaminate, line_templates, near_texts, packing, quality
+from auditloom.llm import decontaminate, line_templates, near_texts, packing, quality, simhash
 from auditloom.llm.queries import word_bpe
 from auditloom.session import materialise
 
@@ -18,8 +18,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of texts with five-word shingles of similarity 0.8."""
-    return near_texts.keep_one(docs)
+    """One document of each group of near fingerprints, then of those left with five-word shingles of similarity 0.8."""
+    return near_texts.keep_one(materialise(simhash.keep_one(docs), "pipeline-fingerprints"))
 
 
 def decontamination(spark, docs, sf_dir):
