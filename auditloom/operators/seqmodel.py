@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from auditloom import schema as S
 from auditloom.operators.ordering import number_rows
-from auditloom.operators.small import attach
+from auditloom.operators.small import attach, attach_row
 from auditloom.shipping import ship
 
 # a weight for every token is kept in the driver while the model is fitted
@@ -36,7 +36,7 @@ def group_split(df: DataFrame, group: str = "segment_id", share: float = 0.25, s
     drawn = number_rows(groups.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(group).cast("string"))),
                         [], ["_draw", group], "_place", **limits)
     wanted = groups.agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("_wanted"))
-    marks = drawn.withColumn("is_validation", F.col("_place") < wanted.scalar()).select(group, "is_validation")
+    marks = attach_row(drawn, wanted).select(group, (F.col("_place") < F.col("_wanted")).alias("is_validation"))
     split = attach(df, marks, [group])
     if label:
         classes = {r["is_validation"]: r["n"] for r in split.groupBy("is_validation").agg(

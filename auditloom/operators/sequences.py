@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,12 +146,12 @@ def encode(df: DataFrame, vocab: DataFrame, lookup_rows: int = LOOKUP_ROWS) -> D
     """
     vocab, is_small = checked(vocab, lookup_rows)
     if is_small:
-        entries = [
-            F.map_from_entries(F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("id", "token")))),
-                lambda e: F.struct(e["token"], e["id"]))).alias(c)
-            for c in S.TOKEN_COLUMNS]
-        maps = vocab.agg(*entries).select(F.struct(*S.TOKEN_COLUMNS)).scalar()
+        held: dict[str, dict[str, int]] = {c: {} for c in S.TOKEN_COLUMNS}
+        # at most ``lookup_rows`` rows, which are local already
+        for row in vocab.orderBy("id", "token").collect():
+            if row["column"] in held:
+                held[row["column"]][row["token"]] = row["id"]
+        maps = {c: F.from_json(F.lit(json.dumps(ids)), "map<string,int>") for c, ids in held.items()}
         rows = df.withColumn("tokens", F.array(*[
             F.coalesce(maps[c][token(F.col(c))], F.lit(S.UNKNOWN_ID)) for c in S.TOKEN_COLUMNS]))
         return rows
