@@ -61,15 +61,26 @@ def rendered(spark, sf_dir):
     return read_raw(spark, f"{path}/*/*.txt", source_pattern=r"source=([^/]+)/")
 
 
+def date_files(spark, folders):
+    """Modification times, a second apart, in the order of the folders and of the parts in them, as a log cut by its size leaves them."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(folders[0]).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(i, f.getPath().getName(), f.getPath()) for i, folder in enumerate(folders)
+             for f in fs.listStatus(path_of(folder)) if f.getPath().getName().startswith("part-")]
+    for i, (_, _, path) in enumerate(sorted(files, key=lambda f: f[:2])):
+        fs.setTimes(path, 1_000_000_000_000 + 1000 * i, -1)
+
+
 def rotated(spark, sf_dir):
-    """Two generations of one log, the older one compressed: every event at its place in the joint order."""
+    """Two generations of one log in files cut by size, the older one compressed: every event at its place in the joint order."""
     e = audit_events(spark, sf_dir)
     middle = e.agg(F.percentile_approx("ts_us", 0.5)).first()[0]
-    path = fresh(spark, "rotated")
-    for name, part, codec in (("audit.log.1", F.col("ts_us") <= middle, "gzip"), ("audit.log", F.col("ts_us") > middle, None)):
-        # a generation is one file, as a log writer leaves it
-        rows = line_rows(e.where(part)).coalesce(1).sortWithinPartitions("ts_us", "event_no", "at").select("value")
+    path, keys = fresh(spark, "rotated"), ["ts_us", "event_no"]
+    generations = (("audit.log.1", F.col("ts_us") <= middle, "gzip"), ("audit.log", F.col("ts_us") > middle, None))
+    for name, part, codec in generations:
+        rows = line_rows(e.where(part).repartitionByRange(*keys)).sortWithinPartitions(*keys, "at").select("value")
         rows.write.text(f"{path}/{name}", compression=codec)
+    date_files(spark, [f"{path}/{name}" for name, _, _ in generations])
     found = B.build_events(B.extract_records(read_raw(spark, f"{path}/*/*.txt*", source="joint")))
     placed = number_rows(found.select("event_id", "command", "record_count", "first_pos"), [], ["first_pos"], "place")
     return placed.select("event_id", "command", "record_count", F.col("place").cast("bigint").alias("place"))
