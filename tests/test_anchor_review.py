@@ -5,6 +5,7 @@ from auditloom.operators import anchor as A
 from auditloom.operators import review as R
 from auditloom.sources.runs import intervals_from_metadata
 from auditloom.sources.slices import read_review_slices, write_review_slices
+from checks.anchor_queries import write_metadata
 
 FIELDS = "run_id string, chain_id string, delivery string, payload string, category string, privilege string, " \
          "target_start_epoch string, target_end_epoch string, target_start_iso string, target_end_iso string"
@@ -141,3 +142,16 @@ def test_intervals_from_metadata(spark, tmp_path):
     assert [(r["run_id"], r["success"], r["payload"]) for r in found] == [("a", "", ""), ("b", "true", "x=y=z")]
     assert A.prepare_intervals(spark.createDataFrame(found)).count() == 2
     assert found[0]["metadata_path"].endswith("a/metadata.txt")
+
+
+def test_run_files_are_dealt_by_their_number(spark, tmp_path):
+    names = [c for c in S.INTERVAL_COLUMNS if c != "metadata_path"]
+    rows = [tuple(f"{c}{i}" if "epoch" not in c else f"{i}.5" for c in names) for i in (*range(7), 3)]
+    rows = [tuple(f"run{i}" if c == "run_id" else v for c, v in zip(names, row, strict=True)) for i, row in zip((*range(7), 3), rows, strict=True)]
+    path = str(tmp_path / "runs")
+    write_metadata(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)), path, 2)
+    files = list((tmp_path / "runs").rglob("*.txt"))
+    assert len(files) == 7  # one file a run id, also where the id repeats
+    assert 2 <= len({f.parent for f in files}) <= 4  # tasks by the number of files, each with one folder
+    found = intervals_from_metadata(spark, path, "*.txt").drop("metadata_path").collect()
+    assert sorted(tuple(r) for r in found) == sorted(set(rows))
