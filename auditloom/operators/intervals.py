@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.ordering import order_rows
+from auditloom.operators.ordering import POS, order_rows
 from auditloom.operators.small import MAX_SMALL_ROWS, checked, solid_keys
+from auditloom.session import materialise
 
 MAX_CANDIDATES = 64
+SHELF_ROWS = 64
 LEVEL_BASE_US = 1_000_000
 LEVEL_STEP = 8
 
@@ -22,21 +24,27 @@ def lookup_segment(points: DataFrame, segments: DataFrame, by: list[str], at: st
     The segments of one ``by`` group must not overlap, so a point has at most one
     match and keeps exactly one row. A segment table of checked size is cut into
     time buckets of its mean length and broadcast: the points are not shuffled.
-    A larger one, or one that crowds a bucket, is merged with the points in time
-    order and the latest segment start is carried forward, again without pairs.
+    A larger one is cut into shelves of neighbouring segments; the table of
+    shelves is broadcast, and points meet the segments of their shelf in one
+    shuffle of the columns that are used. Segments or shelves that crowd a bucket
+    are merged with the points in time order and the latest segment start is
+    carried forward, again without pairs.
     """
     extra = [c for c in segments.columns if c not in (*by, low, high)]
     points, segments = solid_keys(points, by), solid_keys(segments, by)
     table, is_small = checked(segments, limit)
     if is_small:
-        width = table.agg(
-            F.coalesce(F.ceil(F.avg(F.col(high) - F.col(low) + 1)), F.lit(1))).first()[0]
-        width = max(1, int(width))
-        cut = table.withColumn("_bucket", F.explode(
-            F.sequence(_div(F.col(low), width), _div(F.col(high), width))))
-        crowd = cut.groupBy(*by, "_bucket").count().agg(F.max("count")).first()[0] or 0
-        if crowd <= MAX_CANDIDATES:
-            return _lookup_by_bucket(points, cut, by, at, low, high, extra, width)
+        found = _lookup_by_bucket(points, table, by, at, low, high, extra)
+        if found is not None:
+            return found
+    else:
+        # the order is taken once, of what ``checked`` has written
+        shelved = order_rows(table, by, [low], **limits).df.withColumn("_shelf", F.floor(F.col(POS) / SHELF_ROWS).cast("bigint"))
+        shelved = materialise(shelved.select(*by, low, high, *extra, "_shelf"), "shelved")
+        shelves, is_small = checked(shelved.groupBy(*by, "_shelf").agg(F.min(low).alias(low), F.max(high).alias(high)), limit)
+        dealt = _lookup_by_bucket(points, shelves, by, at, low, high, ["_shelf"]) if is_small else None
+        if dealt is not None:
+            return _lookup_on_shelf(dealt, shelved, by, at, low, high, extra)
     return _lookup_by_order(points, segments, by, at, low, high, extra, limits)
 
 
@@ -45,7 +53,16 @@ def _div(value: Column, width: int) -> Column:
     return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def _lookup_by_bucket(points, cut, by, at, low, high, extra, width):
+def _lookup_by_bucket(points, table, by, at, low, high, extra):
+    """Points with ``extra`` of the segment that holds them, or ``None`` when the segments crowd a bucket."""
+    width = table.agg(
+        F.coalesce(F.ceil(F.avg(F.col(high) - F.col(low) + 1)), F.lit(1))).first()[0]
+    width = max(1, int(width))
+    cut = table.withColumn("_bucket", F.explode(
+        F.sequence(_div(F.col(low), width), _div(F.col(high), width))))
+    crowd = cut.groupBy(*by, "_bucket").count().agg(F.max("count")).first()[0] or 0
+    if crowd > MAX_CANDIDATES:
+        return None
     cut = cut.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(low).alias("_low"),
                      F.col(high).alias("_high"), *extra, "_bucket")
     condition = _div(F.col(at), width) == F.col("_bucket")
@@ -56,6 +73,17 @@ def _lookup_by_bucket(points, cut, by, at, low, high, extra, width):
     return joined.drop("_low", "_high", "_bucket", *[f"__{c}" for c in by])
 
 
+def _lookup_on_shelf(points, segments, by, at, low, high, extra):
+    # points beside all shelves have a number of their own kind, so that they do not meet in one task
+    points = points.withColumn("_shelf", F.coalesce("_shelf", -1 - F.pmod(F.xxhash64(at), F.lit(1 << 20))))
+    held = segments.select(*[F.col(c).alias(f"__{c}") for c in (*by, "_shelf")], F.col(low).alias("_low"),
+                           F.col(high).alias("_high"), *extra)
+    condition = F.col(at).between(F.col("_low"), F.col("_high"))
+    for key in (*by, "_shelf"):
+        condition = condition & (F.col(key) == F.col(f"__{key}"))
+    return points.join(held, condition, "left").drop("_low", "_high", "_shelf", *[f"__{c}" for c in (*by, "_shelf")])
+
+
 def _lookup_by_order(points, segments, by, at, low, high, extra, limits):
     payload = F.struct(F.col(high).alias("_high"), *[F.col(c) for c in extra])
     marks = segments.select(*by, F.col(low).alias("_at"), F.lit(0).alias("_kind"),

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.operators import intervals
 from auditloom.operators.intervals import lookup_segment, overlap_pairs
 from auditloom.operators.ordering import order_rows, quantiles
 
@@ -80,3 +81,27 @@ def test_lookup_segment(spark, limits):
         spark.createDataFrame(segments, "s string, lo bigint, hi bigint, name string"), ["s"], "t", "lo", "hi", **limits)
     got = {r["id"]: r["name"] for r in found.collect()}
     assert got == {p[2]: next((x[3] for x in segments if x[0] == p[0] and x[1] <= p[1] <= x[2]), None) for p in points}
+
+
+def test_many_segments_meet_points_on_shelves(spark, monkeypatch):
+    """A segment table too large to broadcast whole: neither a sort of all points nor a struct of their columns."""
+    monkeypatch.setattr(intervals, "SHELF_ROWS", 4)
+    monkeypatch.setattr(intervals, "_lookup_by_order", None)
+    rng = random.Random(5)
+    segments, points = [], []
+    for g in ("a", "b", ""):
+        at = 0
+        for i in range(40):
+            low = at + rng.randrange(1, 9)
+            at = low + rng.randrange(0, 9)
+            segments.append((g, low, at, f"{g}{i}"))
+    for i in range(3000):
+        points.append((rng.choice(["a", "b", "", None, "none"]), rng.choice([None, *range(-5, 500)]), i))
+    found = lookup_segment(
+        spark.createDataFrame(points, "g string, t long, n long"), spark.createDataFrame(segments, "g string, lo long, hi long, name string"),
+        ["g"], "t", "lo", "hi", limit=60)
+    def owner(g, t):
+        return next((s[3] for s in segments if t is not None and s[0] == (g or "") and s[1] <= t <= s[2]), None)
+    assert sorted((r["n"], r["name"]) for r in found.collect()) == [(n, owner(g, t)) for g, t, n in points]
+    used = found.select("n", "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in used
