@@ -228,3 +228,19 @@ def test_variable_words_of_long_lines(spark):
     pair = [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
     got = kept(spark, [(i, filled(rng, 12) + "\n" + line) for i, line in enumerate(pair)])
     assert [len(t.split("\n")) for _, t in sorted(got.items())] == [2, 1]
+
+
+def test_component_rounds_have_tasks_by_their_links(spark):
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = [(i, i + 1) for i in range(60) if i % 10 != 9]
+        found = components.components(spark.createDataFrame(pairs, "a long, b long"))
+        links = found.where("node <> component")
+        assert links.rdd.getNumPartitions() < 23
+        assert {r["node"]: r["component"] for r in found.collect()} == {i: i // 10 * 10 for i in range(60)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
