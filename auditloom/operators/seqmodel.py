@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 from auditloom import schema as S
 from auditloom.operators.ordering import number_rows
 from auditloom.operators.small import attach, attach_row
+from auditloom.session import materialise
 from auditloom.shipping import ship
 
 # a weight for every token is kept in the driver while the model is fitted
@@ -32,7 +33,7 @@ def group_split(df: DataFrame, group: str = "segment_id", share: float = 0.25, s
     """
     if not 0.0 < share < 1.0:
         raise ValueError("the validation share must be between 0 and 1")
-    groups = df.select(group).distinct()
+    groups = materialise(df.select(group).distinct(), "groups")  # three passes read them
     drawn = number_rows(groups.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(group).cast("string"))),
                         [], ["_draw", group], "_place", **limits)
     wanted = groups.agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("_wanted"))
