@@ -44,6 +44,11 @@ def number_or(value: Column, default: float | None = 0.0) -> Column:
     return number if default is None else F.coalesce(number, F.lit(default))
 
 
+def numeric_text(value: Column) -> Column:
+    """Text that may be a number, any other as null: a cast that fails builds an exception for each row."""
+    return F.when(value.rlike("[0-9nN]"), value)
+
+
 def seconds_text(us: Column) -> Column:
     """Whole microseconds as epoch text with six decimals."""
     seconds = us.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")

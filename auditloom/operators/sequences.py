@@ -62,14 +62,14 @@ def prepare_sequence_events(df: DataFrame, labels: list[str] | None = None,
              "cwd", "success", "command", "saddr", "uid", "euid", "auid", "argc", "attack_run_id",
              "manual_label"]
     df = df.where(F.col("ts_us").isNotNull()).withColumns({c: as_text(c) for c in texts})
-    # a column of its own, so that the rules do not each build the text again
-    df = df.withColumn("_where", F.lower(F.concat_ws("|", "paths", "path", "cwd")))
+    # columns of their own, so that the rules do not each build the texts again
+    df = df.withColumns({"_where": F.lower(F.concat_ws("|", "paths", "path", "cwd")), "_exe": X.stripped(F.col("exe"))})
     return df.withColumns({
         "event_no": F.coalesce(F.col("event_id").try_cast("bigint"), F.lit(-1)),
         "tie": F.col(tie) if tie else F.lit(0),
-        "exe_basename": X.basename(X.stripped(F.col("exe"))),
+        "exe_basename": X.basename(F.col("_exe")),
         "path_category": path_category(F.col("_where"), F.col("key"), F.col("saddr")),
-    }).drop("_where")
+    }).drop("_where", "_exe")
 
 
 def segment_name(value: Column) -> Column:
@@ -78,13 +78,17 @@ def segment_name(value: Column) -> Column:
 
 def event_numbers(df: DataFrame) -> dict[str, Column]:
     """The numeric features that depend on one event alone, by name."""
+    def number(name: str, default: float | None = 0.0) -> Column:
+        is_text = df.schema[name].dataType.typeName() == "string"
+        return X.number_or(X.numeric_text(F.col(name)) if is_text else F.col(name), default)
+
     def log_count(name: str) -> Column:
-        return F.log1p(F.greatest(X.number_or(F.col(name)), F.lit(0.0)))
+        return F.log1p(F.greatest(number(name), F.lit(0.0)))
 
     def flag(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False)).cast("double")
 
-    uid, euid, auid = (X.number_or(F.col(c), None) for c in ("uid", "euid", "auid"))
+    uid, euid, auid = (number(c, None) for c in ("uid", "euid", "auid"))
     return {
         "record_count_log1p": log_count("record_count"),
         "path_count_log1p": log_count("path_count"),
@@ -106,7 +110,9 @@ def order_events(df: DataFrame, by: list[str], **limits: int) -> Ordered:
     Texts become numbers and token ids first: only a narrow row is sorted.
     """
     numbers = event_numbers(df)
-    flags = F.array(*[numbers[c].cast("float") for c in S.NUMERIC_COLUMNS[1:]])
+    # a lambda keeps this projection out of whole-stage code, where it becomes one method
+    # that the JIT never compiles; outside, its parts are compiled one by one
+    flags = F.transform(F.array(*[numbers[c] for c in S.NUMERIC_COLUMNS[1:]]), lambda x: x.cast("float"))
     kept = [*by, *ORDER, "event_id", "manual_label", *[c for c in ("tokens",) if c in df.columns]]
     narrow = df.select(*dict.fromkeys(kept), flags.alias("_flags"))
     return order_rows(narrow, by, ORDER, **limits)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from auditloom import schema as S
 from auditloom.operators import seqmodel, sequences
 from auditloom.operators.small import attach_row
 from auditloom.sources.audit_log import read_raw
@@ -33,3 +34,17 @@ def test_files_of_a_generation_keep_their_order(spark, tmp_path):
     date_files(spark, folders)
     rows = read_raw(spark, f"{tmp_path}/*/*.txt*").orderBy("pos").collect()
     assert [int(r["value"]) for r in rows] == list(range(100))
+
+
+def test_event_projection_stays_out_of_one_large_method(spark):
+    texts = ["", "x", "12", " 7 ", "NaN", "0x", None]
+    rows = spark.createDataFrame([("h", str(i), str(i), t, t) for i, t in enumerate(texts)], "source string, timestamp string, event_id string, argc string, uid string")
+    events = sequences.prepare_sequence_events(rows)
+    ordered = sequences.with_numeric_features(sequences.order_events(events, ["source"])).df
+    found = {r["event_id"]: r["numeric"] for r in ordered.collect()}
+    at = S.NUMERIC_COLUMNS.index("argc_log1p")
+    assert [round(found[str(i)][at], 4) for i in range(len(texts))] == [0, 0, 2.5649, 2.0794, 0, 0, 0]
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Project [" in line and "try_cast(argc" in line or "try_cast(CASE WHEN RLIKE(argc" in line]
+    # blank texts are not cast, and whole-stage code, marked by a star, does not hold the numbers
+    assert lines and all("RLIKE(argc" in line and "*(" not in line for line in lines)
