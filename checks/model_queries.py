@@ -14,7 +14,8 @@ from auditloom.operators import iforest as I
 from auditloom.operators import seqmodel as M
 from auditloom.operators import windows as W
 from auditloom.operators.evaluation import DETECTORS
-from auditloom.operators.small import attach_row
+from auditloom.operators.intervals import overlap_pairs
+from auditloom.operators.small import attach_row, join_keys
 from auditloom.plans import report as J
 from auditloom.plans.scan import ScanParameters, scan_events
 from auditloom.plans.tune import tune
@@ -196,6 +197,13 @@ def tuning(spark, sf_dir):
         F.col("f1").between(0.0, 1.0).cast("int").alias("f1_in_range"))
 
 
+def events_inside(alerts, events):
+    """``source, alert_id, n`` of alerts that hold events; they meet in time buckets, not every event of a host beside every alert of it."""
+    spans = alerts.select("source", "alert_id", "start_us", "end_us")
+    points = events.select("source", F.col("ts_us").alias("_at"), F.col("ts_us").alias("_to"))
+    return overlap_pairs(spans, points, ["source"], ("start_us", "end_us"), ("_at", "_to")).groupBy("source", "alert_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scanned(spark, sf_dir):
     """Facts of a whole scan with freshly trained models, one row per host."""
     models = tuned(spark, sf_dir)
@@ -206,10 +214,9 @@ def scanned(spark, sf_dir):
     before = Window.partitionBy("source").orderBy("start_us", "alert_id")
     apart = found.alerts.select("source", "sequence_count", (F.col("start_us") > F.coalesce(F.lag("end_us").over(before), F.lit(-(1 << 62)))).alias("apart"))
     alerts = apart.groupBy("source").agg(F.min("apart").alias("apart"), F.sum("sequence_count").alias("in_alerts"))
-    inside = found.alerts.select(F.col("source").alias("_s"), "alert_id", "start_us", "end_us", "event_count").join(
-        found.events.select("source", "ts_us"), (F.col("_s") == F.col("source")) & F.col("ts_us").between(F.col("start_us"), F.col("end_us")), "left")
-    counted = inside.groupBy(F.col("_s").alias("source"), "alert_id", "event_count").agg(F.count("ts_us").alias("n")).groupBy("source").agg(
-        F.min((F.col("n") == F.col("event_count")).cast("int")).alias("counted"))
+    inside = events_inside(found.alerts, found.events)
+    counted = join_keys(found.alerts.select("source", "alert_id", "event_count"), inside, ["source", "alert_id"]).groupBy("source").agg(
+        F.min((F.coalesce("n", F.lit(0)) == F.col("event_count")).cast("int")).alias("counted"))
     whole = events.join(flagged, "source", "left").join(members, "source", "left").join(alerts, "source", "left").join(counted, "source", "left")
     none = F.lit(0)
     return whole.select(

@@ -103,3 +103,17 @@ def test_external_model_hook(spark):
     df = sequences(spark)
     scored = Q.score_with(df, make, 4, 0.5)
     assert scored.where("lstm_prediction = y").count() == 120
+
+
+def test_events_inside_alerts_are_counted_without_a_join_on_hosts_alone(spark):
+    from checks.model_queries import events_inside
+
+    spans = [("a", 0, 10, 20), ("a", 1, 15, 4_000_000), ("a", 2, 21, 24), ("b", 0, 10, 10)]
+    points = [("a", t) for t in (9, 10, 15, 20, 20, 25, 4_000_000)] + [("b", 10), ("c", 10)]
+    alerts = spark.createDataFrame(spans, "source string, alert_id long, start_us long, end_us long")
+    events = spark.createDataFrame(points, "source string, ts_us long")
+    found = events_inside(alerts, events)
+    want = {(s, i): n for s, i, low, high in spans if (n := sum(p == s and low <= t <= high for p, t in points))}
+    assert {(r["source"], r["alert_id"]): r["n"] for r in found.collect()} == want
+    join = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert join and all("_bucket" in line for line in join)
