@@ -106,46 +106,58 @@ def window_label(benign: Column, malicious: Column, ambiguous: Column, blank: Co
     )
 
 
-def base_aggregates(approx_distinct: bool = False) -> list[Column]:
-    """Window aggregates that combine on the map side; distinct counts only in approximate form."""
+def event_conditions() -> dict[str, Column]:
+    """What the counts of a window ask of each of its events, by feature."""
     is_exec = F.col("syscall") == "execve"
     label = _labels()
+    return {
+        "execve_count": is_exec,
+        "command_count": F.col("command") != "",
+        "success_yes_count": F.col("success") == "yes",
+        "success_no_count": F.col("success") == "no",
+        "root_uid_count": F.col("uid") == S.ROOT_ID,
+        "root_euid_count": F.col("euid") == S.ROOT_ID,
+        "unset_auid_count": F.col("auid") == S.UNSET_AUID,
+        **{
+            name: X.contains_any(F.col("all_paths"), needles)
+            for name, needles in S.PATH_FAMILIES.items()
+        },
+        "failed_execve_count": is_exec & (F.col("success") == "no"),
+        "label_benign_count": label == "benign",
+        "label_malicious_count": label == "malicious",
+        "label_ambiguous_count": label == "ambiguous",
+        "label_unlabeled_count": label == "",
+    }
 
-    def times(condition: Column) -> Column:
-        return F.count_if(condition)
 
-    network = (
+def network_marks() -> Column:
+    """How many signs of network use an event bears."""
+    return (
         F.col("syscall").isin(S.NETWORK_SYSCALLS).cast("int")
         + (F.col("saddr") != "").cast("int")
         + F.col("key").contains("network").cast("int")
     )
+
+
+def base_aggregates(approx_distinct: bool = False) -> list[Column]:
+    """Window aggregates that combine on the map side; distinct counts only in approximate form."""
+    times = {name: F.count_if(condition) for name, condition in event_conditions().items()}
+    first = ["execve_count", "command_count", "success_yes_count", "success_no_count"]
+    roots = ["root_uid_count", "root_euid_count", "unset_auid_count"]
     found = {
         "event_count": F.count(F.lit(1)),
         "record_count_sum": F.sum("record_count_num").cast("bigint"),
         "record_count_mean": F.avg("record_count_num"),
         "path_count_sum": F.sum("path_count_num").cast("bigint"),
         "path_count_mean": F.avg("path_count_num"),
-        "execve_count": times(is_exec),
-        "command_count": times(F.col("command") != ""),
-        "success_yes_count": times(F.col("success") == "yes"),
-        "success_no_count": times(F.col("success") == "no"),
+        **{name: times[name] for name in first},
         **{
             f"unique_{c}_count": F.approx_count_distinct(X.blank_to_null(F.col(c)))
             for c in S.DISTINCT_FIELDS if approx_distinct
         },
-        "root_uid_count": times(F.col("uid") == S.ROOT_ID),
-        "root_euid_count": times(F.col("euid") == S.ROOT_ID),
-        "unset_auid_count": times(F.col("auid") == S.UNSET_AUID),
-        "network_event_count": F.sum(network).cast("bigint"),
-        **{
-            name: times(X.contains_any(F.col("all_paths"), needles))
-            for name, needles in S.PATH_FAMILIES.items()
-        },
-        "failed_execve_count": times(is_exec & (F.col("success") == "no")),
-        "label_benign_count": times(label == "benign"),
-        "label_malicious_count": times(label == "malicious"),
-        "label_ambiguous_count": times(label == "ambiguous"),
-        "label_unlabeled_count": times(label == ""),
+        **{name: times[name] for name in roots},
+        "network_event_count": F.sum(network_marks()).cast("bigint"),
+        **{name: n for name, n in times.items() if name not in first + roots},
     }
     return [column.alias(name) for name, column in found.items()]
 

@@ -10,8 +10,8 @@ from auditloom.functions import text as X
 from auditloom.operators.windows import (
     FAMILY_FIELDS,
     FeatureSchema,
-    TEXT_COLUMNS,
-    base_aggregates,
+    event_conditions,
+    network_marks,
     prepare_events,
     window_label,
 )
@@ -25,8 +25,9 @@ def stream_window_vectors(df: DataFrame, schema: FeatureSchema, size_us: int = 1
     """Base features, labels and ``features`` of every window once the watermark has passed it.
 
     The state has two levels. The first counts, for each window, field and value,
-    the events that hold it; one more row a window carries the aggregates of whole
-    events. The second brings a window's rows together: distinct values are
+    the events that hold it; the sums over whole events are rows of the same form,
+    one for each feature that an event adds to, so a row of the state holds one
+    number however many features there are. The second brings a window's rows together: distinct values are
     counted exactly, and counts of the schema's categories go to their place in
     the vector, so a window ends as numbers of a fixed count whatever it saw.
     The columns are those of ``windows.build_window_features``; a stream has no
@@ -38,26 +39,30 @@ def stream_window_vectors(df: DataFrame, schema: FeatureSchema, size_us: int = 1
     by = ["source"] if by is None else by
     length, shift = f"{size_us} microseconds", f"{origin_us % size_us} microseconds"
     events = prepare_events(df).withColumn("event_time", event_time("ts_us")).withWatermark("event_time", watermark)
-    # one row for the whole event, one for each of its values without the rest
-    rows = F.concat(
-        F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value"))),
-        F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in VALUE_FIELDS]))
-    numbers = ["record_count_num", "path_count_num"]
-    columns = [*TEXT_COLUMNS, "all_paths", *numbers]
-    spread = events.select(*by, "event_time", *columns, F.inline(rows))
-    spread = spread.withColumns({c: F.when(F.col("field") == "", F.col(c)) for c in columns})
-    first = spread.groupBy(*by, F.window("event_time", length, startTime=shift), "field", "value").agg(F.count(F.lit(1)).alias("n"), *base_aggregates())
+    sums = {
+        "event_count": F.lit(1), "record_count_sum": F.col("record_count_num"), "path_count_sum": F.col("path_count_num"),
+        "network_event_count": network_marks(), **event_conditions()}
+
+    def entry(field: str, value: Column, n: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"), n.cast("double").alias("n"))
+
+    # what the whole event adds, under a blank field, then one row for each of its values
+    added = F.filter(F.array(*[entry("", F.lit(name), n) for name, n in sums.items()]), lambda e: e["n"] != 0)
+    rows = F.concat(added, F.array(*[entry(c, F.col(c), F.lit(1)) for c in VALUE_FIELDS]))
+    spread = events.select(*by, "event_time", F.inline(rows))
+    first = spread.groupBy(*by, F.window("event_time", length, startTime=shift), "field", "value").agg(F.sum("n").alias("n"))
 
     whole = F.col("field") == ""
     family = F.create_map(*[F.lit(x) for k, v in FAMILY_FIELDS.items() for x in (v, k)])[F.col("field")]
     raw = F.when(F.col("field") == "exe", X.basename(F.col("value"))).otherwise(F.col("value"))
     named = first.withColumns({"_time": F.window_time("window"), "_family": family, "_name": X.safe_name(raw)})
+    totals = {c: F.coalesce(F.sum(F.when(whole & (F.col("value") == c), F.col("n"))), F.lit(0.0)) for c in sums}
+    means = {f"{c}_mean": totals[f"{c}_sum"] / totals["event_count"] for c in ("record_count", "path_count")}
     distinct = {f"unique_{c}_count": F.count_if((F.col("field") == c) & (F.col("value") != "")) for c in S.DISTINCT_FIELDS}
-    carried = [c for c in [*S.BASE_FEATURES, *S.LABEL_FEATURES[:-1]] if c not in distinct]
     places = [(f, v) for f in S.CATEGORY_PREFIXES for v in schema.values.get(f, [])]
     counts = [F.sum(F.when((F.col("_family") == f) & (F.col("_name") == v), F.col("n"))).alias(f"_c{i}") for i, (f, v) in enumerate(places)]
     second = named.groupBy(*by, F.window("_time", length, startTime=shift).alias("_window")).agg(
-        *[F.max(F.when(whole, F.col(c))).alias(c) for c in carried], *[column.alias(name) for name, column in distinct.items()], *counts)
+        *[total.cast("bigint").alias(c) for c, total in totals.items()], *[column.alias(c) for c, column in {**means, **distinct}.items()], *counts)
 
     start = F.unix_micros("_window.start")
     labels = [F.col(f"label_{c}_count") for c in ("benign", "malicious", "ambiguous", "unlabeled")]

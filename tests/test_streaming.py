@@ -92,6 +92,13 @@ def event(i, t, source="h", syscall="execve"):
     return (source, str(i), i, syscall, f"k{i % 3}", f"/bin/e{i % 4}", f"c{i % 5}", f"m{i % 2}", "benign", t, f"/tmp/p{i % 3}", f"/tmp/p{i % 3}|/etc/q{i % 2}")
 
 
+def test_first_state_of_vectors_holds_one_number_a_row(spark, tmp_path):
+    stream = staged(spark, tmp_path, "narrow", [[event(1, 0)]], EVENTS)
+    found = V.stream_window_vectors(stream, W.FeatureSchema({}), 10_000_000, 0, "5 seconds")
+    lowest = [line for line in found._jdf.queryExecution().analyzed().toString().split("\n") if "Aggregate [" in line][-1]
+    assert "sum(n" in lowest and "execve_count" not in lowest and "record_count_sum" not in lowest
+
+
 def test_vectors_equal_batch_and_can_be_scored(spark, tmp_path):
     from auditloom.operators.iforest import fit_iforest
 
