@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -243,6 +244,33 @@ def test_licences_among_texts_that_use_their_words(spark):
     assert len(right) >= 0.9 * len(notices)
 
 
+def split_at_gaps(passage):
+    return F.array_remove(F.split(F.lower(passage), "[^a-z0-9.-]+|[.-]+(?![a-z0-9])"), "")
+
+
+def test_licence_words_are_the_pieces_between_gaps(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aB9..--  \n\u00e9\u212a\u0130\U0001f600_"), rng.integers(0, 40))) for _ in range(3000)]
+    texts += [None, "", ".", "--a", "a..b", "a.-b", "x-", "-.x-y.9.", "1." * 200_000, "-" * 200_000 + "z", "\u212a-\u0130"]
+    rows = spark.createDataFrame([(t,) for t in texts], "passage string")
+    assert rows.where(~licences.words(F.col("passage")).eqNullSafe(split_at_gaps(F.col("passage")))).count() == 0
+
+
+def test_licence_words_cost_less_than_a_split(spark):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("Word-"), F.col("id") * 61 + i)))
+    rows = spark.range(0, 20_000, 1, 2).select(text.alias("passage"))
+
+    def seconds(words):
+        took = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            rows.select(words(F.col("passage")).alias("w")).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - begun)
+        return min(took)
+
+    assert seconds(licences.words) < 0.7 * seconds(split_at_gaps)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(4)
     text = lambda i: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60))
