@@ -187,6 +187,61 @@ def test_evidence_equals_batch(spark, tmp_path):
     assert done.late == 0
 
 
+class Held:
+    """A state of one group and field, without a stream."""
+
+    def __init__(self):
+        self.rows, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        rows = self.rows.setdefault(name, [])
+
+        class State:
+            get = staticmethod(lambda: iter(list(rows)))
+            clear = staticmethod(rows.clear)
+            appendValue = staticmethod(rows.append)
+            put = staticmethod(lambda new: rows.__setitem__(slice(None), new))
+
+        return State
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_evidence_of_a_busy_field_needs_little_memory():
+    """Half a million rows of one group and field, all waiting for a session and then inside one."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, part = 500_000, 10_000
+    held = Held()
+    state = D.SessionEvidence(1_000_000, 3)
+    state.init(held)
+
+    def frames():
+        for at in range(0, n, part):
+            no = np.arange(at, at + part)
+            yield pd.DataFrame({"start_us": no + 1, "end_us": no + 1, "value": [f"/var/log/{i % 1000}" for i in no], "is_event": True,
+                                "at": [[2, int(i), 0] for i in no], "a0": 2, "a1": no, "a2": 0})
+
+    span = pd.DataFrame({"start_us": [1], "end_us": [n], "value": ["7"], "is_event": [False], "at": [[1, n, 7]], "a0": [1], "a1": [n], "a2": [7]})
+    tracemalloc.start()
+    assert not list(state.handleInputRows(("h", "top_event_paths"), frames(), held))
+    assert not list(state.handleInputRows(("h", "top_event_paths"), iter([span]), held))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held.rows["pending"] and held.rows["sessions"] == [(1, n)] and held.timers
+    assert peak < 40 << 20
+    held.getCurrentWatermarkInMs = lambda: 10_000
+    found = pd.concat(state.handleExpiredTimer(("h", "top_event_paths"), held, None))
+    assert found[["value", "n", "rank"]].values.tolist() == [[f"/var/log/{i}", 500, i + 1] for i in range(3)]
+
+
 def test_evidence_after_the_watermark_is_dropped_and_counted(spark, tmp_path):
     schema = "source string, sequence_id long, start_us long, end_us long, combined_alert int"
     far = 10**12
