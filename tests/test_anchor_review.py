@@ -1,10 +1,11 @@
 import pytest
+from pyspark.sql import DataFrameReader
 
 from auditloom import schema as S
 from auditloom.operators import anchor as A
 from auditloom.operators import review as R
 from auditloom.sources.runs import intervals_from_metadata
-from auditloom.sources.slices import read_review_slices, write_review_slices
+from auditloom.sources.slices import read_review_slices, with_slice_name, write_review_slices
 from checks.anchor_queries import write_metadata
 
 FIELDS = "run_id string, chain_id string, delivery string, payload string, category string, privilege string, " \
@@ -128,6 +129,19 @@ def test_slices_round_trip(spark, tmp_path):
     assert [r[0] for r in one] == ["6", "8", "10"]
 
 
+def test_one_file_names_the_columns_of_slices(spark, tmp_path, monkeypatch):
+    rows = [{c: f"{c}{i}" for c in S.REVIEW_COLUMNS} | {"attack_run_id": f"run{i % 4}", "manual_label": "benign", "timestamp": str(i)} for i in range(8)]
+    path = str(tmp_path / "a folder")
+    write_review_slices(spark.createDataFrame(rows), path)
+    inferred, read = [], DataFrameReader.csv
+    # without a schema of its own the reader goes through all files of a folder
+    monkeypatch.setattr(DataFrameReader, "csv", lambda self, at, **more: (inferred.append(at), read(self, at, **more))[1])
+    back = read_review_slices(spark, path)
+    assert [at.endswith(".csv") for at in inferred] == [True, False]
+    assert back.columns == [*S.REVIEW_COLUMNS, "review_source", "review_row"]
+    assert sorted(r["slice_name"] for r in with_slice_name(back).collect()) == sorted(f"run{i % 4}__attack_payload{i % 4}" for i in range(8))
+
+
 def test_intervals_from_metadata(spark, tmp_path):
     def put(folder, text):
         (tmp_path / folder).mkdir(parents=True)
